@@ -1,6 +1,14 @@
 """Imports every query module, so that the registry is complete."""
 
-from gridledger.plans import overview  # noqa: F401
+from gridledger.plans import (  # noqa: F401
+    carriers,
+    commissioning,
+    districts,
+    overview,
+    series,
+    topical,
+    traffic,
+)
 from gridledger.plans.registry import all_queries, all_sql
 
 __all__ = ["all_queries", "all_sql"]

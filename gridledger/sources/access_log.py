@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,12 @@ def page_views(requests: DataFrame) -> DataFrame:
     ).withColumns({"dashboard": page_slug(F.col("path")), "device": device(F.col("user_agent"))})
 
 
-def recent_window(views: DataFrame, days: int) -> DataFrame:
-    """Views of the last ``days`` days before the newest view. Counting back from the data keeps
-    the window from being empty, so no widening is ever needed; undated views are left out."""
-    newest = views.select(F.max("time")).scalar()
-    since = newest - F.make_dt_interval(F.lit(days))
+def recent_window(views: DataFrame, days: int, now: dt.datetime | None = None) -> DataFrame:
+    """Views of the last ``days`` days before ``now``; undated views are left out.
+
+    Without ``now`` the window ends at the newest view, so it is never empty; that costs a second
+    pass over the log, as an aggregate.
+    """
+    end = views.select(F.max("time")).scalar() if now is None else F.lit(now).cast("timestamp_ntz")
+    since = end - F.make_dt_interval(F.lit(days))
     return views.filter(F.col("time").isNotNull() & (F.col("time") >= since))
