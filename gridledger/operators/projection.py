@@ -129,10 +129,9 @@ def extract_features(df: DataFrame, text: str, category: str, known: Sequence[st
 
 
 def _range_of(df: DataFrame, value: Column) -> tuple[Column, Column]:
-    """Smallest and largest value as scalar subqueries: one extra aggregate, no join."""
-    low = df.select(F.min(value)).scalar()
-    high = df.select(F.max(value)).scalar()
-    return low, high
+    """Smallest and largest value, from one scalar subquery: an extra aggregate, but no join."""
+    ends = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    return ends["lo"], ends["hi"]
 
 
 def scale_idx(df: DataFrame, col: str, out: str, steps: int = 100,

@@ -1,6 +1,9 @@
 """Imports every query module, so that the registry is complete."""
 
 from gridledger.plans import (  # noqa: F401
+    blocks_relational,
+    blocks_rows,
+    blocks_sources,
     carriers,
     commissioning,
     districts,

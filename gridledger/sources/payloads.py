@@ -70,7 +70,8 @@ def pick_metric(metrics: Column, name: str) -> tuple[Column, Column]:
     return hit["value"].try_cast("double"), first["DESC"]
 
 
-def explode_themes(df: DataFrame, body: str = "body") -> DataFrame:
-    """Theme summary document to one row per theme."""
-    return df.select(F.explode(F.from_json(body, THEMES_SCHEMA)).alias("theme", "t")).select(
-        "theme", F.col("t.count").alias("count"), F.col("t.percentage").alias("percentage"))
+def explode_themes(df: DataFrame, body: str = "body", keys: Sequence[str] = ()) -> DataFrame:
+    """Theme summary documents to one row per theme."""
+    rows = df.select(*keys, F.explode(F.from_json(body, THEMES_SCHEMA)).alias("theme", "t"))
+    return rows.select(*keys, "theme", F.col("t.count").alias("count"),
+                       F.col("t.percentage").alias("percentage"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import codecs
 import fnmatch
 import os
-import shutil
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -27,41 +27,71 @@ def list_members(archive: str, pattern: str) -> list[str]:
         return sorted(m for m in zf.namelist() if fnmatch.fnmatch(m, pattern))
 
 
-def _copy_as_utf8(source, target) -> None:
+def _utf8_chunks(source: BinaryIO, size: int = 1 << 20) -> Iterator[bytes]:
     """Stream bytes, turning UTF-16 text with a byte-order mark into UTF-8."""
-    head = source.read(1 << 20)
+    head = source.read(size)
     if head[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
-        decode = codecs.getincrementaldecoder("utf-16")()
+        decoder = codecs.getincrementaldecoder("utf-16")()
         while head:
-            target.write(decode.decode(head).encode("utf-8"))
-            head = source.read(1 << 20)
-        target.write(decode.decode(b"", final=True).encode("utf-8"))
+            yield decoder.decode(head).encode("utf-8")
+            head = source.read(size)
+        yield decoder.decode(b"", final=True).encode("utf-8")
         return
-    target.write(head)
-    shutil.copyfileobj(source, target, 1 << 20)
-
-
-def stage_members(spark: SparkSession, archive: str, pattern: str, out_dir: str) -> list[str]:
-    """Unpack matching members to ``out_dir``, one task per member, nothing held in memory.
-
-    Archive and target must be on storage every executor reaches. A member is written under a
-    temporary name and then renamed, so a retried or duplicated task leaves whole files only.
+    while head:
+        yield head
+        head = source.read(size)
+
+
+def split_records(chunks: Iterator[bytes], tag: str, part_bytes: int) -> Iterator[bytes]:
+    """Cut an XML byte stream behind closing record tags into documents of about ``part_bytes``."""
+    opening, closing = f"<{tag}".encode(), f"</{tag}>".encode()
+    started, kept = False, b""
+    for chunk in chunks:
+        kept += chunk
+        if not started:
+            at = kept.find(opening)
+            if at < 0:
+                continue
+            started, kept = True, kept[at:]
+        if len(kept) >= part_bytes:
+            cut = kept.rfind(closing)
+            if cut > 0:
+                cut += len(closing)
+                yield b"<part>" + kept[:cut] + b"</part>"
+                kept = kept[cut:]
+    end = kept.rfind(closing)
+    if started and end > 0:
+        yield b"<part>" + kept[: end + len(closing)] + b"</part>"
+
+
+def stage_members(spark: SparkSession, archive: str, entity: Entity, out_dir: str,
+                  part_bytes: int = 64 << 20) -> list[str]:
+    """Unpack an entity's members to ``out_dir``, one task per member, as files of moderate size.
+
+    A compressed member can only be read front to back, so it is cut into parts here, which later
+    tasks parse in parallel; a task holds one part in memory. Archive and target must be on storage
+    every executor reaches. Parts are written under a temporary name and renamed, and the cuts do
+    not depend on the attempt, so a retried or duplicated task leaves the same whole files.
     """
-    members = list_members(archive, pattern)
+    members = list_members(archive, entity.members)
     if not members:
         return []
+    tag = entity.tag
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(out_dir, exist_ok=True)
         with zipfile.ZipFile(archive) as zf:
             for batch in batches:
                 for member in batch["member"]:
-                    target = os.path.join(out_dir, os.path.basename(member))
-                    part = os.path.join(out_dir, f".{uuid.uuid4().hex}.part")
-                    with zf.open(member) as source, open(part, "wb") as sink:
-                        _copy_as_utf8(source, sink)
-                    os.replace(part, target)
-                    yield pd.DataFrame({"path": [target]})
+                    stem = os.path.splitext(os.path.basename(member))[0]
+                    with zf.open(member) as source:
+                        for i, part in enumerate(split_records(_utf8_chunks(source), tag, part_bytes)):
+                            target = os.path.join(out_dir, f"{stem}-{i:05d}.xml")
+                            draft = os.path.join(out_dir, f".{uuid.uuid4().hex}")
+                            with open(draft, "wb") as sink:
+                                sink.write(part)
+                            os.replace(draft, target)
+                            yield pd.DataFrame({"path": [target]})
 
     names = spark.createDataFrame([(m,) for m in members], "member string")
     one_each = names.repartitionByRange(len(members), "member")
@@ -72,11 +102,11 @@ def read_entity(spark: SparkSession, path: str, entity: Entity,
                 columns: Sequence[str] | None = None) -> tuple[DataFrame, Observation]:
     """All records of one entity as text columns; damaged records are counted and dropped.
 
-    Without ``columns`` one extra pass over the files discovers the tags. Files are split at record
-    boundaries, so one large file is read by many tasks. The observation yields ``records`` and
-    ``damaged`` once the data has been written or counted.
+    Without ``columns`` one extra pass over the files discovers the tags. A file is one task, which
+    is why staging cuts large members. The observation yields ``records`` and ``damaged`` once the
+    data has been written or counted.
     """
-    options = {"rowTag": entity.tag, "nullValue": "", "multiLine": "false", "mode": "PERMISSIVE",
+    options = {"rowTag": entity.tag, "nullValue": "", "mode": "PERMISSIVE",
                "columnNameOfCorruptRecord": CORRUPT, "ignoreNamespace": "true"}
     if columns is None:
         found = spark.read.format("xml").options(**options, inferSchema="false").load(path)

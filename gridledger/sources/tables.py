@@ -6,13 +6,13 @@ import datetime as dt
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.catalog import ENTITIES
-from gridledger.operators import units as U
+from gridledger.operators import cube as C
 from gridledger.operators.sets import load_summary
+from gridledger.operators.units import wind_specs
 
 log = logging.getLogger(__name__)
 
@@ -25,46 +25,63 @@ def union_evolving(dfs: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def load_entities(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Every entity table that can be read, also as a temp view. One bad table stops nobody."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def load_entities(spark: SparkSession, folder: str, merge_schema: bool = False) -> dict[str, DataFrame]:
+    """Every entity table that can be read, also as a temp view. One bad table stops nobody.
+
+    One load writes one schema, so footers are merged only on request.
+    """
+    # the partition column must stay text: state codes are labels, not numbers
+    inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inference)
+    spark.conf.set(inference, "false")
     tables: dict[str, DataFrame] = {}
-    for key in ENTITIES:
-        try:
-            # the partition column must stay text: state codes are labels, not numbers
-            spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-            df = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{key}.parquet")
+    try:
+        for key in ENTITIES:
+            path = f"{folder}/{key}.parquet"
+            if not path_exists(spark, path):
+                log.warning("entity %s is missing", key)
+                continue
+            try:
+                df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+            except Exception as err:  # analysis errors and damaged footers alike
+                log.warning("entity %s is unreadable: %s", key, type(err).__name__)
+                continue
             df.createOrReplaceTempView(key)
             tables[key] = df
-        except (AnalysisException, PySparkException) as err:
-            log.warning("entity %s skipped: %s", key, str(err).splitlines()[0])
-        except Exception as err:  # a damaged footer surfaces as a raw JVM error
-            log.warning("entity %s unreadable: %s", key, type(err).__name__)
+    finally:
+        spark.conf.set(inference, before)
     return tables
 
 
-def aggregate_plans(units: DataFrame, tables: dict[str, DataFrame],
+def aggregate_plans(cube: DataFrame, tables: dict[str, DataFrame],
                     as_of: dt.date) -> dict[str, Callable[[], DataFrame | None]]:
     return {
-        "kpi_overview": lambda: U.kpi_overview(units, as_of),
-        "capacity_by_state": lambda: U.capacity_by_state(units),
-        "buildout_monthly": lambda: U.buildout_monthly(units),
-        "capacity_by_plz_top5000": lambda: U.top_plz(units),
-        "solar_size_classes": lambda: U.solar_size_classes(units),
-        "wind_hub_height": lambda: U.wind_specs(tables["wind"]) if "wind" in tables else None,
-        "ee_quote_by_year": lambda: U.ee_quote_by_year(units),
+        "kpi_overview": lambda: C.kpi_overview(cube, as_of),
+        "capacity_by_state": lambda: C.capacity_by_state(cube),
+        "buildout_monthly": lambda: C.buildout_monthly(cube),
+        "capacity_by_plz_top5000": lambda: C.top_plz(cube),
+        "solar_size_classes": lambda: C.solar_size_classes(cube),
+        "wind_hub_height": lambda: wind_specs(tables["wind"]) if "wind" in tables else None,
+        "ee_quote_by_year": lambda: C.ee_quote_by_year(cube),
     }
 
 
-def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str, as_of: dt.date,
-                     cache: bool = False) -> dict[str, str]:
+def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str,
+                     as_of: dt.date) -> dict[str, str]:
     """Write each aggregate as ZSTD Parquet; a failing one is reported and skipped.
 
-    The seven outputs read different columns of the view, so by default each scans Parquet itself;
-    ``cache`` keeps the view in memory for clusters with room for it.
+    The units are read once, into a cube written next to the aggregates; the outputs read that.
     """
-    source = units.cache() if cache else units
+    base = f"{folder}/unit_cube.parquet"
+    C.unit_cube(units).write.mode("overwrite").option("compression", "zstd").parquet(base)
+    cube = units.sparkSession.read.parquet(base)
     report: dict[str, str] = {}
-    for name, plan in aggregate_plans(source, tables, as_of).items():
+    for name, plan in aggregate_plans(cube, tables, as_of).items():
         try:
             df = plan()
             if df is None:
@@ -75,8 +92,6 @@ def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str
         except Exception as err:
             log.error("aggregate %s failed: %s", name, str(err).splitlines()[0])
             report[name] = "failed"
-    if cache:
-        source.unpersist()
     return report
 
 
