@@ -1,14 +1,13 @@
 """Running totals, changes and shares over already aggregated series.
 
-``series_lag`` is the exception: it works on raw samples, and splits every series by time so that
-one long series does not become one task.
+The windows sort periods, categories or districts, never raw rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,26 +93,3 @@ def prior_daily_mean(daily: DataFrame, day: str, measure: str) -> DataFrame:
     w = Window.orderBy("month")
     adjacent = F.lag("month").over(w) == F.add_months(F.col("month"), -1)
     return months.withColumn("prior_daily_mean", F.when(adjacent, F.lag("daily_mean").over(w)))
-
-
-def series_lag(df: DataFrame, keys: Sequence[str], ts: str, value: str, bucket: Column,
-               tiebreak: str) -> DataFrame:
-    """Previous sample of each series as ``prev_ts`` and ``prev_value``.
-
-    Series are cut into time buckets. Inside a bucket a window finds the previous row; the first
-    row of a bucket takes the last sample of the nearest earlier bucket, which one aggregated row
-    per bucket provides. No task ever holds more than one bucket of one series.
-    """
-    parts = df.withColumn("_bucket", bucket)
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(ts, tiebreak)
-    sample = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
-    ends = parts.groupBy(*keys, "_bucket").agg(
-        F.max_by(sample, F.struct(ts, tiebreak)).alias("_last"))
-    carried = ends.select(
-        *keys, "_bucket",
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
-    filled = parts.withColumn("_prev", F.lag(sample).over(inner)).join(
-        carried, [*keys, "_bucket"], "left")
-    previous = F.coalesce("_prev", "_carry")
-    return filled.withColumns({"prev_ts": previous["t"], "prev_value": previous["v"]}).drop(
-        "_bucket", "_prev", "_carry")

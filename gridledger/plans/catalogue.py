@@ -9,6 +9,7 @@ from gridledger.plans import (  # noqa: F401
     districts,
     overview,
     series,
+    streams,
     topical,
     traffic,
 )
