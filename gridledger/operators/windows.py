@@ -67,11 +67,14 @@ def rank_of(df: DataFrame, measure: str, key: str, name: str) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str | None = None) -> DataFrame:
-    """The newest row of each key, exactly one on ties. Combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(ts, tiebreak) if tiebreak else F.col(ts)
-    newest = F.max_by(F.struct(*rest), order)
-    return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    """The newest row of each key, exactly one on ties: the one with the greatest other columns.
+
+    One maximum over a struct: it combines before the shuffle and carries each row once.
+    """
+    first = [ts, tiebreak] if tiebreak else [ts]
+    rest = [c for c in df.columns if c not in (*keys, *first)]
+    newest = df.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("_row"))
+    return newest.select(*keys, "_row.*").select(*df.columns)
 
 
 def vs_prior_month(monthly: DataFrame, month: str, measures: Sequence[str]) -> DataFrame:

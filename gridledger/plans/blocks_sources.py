@@ -261,12 +261,12 @@ def csv_orgs(r: Register) -> DataFrame:
     SELECT event_type AS bzn, cast(epoch(date_trunc('hour', ts)) AS bigint) AS unix_seconds,
            strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS ts,
            strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%H:%M') AS hour,
-           round(round(avg(value), 4) - 10, 4) AS price,
+           floor(avg(floor(value * 8))) * 125e-3 - 10 AS price,
            CASE WHEN event_type = 'view' THEN 'EUR / MWh' ELSE 'EUR/MWh' END AS unit
     FROM events GROUP BY event_type, date_trunc('hour', ts)""")
 def exploded_prices(r: Register) -> DataFrame:
     rows = Y.explode_prices(r.price_payloads, ["bzn"])
-    return rows.withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm"), "price": F.round("price", 4)})
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
 
 
 @query("s22_pick_metric", """

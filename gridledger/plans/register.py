@@ -267,7 +267,8 @@ _SQL_TABLES["page_views"] = """
     FROM access_events
     WHERE method = 'GET' AND status IN (200, 304) AND event_type IN ('view', 'click', 'signup')"""
 _SQL_TABLES["price_rows"] = """
-    SELECT event_type AS bzn, date_trunc('hour', ts) AS hour_utc, round(avg(value), 4) - 10 AS price
+    SELECT event_type AS bzn, date_trunc('hour', ts) AS hour_utc,
+           floor(avg(floor(value * 8))) * 125e-3 - 10 AS price
     FROM events GROUP BY 1, 2"""
 
 _WORD = re.compile(r"[A-Za-z_]+")
@@ -397,7 +398,7 @@ class Register:
         hours = (
             self.source("events")
             .groupBy(F.col("event_type").alias("bzn"), F.date_trunc("hour", "ts").alias("hour"))
-            .agg((F.round(F.avg("value"), 4) - 10).alias("price"))
+            .agg((F.floor(F.avg(F.floor(F.col("value") * 8))) * 0.125 - 10).alias("price"))
         )
         # seconds since the epoch of a UTC wall-clock hour, whatever the session time zone is
         seconds = F.datediff(F.to_date("hour"), F.lit(dt.date(1970, 1, 1))).cast("bigint") * 86400
@@ -432,7 +433,9 @@ def access_lines(events: DataFrame) -> DataFrame:
         .when(shape == 1, "Mozilla/5.0 (Linux; Android 14) Mobile")
         .when(shape == 2, "ExampleBot/2.1").otherwise("Mozilla/5.0 (X11; Linux x86_64)")
     )
-    line = F.format_string('%s - - [%s%s] "%s %s HTTP/1.1" %s %s "%s" "%s"',
-                           ip, stamp, zone, method, path, status, size, referer, agent)
+    line = F.concat(
+        ip, F.lit(" - - ["), stamp, zone, F.lit('] "'), method, F.lit(" "), path,
+        F.lit(' HTTP/1.1" '), status, F.lit(" "), size, F.lit(' "'), referer, F.lit('" "'), agent,
+        F.lit('"'))
     return events.select(
         F.when(eid % 97 == 13, F.lit("-- damaged line --")).otherwise(line).alias("value"))

@@ -50,24 +50,23 @@ def latest_prices(r: Register) -> DataFrame:
 
 
 @query("q50_latest_price", f"""
-    SELECT bzn, country, lat, lon, unit, hour, round(price, 4) AS price, {_BAND} AS band FROM ({_LATEST})""")
+    SELECT bzn, country, lat, lon, unit, hour, price, {_BAND} AS band FROM ({_LATEST})""")
 def latest_price(r: Register) -> DataFrame:
     return latest_prices(r).select(
-        "bzn", "country", "lat", "lon", "unit", "hour", F.round("price", 4).alias("price"),
+        "bzn", "country", "lat", "lon", "unit", "hour", "price",
         price_band(F.col("price")).alias("band"))
 
 
 @query("q50_price_extremes", f"""
-    SELECT round(max(price), 4) AS max_value, arg_max(bzn, price) AS max_label,
-           round(min(price), 4) AS min_value, arg_min(bzn, price) AS min_label
+    SELECT max(price) AS max_value, arg_max(bzn, price) AS max_label,
+           min(price) AS min_value, arg_min(bzn, price) AS min_label
     FROM ({_LATEST})""")
 def price_extremes(r: Register) -> DataFrame:
-    found = A.extremes(latest_prices(r), "price", "bzn")
-    return found.withColumns({c: F.round(c, 4) for c in ("max_value", "min_value")})
+    return A.extremes(latest_prices(r), "price", "bzn")
 
 
 @query("q51_price_history", f"""
-    SELECT bzn, country, strftime(ts, '%d.%m.%Y %H:%M') AS ts_label, round(price, 4) AS price
+    SELECT bzn, country, strftime(ts, '%d.%m.%Y %H:%M') AS ts_label, price
     FROM ({_PRICES})
     WHERE bzn IN ('view', 'purchase') AND cast(ts AS date) BETWEEN DATE '2023-12-27' AND DATE '2024-01-26'""")
 def price_history(r: Register, wanted=("view", "purchase", "atlantis"),
@@ -83,34 +82,33 @@ def price_history(r: Register, wanted=("view", "purchase", "atlantis"),
         (day >= usable.select("clamped_start").scalar())
         & (day <= usable.select("clamped_end").scalar()))
     return rows.select("bzn", "country", F.date_format("ts", "dd.MM.yyyy HH:mm").alias("ts_label"),
-                       F.round("price", 4).alias("price"))
+                       "price")
 
 
 _DAY = f"SELECT * FROM ({_PRICES}) WHERE cast(ts AS date) = DATE '2024-01-15'"
 
 
 @query("q52_price_now", f"""
-    SELECT bzn, round(coalesce(arg_max(price, ts) FILTER (WHERE hour(ts) = 14), arg_max(price, ts)), 4)
-               AS price_now,
-           round(min(price), 4) AS day_min, round(max(price), 4) AS day_max
+    SELECT bzn, coalesce(arg_max(price, ts) FILTER (WHERE hour(ts) = 14), arg_max(price, ts)) AS price_now,
+           min(price) AS day_min, max(price) AS day_max
     FROM ({_DAY}) GROUP BY 1""")
 def price_now(r: Register, day: dt.date = dt.date(2024, 1, 15), hour: int = 14) -> DataFrame:
     """Price of the current hour, or the day's last one where that hour is missing."""
     ts, price = F.col("ts"), F.col("price")
     at_hour = F.max_by(price, F.when(F.hour(ts) == hour, ts))
     return prices(r).filter(F.to_date(ts) == F.lit(day)).groupBy("bzn").agg(
-        F.round(F.coalesce(at_hour, F.max_by(price, ts)), 4).alias("price_now"),
-        F.round(F.min(price), 4).alias("day_min"), F.round(F.max(price), 4).alias("day_max"))
+        F.coalesce(at_hour, F.max_by(price, ts)).alias("price_now"),
+        F.min(price).alias("day_min"), F.max(price).alias("day_max"))
 
 
 @query("q52_business_hours", f"""
     SELECT bzn, hour(ts) BETWEEN 7 AND 18 AS business_hour, count(*) AS hours,
-           round(avg(price), 6) AS mean_price
+           avg(price) AS mean_price
     FROM ({_PRICES}) GROUP BY 1, 2""")
 def business_hours(r: Register) -> DataFrame:
     flag = business_hour(F.col("ts")).alias("business_hour")
     return prices(r).groupBy("bzn", flag).agg(
-        F.count("*").alias("hours"), F.round(F.avg("price"), 6).alias("mean_price"))
+        F.count("*").alias("hours"), F.avg("price").alias("mean_price"))
 
 
 # ------------------------------------------------------------------------------- irradiance
@@ -180,8 +178,7 @@ def hourly_payloads(r: Register) -> DataFrame:
     SELECT bzn, cast(hour_utc AS date) AS day, strftime(hour_utc, '%H:%M') AS hour,
            cast(row_number() OVER (PARTITION BY bzn, cast(hour_utc AS date) ORDER BY hour_utc) AS integer)
                AS hour_ord,
-           round(price, 4) AS radiation
+           price AS radiation
     FROM price_rows""")
 def hourly_curve(r: Register) -> DataFrame:
-    curve = explode_hourly(hourly_payloads(r), ["bzn", "day"])
-    return curve.withColumn("radiation", F.round("radiation", 4))
+    return explode_hourly(hourly_payloads(r), ["bzn", "day"])

@@ -129,13 +129,13 @@ def busy_pct(r: Register) -> DataFrame:
 
 
 @query("t04_gauge_ratio", _window_sql("""
-    SELECT {w}, round(avg(value) FILTER (WHERE event_type = 'click')
-                      / nullif(avg(value) FILTER (WHERE event_type = 'view'), 0), 6) AS ratio
+    SELECT {w}, avg(floor(value * 8)) FILTER (WHERE event_type = 'click')
+                / nullif(avg(floor(value * 8)) FILTER (WHERE event_type = 'view'), 0) AS ratio
     FROM {src} GROUP BY w""", "event_type IN ('click', 'view')"))
 def gauge_ratio(r: Register) -> DataFrame:
-    samples = event_stream(r).select("ts", F.col("event_type").alias("metric"), "value")
-    out = to_table(W.gauge_ratio(samples, "click", "view", "1 hour"), work(r, "gauge"))
-    return stamped(out).withColumn("ratio", F.round("ratio", 6))
+    samples = event_stream(r).select("ts", F.col("event_type").alias("metric"),
+                                     F.floor(F.col("value") * 8).cast("double").alias("value"))
+    return stamped(to_table(W.gauge_ratio(samples, "click", "view", "1 hour"), work(r, "gauge")))
 
 
 def log_lines(events: DataFrame) -> DataFrame:
@@ -164,16 +164,14 @@ def parsed_lines(r: Register) -> DataFrame:
 
 
 @query("t08_probe_summary", _window_sql("""
-    SELECT {w}, event_type AS target, round(avg(CASE WHEN value < 100 THEN 1e0 ELSE 0e0 END), 6) AS availability,
-           round(avg(value), 6) AS mean_duration, count(*) AS probes
+    SELECT {w}, event_type AS target, avg(CASE WHEN value < 100 THEN 1e0 ELSE 0e0 END) AS availability,
+           avg(floor(value * 8) * 125e-3) AS mean_duration, count(*) AS probes
     FROM {src} GROUP BY w, event_type"""))
 def probe_summary(r: Register) -> DataFrame:
     probes = event_stream(r).select("ts", F.col("event_type").alias("target"),
                                     (F.col("value") < 100).cast("int").alias("success"),
-                                    F.col("value").alias("duration"))
-    out = stamped(to_table(W.probe_summary(probes, "1 hour"), work(r, "probe")))
-    return out.withColumns({"availability": F.round("availability", 6),
-                            "mean_duration": F.round("mean_duration", 6)})
+                                    (F.floor(F.col("value") * 8) * 0.125).alias("duration"))
+    return stamped(to_table(W.probe_summary(probes, "1 hour"), work(r, "probe")))
 
 
 @query("t09_expiry_left", """

@@ -139,11 +139,10 @@ def typed(df: DataFrame, entity: Entity) -> DataFrame:
 def dedup(df: DataFrame, ids: Sequence[str], order: str) -> DataFrame:
     """One row per id, the last updated; on equal dates the greatest row, so the pick is stable.
 
-    ``max_by`` combines before the shuffle: thousands of copies of one id cost one row per task.
+    A maximum over structs combines before the shuffle: copies of one id cost one row per task.
     """
-    rest = [c for c in df.columns if c not in ids]
-    stamp = F.struct(F.col(order), F.struct(*rest))
-    best = df.groupBy(*ids).agg(F.max_by(F.struct(*rest), stamp).alias("_row"))
+    rest = [c for c in df.columns if c not in (*ids, order)]
+    best = df.groupBy(*ids).agg(F.max(F.struct(order, *rest)).alias("_row"))
     return best.select(*ids, "_row.*").select(*df.columns)
 
 

@@ -38,19 +38,24 @@ def traffic_rolling(views: DataFrame, days: int, ts: str = "time", watermark: st
 def gauge_ratio(samples: DataFrame, num: str, den: str, width: str, ts: str = "ts",
                 watermark: str = "1 hour") -> DataFrame:
     """Mean of one gauge over the mean of another, per window."""
-    picked = _marked(samples, ts, watermark).filter(F.col("metric").isin(num, den))
-    means = picked.groupBy(F.window(ts, width)).agg(
+    means = _marked(samples, ts, watermark).groupBy(F.window(ts, width)).agg(
         F.avg(F.when(F.col("metric") == num, F.col("value"))).alias("num"),
-        F.avg(F.when(F.col("metric") == den, F.col("value"))).alias("den"))
+        F.avg(F.when(F.col("metric") == den, F.col("value"))).alias("den"),
+    ).filter(F.col("num").isNotNull() | F.col("den").isNotNull())
     ratio = F.try_divide(F.col("num"), F.nullif(F.col("den"), F.lit(0.0)))
     return _flat(means.withColumn("ratio", ratio).drop("num", "den"))
 
 
 def match_count(lines: DataFrame, job: str, text: str, width: str, ts: str = "ts",
                 watermark: str = "1 hour") -> DataFrame:
-    """Lines of one job that contain a text, per window."""
-    hits = _marked(lines, ts, watermark).filter((F.col("job") == job) & F.col("line").contains(text))
-    return _flat(hits.groupBy(F.window(ts, width)).agg(F.count("*").alias("n")))
+    """Lines of one job that contain a text, per window that has any.
+
+    The condition is counted, not filtered on: every line moves the watermark, so a quiet job's
+    windows close on time.
+    """
+    hit = (F.col("job") == job) & F.col("line").contains(text)
+    counts = _marked(lines, ts, watermark).groupBy(F.window(ts, width)).agg(F.count_if(hit).alias("n"))
+    return _flat(counts.filter(F.col("n") > 0))
 
 
 def probe_summary(probes: DataFrame, width: str, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
@@ -80,9 +85,9 @@ def expiry_left(samples: DataFrame, keys: list[str], ts: str, expires: str) -> D
 
 def latest_stream(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Newest row per key; on a stream, in update mode, each batch emits the keys that moved."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*[ts, *[c for c in rest if c != ts]]))
-                                 .alias("_row")).select(*keys, "_row.*")
+    rest = [c for c in df.columns if c not in (*keys, ts)]
+    newest = df.groupBy(*keys).agg(F.max(F.struct(ts, *rest)).alias("_row"))
+    return newest.select(*keys, "_row.*").select(*df.columns)
 
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, watermark: str = "2 hours") -> DataFrame:
