@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from gridledger.catalog import CARRIERS, RENEWABLE
 from gridledger.functions.labels import size_class6
-
-GRAIN = ["bundesland_name", "energietraeger", "plz", "month", "size_class", "located"]
+from gridledger.operators.units import by_state, in_known_state, with_state
 
 
 def unit_cube(units: DataFrame) -> DataFrame:
+    state = F.when(in_known_state(), F.col("bundesland_code"))
     return units.groupBy(
-        "bundesland_name", "energietraeger", "plz",
+        state.alias("bundesland_code"), "energietraeger", "plz",
         F.trunc("inbetriebnahme_datum", "MM").alias("month"),
         size_class6(F.col("bruttoleistung_kw")).alias("size_class"),
         F.col("lat").isNotNull().alias("located"),
@@ -44,9 +44,8 @@ def kpi_overview(cube: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def capacity_by_state(cube: DataFrame) -> DataFrame:
-    return cube.filter(F.col("bundesland_name").isNotNull()).groupBy(
-        "bundesland_name", "energietraeger").agg(
-        _units(), (F.sum("kw") / 1000).alias("bruttoleistung_mw"))
+    return by_state(cube, ["energietraeger"], _units(),
+                    (F.sum("kw") / 1000).alias("bruttoleistung_mw"))
 
 
 def buildout_monthly(cube: DataFrame) -> DataFrame:
@@ -65,8 +64,9 @@ def top_plz(cube: DataFrame, k: int = 5000) -> DataFrame:
 
 
 def solar_size_classes(cube: DataFrame) -> DataFrame:
-    return cube.filter(F.col("energietraeger") == CARRIERS["solar"]).groupBy(
-        "bundesland_name", "size_class").agg(_units(), (F.sum("kw") / 1000).alias("capacity_mw"))
+    classes = cube.filter(F.col("energietraeger") == CARRIERS["solar"]).groupBy(
+        "bundesland_code", "size_class").agg(_units(), (F.sum("kw") / 1000).alias("capacity_mw"))
+    return with_state(classes).drop("bundesland_code")
 
 
 def ee_quote_by_year(cube: DataFrame) -> DataFrame:

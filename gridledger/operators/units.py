@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,28 +66,36 @@ def unit_projection(df: DataFrame, source: str, carrier: str) -> DataFrame:
     return df.selectExpr(f"{source} AS source_table", f"{carrier} AS energietraeger", *shaped)
 
 
-def _unified(parts: list[DataFrame]) -> DataFrame:
-    """Union first, then one state join for all branches."""
-    return with_state(reduce(DataFrame.unionByName, parts)).select(
+def _unified(parts: list[DataFrame], names: bool) -> DataFrame:
+    """Union first, then, if names are wanted, one state join for all branches."""
+    union = reduce(DataFrame.unionByName, parts)
+    if not names:
+        return union
+    return with_state(union).select(
         "source_table", "energietraeger", "mastr_nr", "bruttoleistung_kw", "nettonennleistung_kw",
         "bundesland_code", "bundesland_name", "gemeinde", "plz", "lon", "lat",
         "inbetriebnahme_datum", "betriebsstatus",
     )
 
 
-def units_all(tables: Mapping[str, DataFrame]) -> DataFrame | None:
-    """Unified view of whichever power-unit tables exist; None when there are none."""
+def units_all(tables: Mapping[str, DataFrame], names: bool = True) -> DataFrame | None:
+    """Unified view of whichever power-unit tables exist; None when there are none.
+
+    ``names=False`` leaves the state name out. Aggregates take that form and look the name up for
+    their few result rows instead of for every unit.
+    """
     parts = [unit_projection(tables[key], f"'{key}'", f"'{carrier}'")
              for key, carrier in CARRIERS.items() if key in tables]
-    return _unified(parts) if parts else None
+    return _unified(parts, names) if parts else None
 
 
-def units_all_tagged(tagged: DataFrame, entity: str, extra: Mapping[str, DataFrame]) -> DataFrame:
+def units_all_tagged(tagged: DataFrame, entity: str, extra: Mapping[str, DataFrame],
+                     names: bool = True) -> DataFrame:
     """The same view when several unit types live in one table with a type column: one scan of it."""
     arms = " ".join(f"WHEN '{key}' THEN '{carrier}'" for key, carrier in CARRIERS.items())
     parts = [unit_projection(tagged, entity, f"CASE {entity} {arms} END")]
     parts += [unit_projection(df, f"'{key}'", f"'{CARRIERS[key]}'") for key, df in extra.items()]
-    return _unified(parts)
+    return _unified(parts, names)
 
 
 def _mw(col: str = "bruttoleistung_kw") -> Column:
@@ -106,12 +114,19 @@ def kpi_overview(units: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+def in_known_state(code: str = "bundesland_code") -> Column:
+    return F.col(code).isin(list(STATES))
+
+
+def by_state(units: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """Aggregate per known state and further keys, on the code, and name the result rows."""
+    grouped = units.filter(in_known_state()).groupBy("bundesland_code", *keys).agg(*aggs)
+    return with_state(grouped).drop("bundesland_code")
+
+
 def capacity_by_state(units: DataFrame) -> DataFrame:
-    return (
-        units.filter(F.col("bundesland_name").isNotNull())
-        .groupBy("bundesland_name", "energietraeger")
-        .agg(F.count("*").alias("units"), _mw().alias("bruttoleistung_mw"))
-    )
+    return by_state(units, ["energietraeger"], F.count("*").alias("units"),
+                    _mw().alias("bruttoleistung_mw"))
 
 
 def buildout_monthly(units: DataFrame) -> DataFrame:
@@ -137,11 +152,15 @@ def top_plz(units: DataFrame, k: int = 5000) -> DataFrame:
 
 
 def solar_size_classes(units: DataFrame) -> DataFrame:
-    return (
+    """Per state and class; units without a known state form one group with a NULL name."""
+    known = F.when(in_known_state(), F.col("bundesland_code"))
+    classes = (
         units.filter(F.col("energietraeger") == CARRIERS["solar"])
-        .groupBy("bundesland_name", size_class6(F.col("bruttoleistung_kw")).alias("size_class"))
+        .groupBy(known.alias("bundesland_code"),
+                 size_class6(F.col("bruttoleistung_kw")).alias("size_class"))
         .agg(F.count("*").alias("units"), _mw().alias("capacity_mw"))
     )
+    return with_state(classes).drop("bundesland_code")
 
 
 def wind_specs(wind: DataFrame) -> DataFrame:

@@ -80,8 +80,7 @@ def merged_branches(r: Register) -> DataFrame:
     FROM (SELECT bundesland_name, sum(bruttoleistung_kw) / 1000 AS mw, count(*) AS units FROM units_all
           WHERE bundesland_name IS NOT NULL GROUP BY 1) LEFT JOIN state_population USING (bundesland_name)""")
 def whole_register_per_capita(r: Register) -> DataFrame:
-    known = r.units.filter(F.col("bundesland_name").isNotNull())
-    return J.per_capita(known.groupBy("bundesland_name").agg(*units_and_mw()), r.state_population)
+    return J.per_capita(U.by_state(r.units, [], *units_and_mw()), r.state_population)
 
 
 @query("j05_a29_visitor_profile", """

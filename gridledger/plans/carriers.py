@@ -179,7 +179,7 @@ def hydro_types(r: Register) -> DataFrame:
     ORDER BY bruttoleistung_kw DESC NULLS LAST, mastr_nr LIMIT 50""")
 def hydro_largest(r: Register) -> DataFrame:
     hydro = r.units.filter(F.col("energietraeger") == "Wasser")
-    return L.top_k(hydro, "bruttoleistung_kw", 50, ["mastr_nr"]).select(
+    return U.with_state(L.top_k(hydro, "bruttoleistung_kw", 50, ["mastr_nr"])).select(
         "mastr_nr", "bundesland_name", "gemeinde",
         F.round(F.col("bruttoleistung_kw") / 1000, 1).alias("mw"), "inbetriebnahme_datum")
 

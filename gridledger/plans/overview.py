@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from gridledger.catalog import CARRIERS, RENEWABLE, SIZE_CLASSES_6
 from gridledger.functions.labels import size_class6
-from gridledger.functions.predicates import in_list_or_all, is_active, since_months, year_between
+from gridledger.functions.predicates import (
+    in_list_or_all,
+    is_active,
+    since_months,
+    state_codes,
+    year_between,
+)
 from gridledger.operators import aggregates as A
 from gridledger.operators import joins as J
 from gridledger.operators import ranking as L
@@ -36,7 +42,7 @@ def overview_kpi(r: Register) -> DataFrame:
     FROM units_all WHERE bundesland_name IS NOT NULL GROUP BY 1""")
 def capacity_by_carrier(r: Register) -> DataFrame:
     # straight from the units: rolling the state table up would add a second shuffle
-    known = r.units.filter(F.col("bundesland_name").isNotNull())
+    known = r.units.filter(U.in_known_state())
     return known.groupBy("energietraeger").agg(*units_and_mw())
 
 
@@ -68,7 +74,7 @@ _SOLAR_FLEET = """energietraeger = 'SolareStrahlungsenergie'
 def solar_fleet(r: Register, states=("Bayern", "Hessen", "Thüringen"), years=(1996, 2000),
                 active: bool = True) -> DataFrame:
     fleet = r.units.filter(
-        (F.col("energietraeger") == SOLAR) & in_list_or_all(F.col("bundesland_name"), states)
+        (F.col("energietraeger") == SOLAR) & in_list_or_all(F.col("bundesland_code"), state_codes(states))
         & year_between(F.col("inbetriebnahme_datum"), *years))
     return fleet.filter(is_active(fleet)) if active else fleet
 
@@ -157,8 +163,8 @@ def buildout_yearly(r: Register) -> DataFrame:
             AND bundesland_name IS NOT NULL GROUP BY 1) u
     LEFT JOIN state_population p USING (bundesland_name)""")
 def state_league(r: Register) -> DataFrame:
-    states = r.units.filter((F.col("energietraeger") == SOLAR) & F.col("bundesland_name").isNotNull())
-    return J.per_capita(states.groupBy("bundesland_name").agg(*units_and_mw()), r.state_population)
+    solar = r.units.filter(F.col("energietraeger") == SOLAR)
+    return J.per_capita(U.by_state(solar, [], *units_and_mw()), r.state_population)
 
 
 @query("q27_ee_share_year", f"""
@@ -182,8 +188,8 @@ def ee_share_year(r: Register) -> DataFrame:
 def ee_share_state(r: Register) -> DataFrame:
     renewable = F.col("energietraeger").isin(list(RENEWABLE))
     kw = F.col("bruttoleistung_kw")
-    states = r.units.filter(F.col("bundesland_name").isNotNull()).groupBy("bundesland_name").agg(
-        (F.coalesce(F.sum(F.when(renewable, kw)), F.lit(0.0)) / 1000).alias("ee_mw"),
+    states = U.by_state(
+        r.units, [], (F.coalesce(F.sum(F.when(renewable, kw)), F.lit(0.0)) / 1000).alias("ee_mw"),
         (F.sum(kw) / 1000).alias("total_mw"))
     return states.withColumn(
         "share", F.round(A.ratio(F.col("ee_mw"), F.col("total_mw"), 100), 6))
