@@ -136,11 +136,15 @@ def _range_of(df: DataFrame, value: Column) -> tuple[Column, Column]:
 
 def scale_idx(df: DataFrame, col: str, out: str, steps: int = 100,
               low: float | None = None, high: float | None = None) -> DataFrame:
-    """Position 1..steps of a value within a range, by default the range of the whole set."""
+    """Position 1..steps of a value within a range, by default the range of the whole set.
+
+    A missing value, or a range without width, has no position.
+    """
     lo, hi = _range_of(df, F.col(col)) if low is None or high is None else (F.lit(low), F.lit(high))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(col) - lo, hi - lo)))
-    index = F.floor(share * (steps - 1) + 1).cast("int")
-    return df.withColumn(out, F.greatest(F.lit(1), F.least(F.lit(steps), index)))
+    share = F.try_divide((F.col(col) - lo).cast("double"), (hi - lo).cast("double"))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    index = F.floor(inside * (steps - 1) + 1).cast("int")
+    return df.withColumn(out, F.when(share.isNotNull(), index))
 
 
 def rescale_sqrt(df: DataFrame, col: str, out: str, low: float = 6.0, high: float = 22.0) -> DataFrame:
