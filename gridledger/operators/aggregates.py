@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,17 +72,21 @@ def mode_per_group(df: DataFrame, keys: Sequence[str], col: str, out: str) -> Da
     return counts.groupBy(*keys).agg(F.min_by(col, F.struct(-F.col("_n"), F.col(col))).alias(out))
 
 
-def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggs: Sequence[Column]) -> DataFrame:
-    """Native grouping sets with a ``level`` id: which columns a row was grouped by."""
+def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], sums: Mapping[str, Column]) -> DataFrame:
+    """Native grouping sets of summed columns, with a ``level`` id: which columns a row was grouped by.
+
+    The rows are folded to the finest grain first, so only the folded rows are copied per set.
+    """
     keys = list(dict.fromkeys(c for s in sets for c in s))
-    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(k) for k in keys])
-    return grouped.agg(F.grouping_id().cast("int").alias("level"), *aggs)
+    fine = df.groupBy(*keys).agg(*[F.sum(col).alias(name) for name, col in sums.items()])
+    grouped = fine.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(k) for k in keys])
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), *[F.sum(n).alias(n) for n in sums])
 
 
-def with_grand_total(df: DataFrame, keys: Sequence[str], category: str, aggs: Sequence[Column],
+def with_grand_total(df: DataFrame, keys: Sequence[str], category: str, sums: Mapping[str, Column],
                      label: str = "Grand Total") -> DataFrame:
     """Detail rows per category plus one total row per remaining key."""
-    grouped = grouping_sets(df, [[*keys, category], list(keys)], aggs)
+    grouped = grouping_sets(df, [[*keys, category], list(keys)], sums)
     return grouped.withColumn(
         category, F.when(F.col("level") > 0, F.lit(label)).otherwise(F.col(category))).drop("level")
 

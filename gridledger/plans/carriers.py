@@ -178,8 +178,7 @@ def hydro_types(r: Register) -> DataFrame:
     FROM units_all WHERE energietraeger = 'Wasser'
     ORDER BY bruttoleistung_kw DESC NULLS LAST, mastr_nr LIMIT 50""")
 def hydro_largest(r: Register) -> DataFrame:
-    hydro = r.units.filter(F.col("energietraeger") == "Wasser")
-    return U.with_state(L.top_k(hydro, "bruttoleistung_kw", 50, ["mastr_nr"])).select(
+    return U.with_state(L.top_k(r.units_of("wasser"), "bruttoleistung_kw", 50, ["mastr_nr"])).select(
         "mastr_nr", "bundesland_name", "gemeinde",
         F.round(F.col("bruttoleistung_kw") / 1000, 1).alias("mw"), "inbetriebnahme_datum")
 
@@ -316,7 +315,7 @@ def grid_points(r: Register) -> DataFrame:
     return A.grouping_sets(
         r.table("netzanschlusspunkte"),
         [["Netzbetreiber", "Spannungsebene"], ["Netzbetreiber"], ["Spannungsebene"]],
-        [F.count("*").alias("n")])
+        {"n": F.lit(1)})
 
 
 @query("q21_grid_kpi", """

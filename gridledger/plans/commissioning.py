@@ -428,8 +428,9 @@ def segment_rows(r: Register, first: int = 1998, last: int = 2001) -> DataFrame:
            sum({KW}) / 1000, count(*)
     {_SEGMENT_ROWS} GROUP BY 1, 2""")
 def monthly_segments(r: Register) -> DataFrame:
-    return A.with_grand_total(segment_rows(r), ["year", "month"], "segment",
-                              [mw(KW).alias("mw"), F.count("*").alias("units")])
+    totals = A.with_grand_total(segment_rows(r), ["year", "month"], "segment",
+                                {"mw": F.col(KW), "units": F.lit(1)})
+    return totals.withColumn("mw", F.col("mw") / 1000)
 
 
 @query("q40_ytd_vs_previous_year", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.catalog import CARRIERS, RENEWABLE, SIZE_CLASSES_6
+from gridledger.catalog import RENEWABLE, SIZE_CLASSES_6
 from gridledger.functions.labels import size_class6
 from gridledger.functions.predicates import (
     in_list_or_all,
@@ -23,9 +23,6 @@ from gridledger.plans.register import AS_OF, Register
 from gridledger.plans.registry import query
 from gridledger.plans.shaping import SQL_RENEWABLE, sql_class6, units_and_mw
 
-SOLAR = CARRIERS["solar"]
-
-
 @query("q01_overview_kpi", f"""
     SELECT count(*) AS units_total, sum(bruttoleistung_kw) / 1e6 AS capacity_gw,
            count(*) FILTER (WHERE energietraeger IN {SQL_RENEWABLE}) AS ee_units,
@@ -73,8 +70,8 @@ _SOLAR_FLEET = """energietraeger = 'SolareStrahlungsenergie'
 
 def solar_fleet(r: Register, states=("Bayern", "Hessen", "Thüringen"), years=(1996, 2000),
                 active: bool = True) -> DataFrame:
-    fleet = r.units.filter(
-        (F.col("energietraeger") == SOLAR) & in_list_or_all(F.col("bundesland_code"), state_codes(states))
+    fleet = r.units_of("solar").filter(
+        in_list_or_all(F.col("bundesland_code"), state_codes(states))
         & year_between(F.col("inbetriebnahme_datum"), *years))
     return fleet.filter(is_active(fleet)) if active else fleet
 
@@ -163,8 +160,7 @@ def buildout_yearly(r: Register) -> DataFrame:
             AND bundesland_name IS NOT NULL GROUP BY 1) u
     LEFT JOIN state_population p USING (bundesland_name)""")
 def state_league(r: Register) -> DataFrame:
-    solar = r.units.filter(F.col("energietraeger") == SOLAR)
-    return J.per_capita(U.by_state(solar, [], *units_and_mw()), r.state_population)
+    return J.per_capita(U.by_state(r.units_of("solar"), [], *units_and_mw()), r.state_population)
 
 
 @query("q27_ee_share_year", f"""

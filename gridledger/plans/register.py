@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridledger.catalog import CARRIERS, STATE_POPULATION_MIO, STATES
-from gridledger.operators.units import literal_table, units_all_tagged
+from gridledger.operators.units import literal_table, units_all, units_all_tagged
 
 AS_OF = dt.date(2001, 8, 15)
 HOME_STATE = "1415"
@@ -359,6 +359,10 @@ class Register:
         extra = {key: self.table(key) for key in ("geothermie", "kernkraft")}
         return units_all_tagged(tagged, "entity", extra, names=False)
 
+    def units_of(self, *keys: str) -> DataFrame:
+        """The unified view of some unit types; their row filters reach the reader."""
+        return units_all({key: self.table(key) for key in keys}, names=False)
+
     @cached_property
     def plz_district(self) -> DataFrame:
         """Postcode to district; a postcode has one district."""

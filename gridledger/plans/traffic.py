@@ -35,13 +35,18 @@ def visitor_profile(page_hits: DataFrame) -> DataFrame:
 
 
 def traffic_summary(page_hits: DataFrame) -> DataFrame:
-    """Hits and visitors in total and by day, hour, page and device: one read, one shuffle path."""
-    cols = page_hits.select(
-        F.date_format("time", "yyyy-MM-dd").alias("day"), F.date_format("time", "HH:00").alias("hour"),
-        "dashboard", "device", "ip")
+    """Hits and visitors in total and by day, hour, page and device, from one read of the views.
+
+    Views are folded per address first; only the folded rows are copied once per summary.
+    """
     dims = ["day", "hour", "dashboard", "device"]
-    grouped = A.grouping_sets(cols, [[], *[[d] for d in dims]], [
-        F.count("*").alias("hits"), F.count_distinct("ip").alias("visitors")])
+    folded = page_hits.groupBy(
+        F.date_format("time", "yyyy-MM-dd").alias("day"), F.date_format("time", "HH:00").alias("hour"),
+        "dashboard", "device", "ip").agg(F.count("*").alias("n"))
+    sets = [[], *[[F.col(d)] for d in dims]]
+    grouped = folded.groupingSets(sets, *[F.col(d) for d in dims]).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("hits"),
+        F.count_distinct("ip").alias("visitors"))
     everything = (1 << len(dims)) - 1
     names = F.create_map(F.lit(everything), F.lit("total"), *[
         F.lit(x) for i, d in enumerate(dims) for x in (everything - (1 << (len(dims) - 1 - i)), d)])

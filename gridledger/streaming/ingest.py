@@ -9,11 +9,11 @@ from gridledger.streaming.runner import drain
 
 
 def ingest_snapshots(spark: SparkSession, landing: str, schema: StructType, table: str,
-                     checkpoint: str) -> dict[str, int]:
+                     checkpoint: str) -> None:
     """Append the files that arrived below ``landing/snapshot=YYYY-MM-DD`` since the last call.
 
     The checkpoint remembers which files were read and the sink which were written, so calling
-    again, also after a crash, neither skips nor repeats one. Returns rows taken this time.
+    again, also after a crash, neither skips nor repeats one.
     """
     query = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 10_000).parquet(landing)
@@ -21,4 +21,3 @@ def ingest_snapshots(spark: SparkSession, landing: str, schema: StructType, tabl
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     drain(query)
-    return {"rows": sum(p["numInputRows"] for p in query.recentProgress)}
