@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import fnmatch
 import os
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -44,15 +45,16 @@ def _utf8_chunks(source: BinaryIO, size: int = 1 << 20) -> Iterator[bytes]:
 
 def split_records(chunks: Iterator[bytes], tag: str, part_bytes: int) -> Iterator[bytes]:
     """Cut an XML byte stream behind closing record tags into documents of about ``part_bytes``."""
-    opening, closing = f"<{tag}".encode(), f"</{tag}>".encode()
+    # the root is often the plural of the tag, so the name has to end where the tag's name ends
+    opening, closing = re.compile(rf"<{tag}[\s/>]".encode()), f"</{tag}>".encode()
     started, kept = False, b""
     for chunk in chunks:
         kept += chunk
         if not started:
-            at = kept.find(opening)
-            if at < 0:
+            first = opening.search(kept)
+            if first is None:
                 continue
-            started, kept = True, kept[at:]
+            started, kept = True, kept[first.start():]
         if len(kept) >= part_bytes:
             cut = kept.rfind(closing)
             if cut > 0:
