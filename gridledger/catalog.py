@@ -186,3 +186,17 @@ STATE_POPULATION_MIO = {
     "Brandenburg": 2.60, "Mecklenburg-Vorpommern": 1.61, "Sachsen": 4.00,
     "Sachsen-Anhalt": 2.13, "Thüringen": 2.10,
 }
+
+# --- fixed values: words in a user agent, first rule that fits ------------------------------
+DEVICE_WORDS = (
+    ("Tablet", ("ipad", "tablet")),
+    ("Phone", ("mobile", "iphone", "android")),
+    ("Bot", ("bot", "crawl", "spider", "slurp")),
+)
+# --- fixed values: paths that are no page views ---------------------------------------------
+ASSET_PATH_PARTS = (
+    "websocket", "/__", "/lib/", "/shiny-", "/bootstrap-", "/jquery-", "/font-", ".woff", ".woff2",
+)
+ASSET_SUFFIXES = (
+    "js", "css", "png", "jpg", "jpeg", "gif", "svg", "ico", "map", "json", "tsv", "wasm",
+)

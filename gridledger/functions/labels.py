@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridledger.catalog import (
+    DEVICE_WORDS,
     MONTHS_DE,
     SECTOR_PREFIXES,
     SEGMENTS_3,
@@ -92,12 +93,8 @@ def known_or_null(col: Column, known: Sequence[str]) -> Column:
 
 def device(agent: Column) -> Column:
     ua = F.lower(F.coalesce(agent, F.lit("")))
-    return (
-        F.when(ua.rlike("ipad|tablet"), "Tablet")
-        .when(ua.rlike("mobile|iphone|android"), "Phone")
-        .when(ua.rlike("bot|crawl|spider|slurp"), "Bot")
-        .otherwise("Desktop")
-    )
+    rules = [F.when(ua.rlike("|".join(words)), F.lit(kind)) for kind, words in DEVICE_WORDS]
+    return F.coalesce(*rules, F.lit("Desktop"))
 
 
 def page_slug(path: Column) -> Column:

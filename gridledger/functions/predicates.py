@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gridledger.catalog import (
     ACTIVE_STATUS,
+    ASSET_PATH_PARTS,
+    ASSET_SUFFIXES,
     BATTERY_CHEMISTRY_CODES,
     BATTERY_TECHNOLOGY_CODES,
     BATTERY_WORDS,
@@ -132,8 +135,8 @@ def is_entry_page(path: Column) -> Column:
 
 def is_asset(path: Column) -> Column:
     """Anything that is not an entry page, plus sockets, libraries and static files."""
-    parts = path.rlike(r"(?i)(websocket|/__|/lib/|/shiny-|/bootstrap-|/jquery-|/font-|\.woff|\.woff2)")
-    files = path.rlike(r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|ico|map|json|tsv|wasm)(\?|$)")
+    parts = path.rlike("(?i)(" + "|".join(map(re.escape, ASSET_PATH_PARTS)) + ")")
+    files = path.rlike(r"(?i)\.(" + "|".join(ASSET_SUFFIXES) + r")(\?|$)")
     return ~is_entry_page(path) | F.coalesce(parts | files, F.lit(True))
 
 

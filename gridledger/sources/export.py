@@ -33,10 +33,11 @@ def load_export(spark: SparkSession, archive: str, table_dir: str,
         if only and key not in only:
             continue
         staged = new_work_path(spark, f"staged-{key}").removeprefix("file:")
-        if not X.stage_members(spark, archive, entity, staged):
-            log.warning("entity %s: no member matches %s", key, entity.members)
+        found = X.stage_members(spark, archive, entity, staged)
+        if not found.columns:
+            log.warning("entity %s: no record in members %s", key, entity.members)
             continue
-        raw, read = X.read_entity(spark, staged, entity)
+        raw, read = X.read_entity(spark, staged, entity, found.columns)
         table = X.typed(raw, entity)
         ids = [c for c in entity.ids if c in table.columns]
         if len(ids) == len(entity.ids):

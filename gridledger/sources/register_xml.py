@@ -9,7 +9,7 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
-from typing import BinaryIO
+from typing import BinaryIO, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -66,46 +66,64 @@ def split_records(chunks: Iterator[bytes], tag: str, part_bytes: int) -> Iterato
         yield b"<part>" + kept[: end + len(closing)] + b"</part>"
 
 
+class Staged(NamedTuple):
+    """What staging found: parts written per member, and every child tag of the records."""
+
+    parts: dict[str, int]
+    columns: list[str]
+
+
+def _child_tags(part: bytes, tag: str) -> set[str]:
+    names = {name.decode() for name in re.findall(rb"<([A-Za-z_][\w.\-]*)[\s/>]", part)}
+    return names - {tag, "part"}
+
+
 def stage_members(spark: SparkSession, archive: str, entity: Entity, out_dir: str,
-                  part_bytes: int = 64 << 20) -> list[str]:
+                  part_bytes: int = 64 << 20) -> Staged:
     """Unpack an entity's members to ``out_dir``, one task per member, as files of moderate size.
 
     A compressed member can only be read front to back, so it is cut into parts here, which later
-    tasks parse in parallel; a task holds one part in memory. Archive and target must be on storage
-    every executor reaches. Parts are written under a temporary name and renamed, and the cuts do
-    not depend on the attempt, so a retried or duplicated task leaves the same whole files.
+    tasks parse in parallel; a task holds one part in memory. The tags seen on the way spare the
+    reader a pass of its own to discover columns. Archive and target must be on storage every
+    executor reaches. Parts are written under a temporary name and renamed, and the cuts do not
+    depend on the attempt, so a retried or duplicated task leaves the same whole files.
     """
     members = list_members(archive, entity.members)
     if not members:
-        return []
+        return Staged({}, [])
     tag = entity.tag
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(out_dir, exist_ok=True)
         with zipfile.ZipFile(archive) as zf:
-            for batch in batches:
-                for member in batch["member"]:
-                    stem = os.path.splitext(os.path.basename(member))[0]
-                    with zf.open(member) as source:
-                        for i, part in enumerate(split_records(_utf8_chunks(source), tag, part_bytes)):
-                            target = os.path.join(out_dir, f"{stem}-{i:05d}.xml")
-                            draft = os.path.join(out_dir, f".{uuid.uuid4().hex}")
-                            with open(draft, "wb") as sink:
-                                sink.write(part)
-                            os.replace(draft, target)
-                            yield pd.DataFrame({"path": [target]})
+            for member in (m for batch in batches for m in batch["member"]):
+                stem = os.path.splitext(os.path.basename(member))[0]
+                tags: set[str] = set()
+                count = 0
+                with zf.open(member) as source:
+                    for part in split_records(_utf8_chunks(source), tag, part_bytes):
+                        draft = os.path.join(out_dir, f".{uuid.uuid4().hex}")
+                        with open(draft, "wb") as sink:
+                            sink.write(part)
+                        os.replace(draft, os.path.join(out_dir, f"{stem}-{count:05d}.xml"))
+                        tags |= _child_tags(part, tag)
+                        count += 1
+                yield pd.DataFrame({"member": [member], "parts": [count], "tags": [sorted(tags)]})
 
     names = spark.createDataFrame([(m,) for m in members], "member string")
     one_each = names.repartitionByRange(len(members), "member")
-    return sorted(r.path for r in one_each.mapInPandas(unpack, "path string").collect())
+    done = one_each.mapInPandas(unpack, "member string, parts long, tags array<string>").collect()
+    # the reader's columns ignore case, so of two spellings the first is kept
+    columns = {tag.lower(): tag for tag in sorted({t for r in done for t in r.tags}, reverse=True)}
+    return Staged({r.member: r.parts for r in done}, sorted(columns.values()))
 
 
 def read_entity(spark: SparkSession, path: str, entity: Entity,
                 columns: Sequence[str] | None = None) -> tuple[DataFrame, Observation]:
     """All records of one entity as text columns; damaged records are counted and dropped.
 
-    Without ``columns`` one extra pass over the files discovers the tags. A file is one task, which
-    is why staging cuts large members. The observation yields ``records``, ``damaged`` and
+    Give the ``columns`` that staging found; without them one extra pass over the files discovers
+    the tags. A file is one task, which is why staging cuts large members. The observation yields ``records``, ``damaged`` and
     ``identified`` (records with an id) once the data has been written or counted.
     """
     options = {"rowTag": entity.tag, "nullValue": "", "mode": "PERMISSIVE",

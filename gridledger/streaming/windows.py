@@ -67,9 +67,10 @@ def probe_summary(probes: DataFrame, width: str, ts: str = "ts", watermark: str
 
 def parse_logfmt(line: Column) -> Column:
     """key=value text to a map; values may be quoted; the first of a repeated key wins."""
-    pair = r'([A-Za-z_][\w.]*)=("[^"]*"|\S*)'
-    keys = F.regexp_extract_all(line, F.lit(pair), F.lit(1))
-    values = F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(2)), lambda v: F.btrim(v, F.lit('"')))
+    pairs = F.regexp_extract_all(line, F.lit(r'[A-Za-z_][\w.]*=(?:"[^"]*"|\S*)'), F.lit(0))
+    keys = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+    values = F.transform(
+        pairs, lambda p: F.btrim(F.substr(p, F.instr(p, "=") + 1), F.lit('"')))
     names = F.array_distinct(keys)
     return F.map_from_arrays(
         names, F.transform(names, lambda k: F.element_at(values, F.array_position(keys, k).cast("int"))))

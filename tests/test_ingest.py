@@ -41,15 +41,15 @@ def archive(folder, members, encoding="utf-8"):
 
 def load(spark, folder, members, encoding="utf-8", part_bytes=1 << 20, columns=None):
     out = os.path.join(folder, "staged")
-    parts = X.stage_members(spark, archive(folder, members, encoding), SOLAR, out, part_bytes)
-    raw, counts = X.read_entity(spark, out, SOLAR, columns)
-    return X.typed(raw, SOLAR), counts, parts
+    found = X.stage_members(spark, archive(folder, members, encoding), SOLAR, out, part_bytes)
+    raw, counts = X.read_entity(spark, out, SOLAR, columns or found.columns)
+    return X.typed(raw, SOLAR), counts, found
 
 
 def test_two_record_archive(spark, folder):
-    df, counts, parts = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + SECOND + "</EinheitenSolar>"})
+    df, counts, found = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + SECOND + "</EinheitenSolar>"})
     got = {r.EinheitMastrNummer: r for r in df.collect()}
-    assert len(got) == 2 and len(parts) == 1
+    assert len(got) == 2 and found.parts == {"EinheitenSolar_1.xml": 1}
     one, two = got["SEE900000000001"], got["SEE900000000002"]
     assert one.Bruttoleistung == 9.84 and two.Bruttoleistung == 330.0
     assert one.Inbetriebnahmedatum == dt.date(2021, 3, 15) and one.Laengengrad == 11.581
@@ -61,10 +61,11 @@ def test_two_record_archive(spark, folder):
 
 def test_only_matching_members_are_read(spark, folder):
     other = HEAD.replace("Solar", "Wind") + "</EinheitenWind>"
-    _, _, parts = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + "</EinheitenSolar>",
+    _, _, found = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + "</EinheitenSolar>",
                                        "EinheitenWind.xml": other})
-    assert [os.path.basename(p) for p in parts] == ["EinheitenSolar_1-00000.xml"]
-    assert X.stage_members(spark, os.path.join(folder, "export.zip"), ENTITIES["kwk"], folder) == []
+    assert os.listdir(os.path.join(folder, "staged")) == ["EinheitenSolar_1-00000.xml"]
+    assert "Bruttoleistung" in found.columns and SOLAR.tag not in found.columns
+    assert X.stage_members(spark, os.path.join(folder, "export.zip"), ENTITIES["kwk"], folder) == ({}, [])
 
 
 def test_columns_grow_across_members(spark, folder):
@@ -98,7 +99,7 @@ def test_utf16_members(spark, folder):
 def test_large_members_are_cut_between_records(spark, folder):
     many = "".join(record(EinheitMastrNummer=f"S{i}", Gemeinde="Ä" * 40) for i in range(500))
     members = {"EinheitenSolar_1.xml": HEAD + many + "</EinheitenSolar>"}
-    df, _, parts = load(spark, folder, members, part_bytes=4000)
+    df, _, _ = load(spark, folder, members, part_bytes=4000)
     # the stream is read by the megabyte, so one small member arrives as a single chunk
     assert df.count() == 500 and df.select("EinheitMastrNummer").distinct().count() == 500
     text = (HEAD + many + "</EinheitenSolar>").encode()
@@ -199,6 +200,12 @@ def test_members_by_glob(folder):
     assert X.list_members(path, "EinheitenSolar*.xml") == ["EinheitenSolar_1.xml", "EinheitenSolar_2.xml"]
 
 
+def test_reader_discovers_columns_when_none_are_given(spark, folder):
+    _, _, found = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + ODD + "</EinheitenSolar>"})
+    raw, _ = X.read_entity(spark, os.path.join(folder, "staged"), SOLAR)
+    assert sorted(raw.columns) == found.columns and raw.count() == 2
+
+
 @pytest.mark.parametrize("columns", [["EinheitMastrNummer", "Bruttoleistung"]])
 def test_explicit_columns_skip_discovery(spark, folder, columns):
     df, _, _ = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + "</EinheitenSolar>"}, columns=columns)
