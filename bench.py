@@ -33,7 +33,9 @@ HEADLINE = [
     "q60_battery_kpi",                # schema-tolerant storage fleet
     "a24_day_quantiles",              # fact-to-fact join, exact quantiles
     "a25_median",                     # exact median of a continuous column
+    "s01_s05_xml_to_typed",           # write and parse XML, type columns
     "s07_dedup",                      # last-updated row per id
+    "s11_s28_written_aggregate",      # all seven aggregates written, one read
     "t03_counter_rate",               # counter rates with restarts
 ]
 

@@ -104,6 +104,11 @@ def state_codes(names: Sequence[str]) -> list[str]:
     return [code for code, name in STATES.items() if name in set(names)]
 
 
+def in_states(code: Column, names: Sequence[str] | None) -> Column:
+    """State filter by name on the code column: no name is no filter, unknown names match nothing."""
+    return in_list(code, state_codes(names)) if names else F.lit(True)
+
+
 def business_hour(local: Column, first: int = 7, last: int = 18) -> Column:
     return F.hour(local).between(first, last)
 

@@ -167,7 +167,8 @@ def wind_specs(wind: DataFrame) -> DataFrame:
     """Hub height, rotor and rating per turbine; columns a release lacks are NULL, and without a
     hub-height column there is nothing to show."""
     height = col_or_null(wind, "Nabenhoehe", "double")
-    kept = wind.filter(height.isNotNull()) if has_column(wind, "Nabenhoehe") else wind.limit(0)
+    given = col_or_null(wind, "Nabenhoehe").isNotNull()
+    kept = wind.filter(given) if has_column(wind, "Nabenhoehe") else wind.limit(0)
     return kept.select(
         height.alias("nabenhoehe_m"),
         col_or_null(wind, "Rotordurchmesser", "double").alias("rotor_m"),

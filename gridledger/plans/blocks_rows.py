@@ -130,9 +130,8 @@ def enum_labels(r: Register) -> DataFrame:
     SELECT u.bundesland_code, count(*) AS n FROM units_all u
     WHERE bundesland_name IN ('Hessen', 'Sachsen') GROUP BY 1""")
 def named_states(r: Register) -> DataFrame:
-    codes = T.state_codes(["Hessen", "Sachsen", "Atlantis"])
-    return r.units.filter(T.in_list(F.col("bundesland_code"), codes)).groupBy("bundesland_code").agg(
-        F.count("*").alias("n"))
+    chosen = r.units.filter(T.in_states(F.col("bundesland_code"), ["Hessen", "Sachsen", "Atlantis"]))
+    return chosen.groupBy("bundesland_code").agg(F.count("*").alias("n"))
 
 
 @query("p17_plausible", """

@@ -9,11 +9,11 @@ from gridledger.functions.convert import to_iso_date
 from gridledger.functions.labels import label_or_unknown
 from gridledger.functions.predicates import (
     in_list,
+    in_states,
     is_active,
     is_offshore,
     is_onshore,
     kw_between,
-    state_codes,
     year_between,
 )
 from gridledger.operators import aggregates as A
@@ -42,7 +42,7 @@ def onshore(r: Register, years=(1995, 2001), mw=(0.5, 8.0)) -> DataFrame:
            avg(Bruttoleistung) / 1000 AS avg_mw
     FROM wind WHERE {_ONSHORE} AND Bundesland IN ('1403', '1408', '1415')""")
 def onshore_summary(r: Register, states=("Bayern", "Niedersachsen", "Thüringen")) -> DataFrame:
-    chosen = onshore(r).filter(in_list(F.col("Bundesland"), state_codes(states)))
+    chosen = onshore(r).filter(in_states(F.col("Bundesland"), states))
     return chosen.agg(F.count("*").alias("turbines"), (F.sum("Bruttoleistung") / 1000).alias("mw"),
                       (F.avg("Bruttoleistung") / 1000).alias("avg_mw"))
 

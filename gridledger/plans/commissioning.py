@@ -17,9 +17,9 @@ from gridledger.functions.labels import (
 )
 from gridledger.functions.predicates import (
     in_list_or_all,
+    in_states,
     is_active,
     is_battery,
-    state_codes,
     year_between,
     ytd,
 )
@@ -116,7 +116,7 @@ def _matrix_sql(kw: str) -> str:
 def bucket_matrix(r: Register, kw: str) -> DataFrame:
     rows = r.solar.filter(
         F.col(DAY).isNotNull() & F.col(kw).isNotNull()
-        & in_list_or_all(F.col("Bundesland"), state_codes(["Bayern", "Thüringen"])))
+        & in_states(F.col("Bundesland"), ["Bayern", "Thüringen"]))
     matrix = A.bucket_matrix(rows, size_bucket17(F.col(kw)), size_bucket17_ord(F.col(kw)), kw)
     return matrix.withColumns({
         "mw_total": F.round("mw_total", 6), "units_share": F.round("units_share", 9),
@@ -202,7 +202,7 @@ _SOLAR_TABLE = (f"year({DAY}) BETWEEN 1995 AND 2001 AND EinheitBetriebsstatus IN
 
 def solar_table(r: Register, grain: str) -> DataFrame:
     rows = dated(r.solar, active=True).filter(
-        in_list_or_all(F.col("Bundesland"), state_codes(["Baden-Württemberg", "Bayern"])))
+        in_states(F.col("Bundesland"), ["Baden-Württemberg", "Bayern"]))
     return commissioning_table(rows, grain, "solaranlagen", percent=True)
 
 
@@ -272,7 +272,7 @@ def _bars_sql(table: str, where: str) -> str:
 @query("q33_solar_quarter_bars", _bars_sql("solar", "Bundesland = '1403'"))
 def solar_quarter_bars(r: Register) -> DataFrame:
     rows = dated(r.solar, active=True)
-    return quarterly_bars(rows.filter(in_list_or_all(F.col("Bundesland"), state_codes(["Bayern"]))))
+    return quarterly_bars(rows.filter(in_states(F.col("Bundesland"), ["Bayern"])))
 
 
 @query("q33_battery_quarter_bars", _bars_sql("stromspeicher", """

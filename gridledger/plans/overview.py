@@ -9,9 +9,9 @@ from gridledger.catalog import RENEWABLE, SIZE_CLASSES_6
 from gridledger.functions.labels import size_class6
 from gridledger.functions.predicates import (
     in_list_or_all,
+    in_states,
     is_active,
     since_months,
-    state_codes,
     year_between,
 )
 from gridledger.operators import aggregates as A
@@ -71,7 +71,7 @@ _SOLAR_FLEET = """energietraeger = 'SolareStrahlungsenergie'
 def solar_fleet(r: Register, states=("Bayern", "Hessen", "Thüringen"), years=(1996, 2000),
                 active: bool = True) -> DataFrame:
     fleet = r.units_of("solar").filter(
-        in_list_or_all(F.col("bundesland_code"), state_codes(states))
+        in_states(F.col("bundesland_code"), states)
         & year_between(F.col("inbetriebnahme_datum"), *years))
     return fleet.filter(is_active(fleet)) if active else fleet
 

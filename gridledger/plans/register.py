@@ -315,7 +315,7 @@ class Register:
     def source(self, name: str) -> DataFrame:
         """An input table. Its schema is read from a footer once per application."""
         path = self.path(name)
-        key = (self.spark.sparkContext.applicationId, path)
+        key = (self.spark.conf.get("spark.app.id", ""), path)
         if key not in _SCHEMAS:
             _SCHEMAS[key] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[key]).parquet(path)

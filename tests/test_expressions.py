@@ -190,6 +190,13 @@ def test_empty_lists(spark):
     assert df.filter(T.in_list_or_all(F.col("id"), [])).count() == 3
 
 
+def test_state_filters(spark):
+    df = spark.createDataFrame([("1415",), ("1403",), (None,)], "c string")
+    assert df.filter(T.in_states(F.col("c"), [])).count() == 3
+    assert df.filter(T.in_states(F.col("c"), ["Thüringen", "Atlantis"])).count() == 1
+    assert df.filter(T.in_states(F.col("c"), ["Atlantis"])).count() == 0
+
+
 def test_since_months_aligns_to_month_start(spark):
     df = spark.createDataFrame([(dt.date(2000, 7, 31),), (dt.date(2000, 8, 1),)], "d date")
     assert df.filter(T.since_months(F.col("d"), dt.date(2001, 8, 15), 12)).count() == 1
