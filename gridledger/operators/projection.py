@@ -128,10 +128,11 @@ def extract_features(df: DataFrame, text: str, category: str, known: Sequence[st
     })
 
 
-def _range_of(df: DataFrame, value: Column) -> tuple[Column, Column]:
-    """Smallest and largest value, from one scalar subquery: an extra aggregate, but no join."""
-    ends = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    return ends["lo"], ends["hi"]
+def _with_range(df: DataFrame, value: Column) -> DataFrame:
+    """Smallest and largest value of the whole set on every row, as one scalar subquery: an extra
+    aggregate, but no join. Kept as a column, so it is looked up once however often it is used."""
+    return df.withColumn("_range", df.select(
+        F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar())
 
 
 def scale_idx(df: DataFrame, col: str, out: str, steps: int = 100,
@@ -140,19 +141,24 @@ def scale_idx(df: DataFrame, col: str, out: str, steps: int = 100,
 
     A missing value, or a range without width, has no position.
     """
-    lo, hi = _range_of(df, F.col(col)) if low is None or high is None else (F.lit(low), F.lit(high))
+    if low is None or high is None:
+        ranged = _with_range(df, F.col(col))
+    else:
+        ranged = df.withColumn("_range", F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")))
+    lo, hi = F.col("_range.lo"), F.col("_range.hi")
     share = F.try_divide((F.col(col) - lo).cast("double"), (hi - lo).cast("double"))
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
     index = F.floor(inside * (steps - 1) + 1).cast("int")
-    return df.withColumn(out, F.when(share.isNotNull(), index))
+    return ranged.withColumn(out, F.when(share.isNotNull(), index)).drop("_range")
 
 
 def rescale_sqrt(df: DataFrame, col: str, out: str, low: float = 6.0, high: float = 22.0) -> DataFrame:
     """Square root of a value mapped linearly onto [low, high]; one single value sits in the middle."""
     root = F.sqrt(F.col(col))
-    lo, hi = _range_of(df, root)
+    lo, hi = F.col("_range.lo"), F.col("_range.hi")
     share = F.coalesce(F.try_divide(root - lo, hi - lo), F.lit(0.5))
-    return df.withColumn(out, F.when(root.isNotNull(), low + share * (high - low)))
+    placed = F.when(root.isNotNull(), low + share * (high - low))
+    return _with_range(df, root).withColumn(out, placed).drop("_range")
 
 
 def clamp_range(df: DataFrame, as_of: dt.date, start: str = "start", end: str = "end",

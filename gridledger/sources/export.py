@@ -41,7 +41,7 @@ def load_export(spark: SparkSession, archive: str, table_dir: str,
         table = X.typed(raw, entity)
         ids = [c for c in entity.ids if c in table.columns]
         if len(ids) == len(entity.ids):
-            table = X.dedup(table, ids, UPDATED) if UPDATED in table.columns else table.dropDuplicates(ids)
+            table = X.dedup(table, ids, UPDATED if UPDATED in table.columns else None)
         written = Observation()
         X.write_entity(table.observe(written, F.count("*").alias("rows")), entity, table_dir)
         report.append((key, read.get["records"], read.get["damaged"], written.get["rows"]))

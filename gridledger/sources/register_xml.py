@@ -159,13 +159,16 @@ def typed(df: DataFrame, entity: Entity) -> DataFrame:
     return df.select(*[convert(c) for c in df.columns])
 
 
-def dedup(df: DataFrame, ids: Sequence[str], order: str) -> DataFrame:
+def dedup(df: DataFrame, ids: Sequence[str], order: str | None = None) -> DataFrame:
     """One row per id, the last updated; on equal dates the greatest row, so the pick is stable.
 
     A maximum over structs combines before the shuffle: copies of one id cost one row per task.
     """
     rest = [c for c in df.columns if c not in (*ids, order)]
-    best = df.groupBy(*ids).agg(F.max(F.struct(order, *rest)).alias("_row"))
+    fields = [order, *rest] if order else rest
+    if not fields:
+        return df.distinct()
+    best = df.groupBy(*ids).agg(F.max(F.struct(*fields)).alias("_row"))
     return best.select(*ids, "_row.*").select(*df.columns)
 
 

@@ -124,6 +124,12 @@ def test_k02_dedup_keeps_the_last_update(spark):
     assert {(r.id, r.kw) for r in got.collect()} == {("a", 2.0), ("b", 5.0), ("c", 4.0)}
 
 
+def test_dedup_without_an_update_date_is_stable(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2), ("b", None)], "id string, v int")
+    assert rows(X.dedup(df, ["id"])) == [("a", 3), ("b", None)]
+    assert rows(X.dedup(df.select("id"), ["id"])) == [("a",), ("b",)]
+
+
 def test_dedup_of_a_hot_id_combines_before_the_shuffle(spark):
     hot = spark.range(50_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
