@@ -79,8 +79,8 @@ def solar_fleet(r: Register, states=("Bayern", "Hessen", "Thüringen"), years=(1
 @query("q04_solar_summary", f"""
     SELECT count(*) AS units, sum(bruttoleistung_kw) / 1000 AS mw, avg(bruttoleistung_kw) AS avg_kw
     FROM units_all WHERE {_SOLAR_FLEET}""")
-def solar_summary(r: Register) -> DataFrame:
-    return A.fleet_summary(solar_fleet(r), "bruttoleistung_kw")
+def solar_summary(r: Register, **filters) -> DataFrame:
+    return A.fleet_summary(solar_fleet(r, **filters), "bruttoleistung_kw")
 
 
 @query("q05_solar_size_classes", f"""
@@ -89,8 +89,8 @@ def solar_summary(r: Register) -> DataFrame:
            CASE size_class WHEN '0–10 kW' THEN 1 WHEN '10–30 kW' THEN 2 WHEN '30–100 kW' THEN 3
                 WHEN '100–750 kW' THEN 4 WHEN '0.75–10 MW' THEN 5 ELSE 6 END AS label_ord
     FROM units_all WHERE {_SOLAR_FLEET} GROUP BY 1""")
-def solar_size_classes(r: Register) -> DataFrame:
-    classes = solar_fleet(r).groupBy(size_class6(F.col("bruttoleistung_kw")).alias("size_class"))
+def solar_size_classes(r: Register, **filters) -> DataFrame:
+    classes = solar_fleet(r, **filters).groupBy(size_class6(F.col("bruttoleistung_kw")).alias("size_class"))
     return L.order_by_label(classes.agg(*units_and_mw()), "size_class",
                             [label for label, _ in SIZE_CLASSES_6])
 
@@ -99,16 +99,16 @@ def solar_size_classes(r: Register) -> DataFrame:
     SELECT cast(year(inbetriebnahme_datum) AS integer) AS year,
            sum(bruttoleistung_kw) / 1000 AS mw, count(*) AS units
     FROM units_all WHERE {_SOLAR_FLEET} GROUP BY 1""")
-def solar_buildout_year(r: Register) -> DataFrame:
-    return solar_fleet(r).groupBy(F.year("inbetriebnahme_datum").alias("year")).agg(*units_and_mw())
+def solar_buildout_year(r: Register, **filters) -> DataFrame:
+    return solar_fleet(r, **filters).groupBy(F.year("inbetriebnahme_datum").alias("year")).agg(*units_and_mw())
 
 
 @query("q07_solar_top_plz", f"""
     SELECT plz, count(*) AS units, round(sum(bruttoleistung_kw) / 1000, 1) AS mw
     FROM units_all WHERE {_SOLAR_FLEET} AND plz IS NOT NULL
     GROUP BY 1 ORDER BY mw DESC NULLS LAST, plz LIMIT 30""")
-def solar_top_plz(r: Register) -> DataFrame:
-    by_plz = solar_fleet(r).filter(F.col("plz").isNotNull()).groupBy("plz").agg(
+def solar_top_plz(r: Register, **filters) -> DataFrame:
+    by_plz = solar_fleet(r, **filters).filter(F.col("plz").isNotNull()).groupBy("plz").agg(
         F.count("*").alias("units"), F.round(F.sum("bruttoleistung_kw") / 1000, 1).alias("mw"))
     return L.top_k(by_plz, "mw", 30, ["plz"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.plans.register import Register, with_register_sql
 
-Plan = Callable[[Register], DataFrame]
+Plan = Callable[..., DataFrame]
 
 _PLANS: dict[str, Plan] = {}
 _SQL: dict[str, str] = {}
@@ -28,9 +28,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     return add
 
 
-def _runner(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plan(Register(spark, sf_dir))
+def _runner(plan: Plan) -> Callable[..., DataFrame]:
+    def run(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
+        """Run on an input folder; ``filters`` override the plan's own keyword defaults."""
+        return plan(Register(spark, sf_dir), **filters)
 
     return run
 

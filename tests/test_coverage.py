@@ -26,6 +26,15 @@ def test_every_question_has_a_query():
     assert len(asked) == 65 and asked == answered
 
 
+def test_filters_are_keyword_arguments(spark):
+    from conftest import SF_DIR
+
+    run = entry.queries()["q04_solar_summary"]
+    some = run(spark, SF_DIR).first().units
+    more = run(spark, SF_DIR, states=(), years=(1990, 2030), active=False).first().units
+    assert 0 < some < more == run(spark, SF_DIR, states=None, years=(1995, 2001), active=False).first().units
+
+
 def test_listed_queries_exist():
     table = text("README.md").split("## Coverage")[1]
     listed = set(re.findall(r"`([spjawlutq]\d\d_[a-z0-9_]+)`", table))

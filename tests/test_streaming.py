@@ -143,6 +143,18 @@ def test_logfmt(spark):
     assert got == [{"a": "1", "msg": "two words", "empty": "", "x.y": "3"}, {}]
 
 
+def test_log_files_as_a_stream(spark, folder):
+    from gridledger.sources.access_log import page_views, parse_access_log
+
+    line = '1.2.3.4 - - [0{}/Jan/2024:03:04:05 +0000] "GET /karte HTTP/1.1" 200 5 "-" "X"'
+    with open(f"{folder}/a.log", "w", encoding="utf-8") as f:
+        f.write("\n".join([line.format(1)] * 3 + ["damaged", line.format(3)]) + "\n")
+    lines = spark.readStream.option("pathGlobFilter", "*.log").text(folder)
+    views = page_views(parse_access_log(lines)).withColumn("time", utc_instant(F.col("time")))
+    got = to_table(W.traffic_windows(views, "1 day", "dashboard"), f"{folder}/out")
+    assert [(r.dashboard, r.hits) for r in got.collect()] == [("karte", 3)]
+
+
 def test_expiry(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([("a", t, t + dt.timedelta(seconds=50)), ("a", t + dt.timedelta(seconds=10), t)],
