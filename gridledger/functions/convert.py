@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,11 @@ def utc_instant(clock: Column) -> Column:
     return shifted.cast("timestamp")
 
 
+def clock(moment: dt.datetime) -> Column:
+    """A wall-clock literal. A plain datetime literal would be an instant in the driver's zone."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def epoch_to_local(seconds: Column, tz: str) -> Column:
     return local_clock(F.timestamp_seconds(seconds), tz)
 

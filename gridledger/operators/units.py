@@ -119,9 +119,10 @@ def in_known_state(code: str = "bundesland_code") -> Column:
 
 
 def by_state(units: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Aggregate per known state and further keys, on the code, and name the result rows."""
-    grouped = units.filter(in_known_state()).groupBy("bundesland_code", *keys).agg(*aggs)
-    return with_state(grouped).drop("bundesland_code")
+    """Aggregate per known state and further keys, on the code; name the result rows and drop those
+    without a name. Unknown codes cost a few groups, which is less than a test on every unit."""
+    grouped = units.groupBy("bundesland_code", *keys).agg(*aggs)
+    return with_state(grouped).filter(F.col("bundesland_name").isNotNull()).drop("bundesland_code")
 
 
 def capacity_by_state(units: DataFrame) -> DataFrame:

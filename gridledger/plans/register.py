@@ -351,10 +351,10 @@ class Register:
     @cached_property
     def units(self) -> DataFrame:
         """The unified view with state codes; the line items are read once."""
-        arms = " ".join(f"WHEN '{flag}{status}' THEN '{key}'"
+        arms = " ".join(f"WHEN l_returnflag = '{flag}' AND l_linestatus = '{status}' THEN '{key}'"
                         for key, (flag, status) in UNIT_FLAGS.items())
         tagged = self.source("lineitem").selectExpr(
-            f"CASE concat(l_returnflag, l_linestatus) {arms} END AS entity",
+            f"CASE {arms} END AS entity",
             *[f"{expr} AS {name}" for name, expr in UNIT_COLUMNS.items()])
         extra = {key: self.table(key) for key in ("geothermie", "kernkraft")}
         return units_all_tagged(tagged, "entity", extra, names=False)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.catalog import INTERVIEW_THEMES, STORAGE_TECHNOLOGY
+from gridledger.functions.convert import clock
 from gridledger.functions.labels import enum_label, label_or_dash
 from gridledger.functions.predicates import in_list_or_all, is_battery, search_text
 from gridledger.operators import aggregates as A
@@ -42,7 +43,7 @@ def countries(r: Register, year: int = 1998, continents=("EUROPE", "ASIA", "AFRI
     """
     day = F.col("o_orderdate")
     orders = r.source("orders").filter(
-        (day >= F.lit(dt.datetime(year, 1, 1))) & (day < F.lit(dt.datetime(year + 1, 1, 1))))
+        (day >= clock(dt.datetime(year, 1, 1))) & (day < clock(dt.datetime(year + 1, 1, 1))))
     folded = orders.groupBy("o_custkey").agg(
         F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).alias("turnover"))
     people = r.source("customer").select("c_custkey", "c_nationkey")
@@ -318,9 +319,9 @@ def intake(r: Register, first: dt.date | None = None, last: dt.date | None = Non
     orders = r.source("orders")
     day = F.col("o_orderdate")
     if first:
-        orders = orders.filter(day >= F.lit(dt.datetime(first.year, first.month, first.day)))
+        orders = orders.filter(day >= clock(dt.datetime(first.year, first.month, first.day)))
     if last:
-        orders = orders.filter(day < F.lit(dt.datetime(last.year, last.month, last.day)))
+        orders = orders.filter(day < clock(dt.datetime(last.year, last.month, last.day)))
     return A.daily(orders, F.to_date(day), F.floor("o_totalprice").cast("double"))
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridledger.functions.convert import log_time
+from gridledger.functions.convert import clock, log_time
 from gridledger.functions.labels import device, page_slug
 from gridledger.functions.predicates import is_entry_page
 
@@ -61,6 +61,6 @@ def recent_window(views: DataFrame, days: int, now: dt.datetime | None = None) -
     Without ``now`` the window ends at the newest view, so it is never empty; that costs a second
     pass over the log, as an aggregate.
     """
-    end = views.select(F.max("time")).scalar() if now is None else F.lit(now).cast("timestamp_ntz")
+    end = views.select(F.max("time")).scalar() if now is None else clock(now)
     since = end - F.make_dt_interval(F.lit(days))
     return views.filter(F.col("time").isNotNull() & (F.col("time") >= since))

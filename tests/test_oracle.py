@@ -30,6 +30,18 @@ def test_query_matches_sql(spark, duck, name):
     assert got == _table(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+@pytest.mark.parametrize("name", ["q54_traffic_summary", "q56_country_table", "q63_month_daily", "q52_price_now",
+                                  "t01_traffic_windows", "t03_counter_rate", "p23_business_hour"])
+def test_results_do_not_depend_on_the_session_zone(spark, duck, zone, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        test_query_matches_sql(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_every_query_but_the_listing_has_sql():
     assert set(QUERIES) - set(SQL) == {"l05_cap"}
 
