@@ -301,6 +301,14 @@ def price_decades(r: Register) -> DataFrame:
     return A.log_histogram(r.source("lineitem"), "l_extendedprice", 5)
 
 
+@query("a29_mode_per_group", """
+    SELECT user_id, event_type FROM (
+        SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS i
+        FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE i = 1""")
+def modal_event(r: Register) -> DataFrame:
+    return A.mode_per_group(r.source("events"), ["user_id"], "event_type", "event_type")
+
+
 @query("a31_extremes", """
     SELECT max(o_totalprice) AS max_value, (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS max_label,
            min(o_totalprice) AS min_value, (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1) AS min_label

@@ -258,7 +258,7 @@ _SQL_TABLES["access_events"] = r"""
            CASE (user_id + event_id) % 5 WHEN 0 THEN 'Mozilla/5.0 (iPad; CPU OS 17)'
                 WHEN 1 THEN 'Mozilla/5.0 (Linux; Android 14) Mobile' WHEN 2 THEN 'ExampleBot/2.1'
                 ELSE 'Mozilla/5.0 (X11; Linux x86_64)' END AS user_agent
-    FROM events WHERE event_id % 97 <> 13"""
+    FROM events WHERE value >= 5e-1"""
 _SQL_TABLES["page_views"] = """
     SELECT *, CASE event_type WHEN 'view' THEN 'hub' WHEN 'click' THEN 'karte'
                    WHEN 'signup' THEN 'anmeldung' END AS dashboard,
@@ -442,4 +442,4 @@ def access_lines(events: DataFrame) -> DataFrame:
         F.lit(' HTTP/1.1" '), status, F.lit(" "), size, F.lit(' "'), referer, F.lit('" "'), agent,
         F.lit('"'))
     return events.select(
-        F.when(eid % 97 == 13, F.lit("-- damaged line --")).otherwise(line).alias("value"))
+        F.when(F.col("value") < 0.5, F.lit("-- damaged line --")).otherwise(line).alias("value"))

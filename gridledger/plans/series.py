@@ -116,14 +116,14 @@ def business_hours(r: Register) -> DataFrame:
 
 def current_payloads(r: Register) -> DataFrame:
     """One response per supplier site: an object, an array of two, or an error."""
-    key = F.col("s_suppkey")
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
     watts = F.when(key % 7 == 0, F.lit("null")).otherwise((key * 13 % 900).cast("string"))
     one = F.format_string(
         '{"latitude":%d.5,"longitude":10.25,"current":{"shortwave_radiation":%s,"is_day":%d}}',
         key % 60, watts, key % 2)
     body = (
-        F.when(key % 10 == 9, F.lit('{"error":true,"reason":"rate limit"}'))
-        .when(key % 3 == 0, F.concat(F.lit("["), one, F.lit(', {"latitude":1.0,"longitude":2.0}]')))
+        F.when(nation == 9, F.lit('{"error":true,"reason":"rate limit"}'))
+        .when(nation >= 15, F.concat(F.lit("["), one, F.lit(', {"latitude":1.0,"longitude":2.0}]')))
         .otherwise(one)
     )
     return r.source("supplier").select(key.alias("site"), body.alias("body"))
@@ -134,9 +134,9 @@ _CURRENT = """
         SELECT s_suppkey AS site, 0 AS position,
                CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE cast(s_suppkey * 13 % 900 AS double) END
                    AS current_w_m2, cast(s_suppkey % 2 AS integer) AS is_day
-        FROM supplier WHERE s_suppkey % 10 <> 9
+        FROM supplier WHERE s_nationkey <> 9
         UNION ALL
-        SELECT s_suppkey, 1, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 10 <> 9)"""
+        SELECT s_suppkey, 1, NULL, NULL FROM supplier WHERE s_nationkey >= 15)"""
 _RAD = ("CASE WHEN current_w_m2 IS NULL THEN 'missing' WHEN current_w_m2 < 50 THEN 'dark'"
         " WHEN current_w_m2 < 200 THEN 'dim' WHEN current_w_m2 < 500 THEN 'bright' ELSE 'strong' END")
 

@@ -397,13 +397,13 @@ def found_metadata(r: Register) -> DataFrame:
     title = F.concat_ws(" ", "p_name", F.lit("of"), F.lower("p_type"), F.lit("units from"), "p_brand")
     part = r.source("part")
     year = 1970 + F.col("p_size")
-    first = part.filter(key % 11 != 0).select(
+    first = part.filter("p_size <> 11").select(
         key.alias("ref_id"), F.lit("openalex").alias("source"),
         F.when(key % 5 == 0, F.concat(title, F.lit(" (reprint)"))).when(key % 5 == 1, F.upper(title))
         .when(key % 5 == 2, F.lit("a completely different work")).otherwise(title).alias("title"),
         F.when(key % 4 == 0, year + 1).otherwise(year).alias("year"),
         F.when(key % 3 != 0, F.concat(F.lit("10.1234/oa."), key.cast("string"))).alias("doi"))
-    second = part.filter(key % 13 != 0).select(
+    second = part.filter("p_size <> 13").select(
         key.alias("ref_id"), F.lit("crossref").alias("source"),
         F.when(key % 6 == 0, F.concat(F.lit("on the "), title, F.lit(" and its limits")))
         .otherwise(title).alias("title"),
@@ -430,14 +430,14 @@ _CITATIONS = f"""
                     WHEN 2 THEN 'a completely different work' ELSE {_TITLE} END AS ctitle,
                CASE WHEN p_partkey % 4 = 0 THEN 1971 + p_size ELSE 1970 + p_size END AS cyear,
                CASE WHEN p_partkey % 3 <> 0 THEN concat('10.1234/oa.', p_partkey) END AS cdoi
-        FROM part WHERE p_partkey % 11 <> 0
+        FROM part WHERE p_size <> 11
         UNION ALL
         SELECT p_partkey, 'crossref',
                CASE WHEN p_partkey % 6 = 0 THEN concat('on the ', {_TITLE}, ' and its limits')
                     ELSE {_TITLE} END,
                CASE WHEN p_partkey % 7 = 0 THEN 1968 + p_size ELSE 1970 + p_size END,
                concat('10.1234/cr.', p_partkey)
-        FROM part WHERE p_partkey % 13 <> 0),
+        FROM part WHERE p_size <> 13),
     scored AS (
         SELECT c.ref_id, source, cdoi, round(least(1.0e0,
                1 - levenshtein({_NORM.format('r.title')}, {_NORM.format('ctitle')})
