@@ -55,10 +55,11 @@ def load_entities(spark: SparkSession, folder: str, merge_schema: bool = False)
             tables[key] = df
     finally:
         spark.conf.set(inference, before)
+    log.info("%d of %d entities loaded", len(tables), len(ENTITIES))
     return tables
 
 
-def aggregate_plans(cube: DataFrame, tables: dict[str, DataFrame],
+def aggregate_plans(cube: DataFrame | None, tables: dict[str, DataFrame],
                     as_of: dt.date) -> dict[str, Callable[[], DataFrame | None]]:
     return {
         "kpi_overview": lambda: C.kpi_overview(cube, as_of),
@@ -78,10 +79,17 @@ def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str
     The units are read once, into a cube written next to the aggregates; the outputs read that.
     """
     base = f"{folder}/unit_cube.parquet"
-    C.unit_cube(units).write.mode("overwrite").option("compression", "zstd").parquet(base)
-    cube = units.sparkSession.read.parquet(base)
+    cube: DataFrame | None = None
+    try:
+        C.unit_cube(units).write.mode("overwrite").option("compression", "zstd").parquet(base)
+        cube = units.sparkSession.read.parquet(base)
+    except Exception as err:
+        log.error("the unit cube failed: %s", str(err).splitlines()[0])
     report: dict[str, str] = {}
     for name, plan in aggregate_plans(cube, tables, as_of).items():
+        if cube is None and name != "wind_hub_height":
+            report[name] = "failed"
+            continue
         try:
             df = plan()
             if df is None:

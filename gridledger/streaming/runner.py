@@ -44,8 +44,16 @@ def drain(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def to_table(stream: DataFrame, work: str) -> DataFrame:
-    """Process everything available, append the rows to Parquet exactly once, return the table.
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for their window, over the batches the query still reports on.
+
+    Rows are counted as the stateful operator sees them: after partial aggregation.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def append_available(stream: DataFrame, work: str) -> StreamingQuery:
+    """Process everything available and append the rows to Parquet exactly once.
 
     The file sink's own log decides which files count, so a restart after a lost executor or driver
     neither repeats nor loses rows.
@@ -56,7 +64,12 @@ def to_table(stream: DataFrame, work: str) -> DataFrame:
             .option("checkpointLocation", f"{work}/checkpoint").option("path", f"{work}/rows")
             .trigger(availableNow=True).start()
         )
-    drain(query)
+    return drain(query)
+
+
+def to_table(stream: DataFrame, work: str) -> DataFrame:
+    """Process everything available and return the table the rows were appended to."""
+    append_available(stream, work)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{work}/rows")
 
 

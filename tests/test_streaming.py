@@ -13,7 +13,7 @@ from gridledger.plans.streams import counter_samples, log_lines
 from gridledger.streaming import counters as C
 from gridledger.streaming import windows as W
 from gridledger.streaming.ingest import ingest_snapshots
-from gridledger.streaming.runner import stream_parquet, to_latest, to_table
+from gridledger.streaming.runner import append_available, late_rows, stream_parquet, to_latest, to_table
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +84,8 @@ def test_late_rows_are_left_out_and_counted(spark, folder):
     to_table(build(), f"{folder}/out")
     deliver(5, 2)
     to_table(build(), f"{folder}/out")
-    deliver(1, 7)  # four days late
+    deliver(1, 7)  # four days late: one window's worth of rows
+    assert late_rows(append_available(build(), f"{folder}/out")) == 1
     got = to_table(build(), f"{folder}/out")
     assert [r.hits for r in got.collect()] == [3]
 

@@ -102,6 +102,14 @@ def test_aggregates_are_written_and_isolated(spark, tables, folder):
     assert again["wind_hub_height"] == "failed" and again["ee_quote_by_year"] == "written"
 
 
+def test_turbines_are_written_even_if_the_units_fail(spark, tables, folder):
+    broken = U.units_all(tables, names=False).withColumn(
+        "bruttoleistung_kw", F.raise_error(F.lit("boom")).cast("double"))
+    wind = {"wind": tables["wind"].withColumn("Nabenhoehe", F.lit("99"))}
+    report = B.write_aggregates(broken, wind, folder, dt.date(2024, 6, 1))
+    assert report.pop("wind_hub_height") == "written" and set(report.values()) == {"failed"}
+
+
 def test_required_tables(tables):
     assert B.checked_summary({"solar": tables["solar"]}, ["solar"]).first().rows == 3
     with pytest.raises(RuntimeError, match="wind"):
