@@ -37,6 +37,12 @@ def ladder(
     return chain.otherwise(F.lit(last_i if ordinal else last_label))
 
 
+def label_at(ordinal: Column, bounds: Bounds) -> Column:
+    """Label of a class by its ordinal. Grouping on the ordinal and labelling the result rows spares
+    a text key per input row."""
+    return F.element_at(F.array(*[F.lit(label) for label, _ in bounds]), ordinal)
+
+
 def size_class6(kw: Column, null_class: str | None = None) -> Column:
     return ladder(kw, SIZE_CLASSES_6, inclusive=False, null_label=null_class)
 

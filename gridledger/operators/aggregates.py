@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridledger.functions.labels import ladder
+from gridledger.functions.labels import label_at, ladder
 
 
 def rollup_from_agg(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -114,10 +114,12 @@ def unpivot_measures(df: DataFrame, keys: Sequence[str], measures: dict[str, str
     return wide.unpivot(list(keys), list(measures.values()), name, value)
 
 
-def bucket_matrix(df: DataFrame, bucket: Column, bucket_ord: Column, kw: str) -> DataFrame:
-    """Units and megawatts per size bucket with the grand total and each bucket's share."""
-    counts = df.groupBy(bucket.alias("bucket"), bucket_ord.alias("bucket_ord")).agg(
-        F.count("*").alias("units"), (F.sum(kw) / 1000).alias("mw"))
+def bucket_matrix(df: DataFrame, kw: str, bounds: Sequence[tuple[str, float | None]]) -> DataFrame:
+    """Units and megawatts per size bucket (a, b] with the grand total and each bucket's share."""
+    position = ladder(F.col(kw), bounds, inclusive=True, ordinal=True)
+    counts = df.groupBy(position.alias("bucket_ord")).agg(
+        F.count("*").alias("units"), (F.sum(kw) / 1000).alias("mw"),
+    ).withColumn("bucket", label_at(F.col("bucket_ord"), bounds))
     every = Window.partitionBy()  # at most one row per bucket reaches this window
     return counts.withColumns({
         "units_total": F.sum("units").over(every),
@@ -189,11 +191,10 @@ def edge_histogram(df: DataFrame, col: str, bins: Sequence[tuple[str, float | No
                    category: str) -> DataFrame:
     """Counts per (a, b] bin and class."""
     value = F.col(col)
+    position = ladder(value, bins, inclusive=True, ordinal=True)
     return (
-        df.filter(value.isNotNull())
-        .groupBy(ladder(value, bins, inclusive=True).alias("bin"),
-                 ladder(value, bins, inclusive=True, ordinal=True).alias("bin_ord"), category)
-        .agg(F.count("*").alias("n"))
+        df.filter(value.isNotNull()).groupBy(position.alias("bin_ord"), category)
+        .agg(F.count("*").alias("n")).withColumn("bin", label_at(F.col("bin_ord"), bins))
     )
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from gridledger.catalog import DELAY_BINS, SIZE_BUCKETS_17
 from gridledger.functions.convert import code_text, norm_plz, to_iso_date
 from gridledger.functions.labels import (
+    label_at,
     month_name_de,
     quarter_label,
     segment3,
-    size_bucket17,
     size_bucket17_ord,
     year_quarter_label,
 )
@@ -39,6 +39,7 @@ from gridledger.plans.shaping import (
 DAY = "Inbetriebnahmedatum"
 KW = "Bruttoleistung"
 BUCKETS = [label for label, _ in SIZE_BUCKETS_17]
+ORDINALS = list(range(1, len(BUCKETS) + 1))
 QUARTERS = ["Q1", "Q2", "Q3", "Q4"]
 
 
@@ -69,23 +70,23 @@ def size_mix(r: Register) -> DataFrame:
     rows = rows.filter(
         in_list_or_all(code_text(F.col("Leistungsbegrenzung")), ["801", "802", "803", "804"]))
     return rows.groupBy(
-        F.trunc(DAY, "MM").alias("month"), size_bucket17(F.col(KW)).alias("bucket"),
-        size_bucket17_ord(F.col(KW)).alias("bucket_ord"),
-    ).agg(mw(KW).alias("mw"), F.count("*").alias("units"))
+        F.trunc(DAY, "MM").alias("month"), size_bucket17_ord(F.col(KW)).alias("bucket_ord"),
+    ).agg(mw(KW).alias("mw"), F.count("*").alias("units")).withColumn(
+        "bucket", label_at(F.col("bucket_ord"), SIZE_BUCKETS_17))
 
 
 @query("q28_size_mix_mw", f"""
     SELECT month, {", ".join(f"coalesce(sum(mw) FILTER (WHERE bucket = '{b}'), 0) AS \"{b}\"" for b in BUCKETS)}
     FROM ({_MIX}) GROUP BY 1""")
 def size_mix_mw(r: Register) -> DataFrame:
-    return A.pivot_sum(size_mix(r), ["month"], "bucket", BUCKETS, "mw")
+    return A.pivot_sum(size_mix(r), ["month"], "bucket_ord", ORDINALS, "mw", BUCKETS)
 
 
 @query("q28_size_mix_units", f"""
     SELECT month, {", ".join(f"cast(coalesce(sum(units) FILTER (WHERE bucket = '{b}'), 0) AS bigint) AS \"{b}\"" for b in BUCKETS)}
     FROM ({_MIX}) GROUP BY 1""")
 def size_mix_units(r: Register) -> DataFrame:
-    return A.pivot_sum(size_mix(r), ["month"], "bucket", BUCKETS, "units")
+    return A.pivot_sum(size_mix(r), ["month"], "bucket_ord", ORDINALS, "units", BUCKETS)
 
 
 @query("q28_size_mix_share", f"""
@@ -117,7 +118,7 @@ def bucket_matrix(r: Register, kw: str) -> DataFrame:
     rows = r.solar.filter(
         F.col(DAY).isNotNull() & F.col(kw).isNotNull()
         & in_states(F.col("Bundesland"), ["Bayern", "Thüringen"]))
-    matrix = A.bucket_matrix(rows, size_bucket17(F.col(kw)), size_bucket17_ord(F.col(kw)), kw)
+    matrix = A.bucket_matrix(rows, kw, SIZE_BUCKETS_17)
     return matrix.withColumns({
         "mw_total": F.round("mw_total", 6), "units_share": F.round("units_share", 9),
         "mw_share": F.round("mw_share", 9)})
@@ -334,7 +335,7 @@ def registration_delay(r: Register) -> DataFrame:
     rows = dated(r.solar).filter(F.col(KW).isNotNull() & registered.isNotNull())
     return rows.select(
         F.datediff(registered, F.col(DAY)).alias("days"), F.year(DAY).alias("ibn_year"),
-        size_bucket17(F.col(KW)).alias("bucket"))
+        size_bucket17_ord(F.col(KW)).alias("bucket_ord"))
 
 
 @query("q36_registration_delay", f"""
@@ -350,7 +351,8 @@ def registration_delay_quartiles(r: Register) -> DataFrame:
            {sql_ladder_ord('days', DELAY_BINS, '<=')} AS bin_ord, bucket, count(*) AS n
     FROM ({_DELAY}) GROUP BY 1, 2, 3""")
 def registration_delay_bins(r: Register) -> DataFrame:
-    return A.edge_histogram(registration_delay(r), "days", DELAY_BINS, "bucket")
+    counts = A.edge_histogram(registration_delay(r), "days", DELAY_BINS, "bucket_ord")
+    return counts.withColumn("bucket", label_at(F.col("bucket_ord"), SIZE_BUCKETS_17)).drop("bucket_ord")
 
 
 _HEAT = f"""
