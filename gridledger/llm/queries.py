@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import decontaminate, mixing, shards, toxicity
+from gridledger.llm import decontaminate, mixing, shards, suffix_dedup, toxicity, window_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_earlier_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_earlier_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_shards": op4_shards,
+    "op5_earlier_strings": op5_earlier_strings,
+    "op8_repeated_windows": op8_repeated_windows,
     "op10_mix": op10_mix,
 }
 
