@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import decontaminate, mixing, shards, suffix_dedup, toxicity, window_dedup
+from gridledger.llm import dart_minhash, decontaminate, mixing, shards, suffix_dedup, toxicity, window_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_copies_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shards": op4_shards,
     "op5_earlier_strings": op5_earlier_strings,
     "op8_repeated_windows": op8_repeated_windows,
+    "op9_near_copies": op9_near_copies,
     "op10_mix": op10_mix,
 }
 

@@ -13,18 +13,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+CHUNK_ROWS = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about ``limit`` bytes of text; one longer text is a slice of its own."""
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS,
+           ) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``limit`` bytes of text, in ``most`` rows; a longer text is a slice alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
+        to = min(at + most, max(at + 1, int(np.searchsorted(total, before + limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
 
