@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import dart_minhash, decontaminate, mixing, shards, suffix_dedup, toxicity, window_dedup
+from gridledger.llm import (
+    dart_minhash, decontaminate, license_scan, mixing, shards, suffix_dedup, token_counts, toxicity, vector_dedup,
+    window_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +36,14 @@ def op5_earlier_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_earlier_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"))
 
@@ -42,10 +57,13 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_shards": op4_shards,
     "op5_earlier_strings": op5_earlier_strings,
+    "op6_token_counts": op6_token_counts,
+    "op7_near_vectors": op7_near_vectors,
     "op8_repeated_windows": op8_repeated_windows,
     "op9_near_copies": op9_near_copies,
     "op10_mix": op10_mix,
