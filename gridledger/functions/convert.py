@@ -30,8 +30,9 @@ def to_iso_date(col: Column) -> Column:
 
 
 def norm_plz(col: Column) -> Column:
-    """Five-digit postcode text."""
-    return F.lpad(col.cast("string"), 5, "0")
+    """Postcode text, short codes padded to five digits. Longer text is no postcode, but stays apart as it is."""
+    text = col.cast("string")
+    return F.when(F.length(text) < 5, F.lpad(text, 5, "0")).otherwise(text)
 
 
 def code_text(col: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.functions.labels import label_at, ladder
+from gridledger.session import ensure_checkpoint_dir
 
 
 def rollup_from_agg(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -92,19 +93,31 @@ def with_grand_total(df: DataFrame, keys: Sequence[str], category: str, sums: Ma
 
 
 def pivot_sum(df: DataFrame, rows: Sequence[str], column: str, values: Sequence, measure: str,
-              names: Sequence[str] | None = None) -> DataFrame:
-    """Wide form with a fixed list of columns, missing cells 0."""
+              names: Sequence[str] | None = None, other: str | None = None) -> DataFrame:
+    """Wide form with a fixed list of columns, missing cells 0.
+
+    Values that are not listed, NULL included, add up in the column ``other``; without one they fail the job, so that
+    nothing is lost unseen.
+    """
     names = list(names or [str(v) for v in values])
+    listed = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    rest = F.col(measure) if other else F.raise_error(F.concat(
+        F.lit(f"pivot on {column}: no column for "), F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
+    kept = df.withColumn(measure, F.when(listed, F.col(measure)).otherwise(rest))
     cells = [
         F.coalesce(F.sum(F.when(F.col(column) == F.lit(v), F.col(measure))), F.lit(0)).alias(n)
         for v, n in zip(values, names, strict=True)
     ]
-    return df.groupBy(*rows).agg(*cells)
+    if other:
+        cells.append(F.coalesce(F.sum(F.when(~listed, F.col(measure))), F.lit(0)).alias(other))
+    return kept.groupBy(*rows).agg(*cells)
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], other: str = "other") -> DataFrame:
+    """Counts per listed value, and of everything else."""
+    listed = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
     cells = [F.count_if(F.col(column) == F.lit(v)).alias(str(v)) for v in values]
-    return df.groupBy(row).agg(*cells)
+    return df.groupBy(row).agg(*cells, F.count_if(~listed).alias(other))
 
 
 def unpivot_measures(df: DataFrame, keys: Sequence[str], measures: dict[str, str], name: str,
@@ -143,45 +156,59 @@ def day_quantiles(df: DataFrame, key: str, days: str) -> DataFrame:
         F.col("_q")[2].alias("p75"))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, small: int = 1_000_000) -> DataFrame:
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     """Exact interpolated quantile of a continuous column, without one task seeing all values.
 
-    Approximate quantiles bracket the wanted rank (their error is bounded, the bracket is twice
-    as wide), and only rows inside the bracket are looked at again, until they are few enough to
-    rank. Each round shrinks the band to about 0.06 %; the driver sees four numbers per round.
-    Equal values are counted together, so a heavy value is a single row. Returns (n, value).
+    The column is read twice, whatever its size: once for its count and a bracket of approximate quantiles around the
+    wanted rank (their error is bounded, the bracket is twice as wide), once to fold everything outside the bracket
+    into two counts and to count each value inside. That band is checkpointed. It is then narrowed bin by bin, 1,024
+    bins at a time, until one value is left; the driver sees bins only. A bracket that misses the rank raises.
+    Returns (n, value).
     """
-    accuracy = 10_000
+    spark, accuracy = df.sparkSession, 10_000
     margin = 2 / accuracy
     x = F.col("x")
-    band = df.select(F.col(value).cast("double").alias("x")).filter(x.isNotNull())
-    n = size = band.count()
-    wanted, below = (n - 1) * q, 0
-    while size > small:
-        target = (wanted - below) / (size - 1)
-        marks = F.array(F.lit(max(0.0, target - margin)), F.lit(min(1.0, target + margin)))
-        low, high = band.agg(F.percentile_approx(x, marks, F.lit(accuracy))).first()[0]
-        under, inside = band.agg(F.count_if(x < low), F.count_if(x.between(low, high))).first()
-        if inside == size:
-            break
-        band, size, below = band.filter(x.between(low, high)), inside, below + under
-    ranked = band.groupBy("x").agg(F.count("*").alias("c")).withColumn(
-        "upto", F.sum("c").over(Window.orderBy("x")) + below)
-
-    def at(rank: int) -> Column:
-        return F.min(F.when(F.col("upto") > rank, x))
-
-    low_rank = math.floor(max(wanted, 0))
-    low, high = at(low_rank), at(math.ceil(max(wanted, 0)))
-    return ranked.agg(F.lit(n).cast("bigint").alias("n"),
-                      (low + (high - low) * F.lit(float(max(wanted, 0) - low_rank))).alias("value"))
+    rows = df.select(F.col(value).cast("double").alias("x")).filter(x.isNotNull())
+    marks = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
+    n, bracket = rows.agg(F.count("*"), F.percentile_approx(x, marks, F.lit(accuracy))).first()
+    if not n:
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("value"))
+    low, high = bracket
+    ensure_checkpoint_dir(spark)
+    side = F.when(x < low, -1).when(x > high, 1).otherwise(0)
+    folded = rows.groupBy(side.alias("side"), F.when(side == 0, x).alias("x")).agg(F.count("*").alias("c")).checkpoint()
+    size = {r.side: r.c for r in folded.groupBy("side").agg(F.sum("c").alias("c")).collect()}
+    wanted = (n - 1) * q
+    ranks = math.floor(wanted), math.ceil(wanted)
+    below = size.get(-1, 0)
+    if not below <= ranks[0] <= ranks[1] < below + size.get(0, 0):
+        raise ArithmeticError(f"the bracket {low} to {high} misses rank {wanted} of {n}")
+    band = folded.filter("side = 0").select("x", "c")
+    at = [_value_at(band, low, high, rank - below) for rank in dict.fromkeys(ranks)]
+    result = at[0] + (at[-1] - at[0]) * (wanted - ranks[0])
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(float(result)).alias("value"))
+
+
+def _value_at(band: DataFrame, low: float, high: float, rank: int, bins: int = 1024) -> float:
+    """The value at a rank of counted values, by counting bins of ever smaller width."""
+    x = F.col("x")
+    while low < high:
+        place = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        counted = band.filter(x.between(low, high)).groupBy(place.alias("bin")).agg(
+            F.sum("c").alias("c"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("low")
+        for r in counted.collect():
+            if rank < r.c:
+                low, high = r.low, r.high
+                break
+            rank -= r.c
+    return low
 
 
 def histogram(df: DataFrame, col: str, width: float, top: float, *categories: Column) -> DataFrame:
-    """Counts per fixed-width bin, values above ``top`` + one bin left out."""
-    low = (F.floor(F.col(col) / width) * width).cast("double")
+    """Counts per fixed-width bin up to ``top`` and one bin; what is larger is in the last bin, which is open."""
+    low = F.least(F.floor(F.col(col) / width) * width, F.lit(top + width)).cast("double")
     return (
-        df.filter(F.col(col) <= top + width)
+        df.filter(F.col(col).isNotNull())
         .groupBy(low.alias("bin_lo"), *categories)
         .agg(F.count("*").alias("n"))
     )

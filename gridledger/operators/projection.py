@@ -128,20 +128,29 @@ def extract_features(df: DataFrame, text: str, category: str, known: Sequence[st
     })
 
 
+def with_ranges(df: DataFrame, **values: Column) -> DataFrame:
+    """Smallest and largest value of the whole set on every row, for all measures in one scalar
+    subquery: an extra aggregate, but no join. Each range is a struct column of the given name."""
+    ranges = [F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(n) for n, v in values.items()]
+    found = df.withColumn("_found", df.select(F.struct(*ranges)).scalar())
+    return found.withColumns({n: F.col(f"_found.{n}") for n in values}).drop("_found")
+
+
 def _with_range(df: DataFrame, value: Column) -> DataFrame:
-    """Smallest and largest value of the whole set on every row, as one scalar subquery: an extra
-    aggregate, but no join. Kept as a column, so it is looked up once however often it is used."""
-    return df.withColumn("_range", df.select(
-        F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar())
+    return with_ranges(df, _range=value)
 
 
 def scale_idx(df: DataFrame, col: str, out: str, steps: int = 100,
-              low: float | None = None, high: float | None = None) -> DataFrame:
+              low: float | None = None, high: float | None = None, known: str | None = None) -> DataFrame:
     """Position 1..steps of a value within a range, by default the range of the whole set.
 
+    ``known`` names a column of ``with_ranges`` that already holds it.
+
     A missing value, or a range without width, has no position.
     """
-    if low is None or high is None:
+    if known:
+        ranged = df.withColumn("_range", F.col(known))
+    elif low is None or high is None:
         ranged = _with_range(df, F.col(col))
     else:
         ranged = df.withColumn("_range", F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")))
@@ -152,13 +161,18 @@ def scale_idx(df: DataFrame, col: str, out: str, steps: int = 100,
     return ranged.withColumn(out, F.when(share.isNotNull(), index)).drop("_range")
 
 
-def rescale_sqrt(df: DataFrame, col: str, out: str, low: float = 6.0, high: float = 22.0) -> DataFrame:
-    """Square root of a value mapped linearly onto [low, high]; one single value sits in the middle."""
+def rescale_sqrt(df: DataFrame, col: str, out: str, low: float = 6.0, high: float = 22.0,
+                 known: str | None = None) -> DataFrame:
+    """Square root of a value mapped linearly onto [low, high]; one single value sits in the middle.
+
+    ``known`` names a column of ``with_ranges`` that already holds the range of the root.
+    """
     root = F.sqrt(F.col(col))
     lo, hi = F.col("_range.lo"), F.col("_range.hi")
     share = F.coalesce(F.try_divide(root - lo, hi - lo), F.lit(0.5))
     placed = F.when(root.isNotNull(), low + share * (high - low))
-    return _with_range(df, root).withColumn(out, placed).drop("_range")
+    ranged = df.withColumn("_range", F.col(known)) if known else _with_range(df, root)
+    return ranged.withColumn(out, placed).drop("_range")
 
 
 def clamp_range(df: DataFrame, as_of: dt.date, start: str = "start", end: str = "end",
@@ -179,13 +193,14 @@ def clamp_range(df: DataFrame, as_of: dt.date, start: str = "start", end: str =
 def every_kth(df: DataFrame, max_n: int, order: Sequence[str]) -> DataFrame:
     """Every k-th row in key order, k the smallest step that leaves at most ``max_n`` rows.
 
-    No single-task sort: rows are range-partitioned on the full order, numbered inside their
-    partition, and shifted by the sizes of the partitions before. The numbered rows are
-    checkpointed first so that both readings see the same partitions. ``order`` must be unique.
+    Only the keys are sorted: they are range-partitioned on the full order, numbered inside their
+    partition, and shifted by the sizes of the partitions before. The numbered keys are
+    checkpointed first so that both readings see the same partitions. At most ``max_n`` of them
+    are then broadcast to pick the rows. ``order`` must be unique.
     """
     ensure_checkpoint_dir(df.sparkSession)
     numbered = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumns({
             "_part": F.spark_partition_id(),
             "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
@@ -200,11 +215,13 @@ def every_kth(df: DataFrame, max_n: int, order: Sequence[str]) -> DataFrame:
         F.sum("_n").over(Window.partitionBy()).alias("_total"),
     )
     step = F.greatest(F.lit(1), F.ceil(F.col("_total") / max_n))
-    return (
+    kept = (
         numbered.join(F.broadcast(offsets), "_part")
         .filter((F.col("_before") + F.col("_pos")) % step == 0)
-        .drop("_part", "_pos", "_before", "_total")
+        .select(*[F.col(c).alias(f"_kept_{c}") for c in order])
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in order]
+    return df.join(F.broadcast(kept), same, "left_semi")
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:

@@ -33,7 +33,8 @@ def yoy_month(df: DataFrame, years: Sequence[int], months: Sequence[int], year:
               measure: str) -> DataFrame:
     """Every (year, month) cell with its change against the same month a year before.
 
-    Cells without data are 0. The first year has no change, nor has a month that was 0 before.
+    ``years`` and ``months`` are what is asked for; rows of other cells are no part of the answer. Cells without data
+    are 0. The first year has no change, nor has a month that was 0 before.
     """
     grid = df.sparkSession.range(1).select(
         F.explode(F.lit(list(years))).alias(year)).select(

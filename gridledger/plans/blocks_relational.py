@@ -53,7 +53,7 @@ def named_grid_points(r: Register) -> DataFrame:
            any_value(einwohner) AS einwohner, any_value(m.lat) AS lat, any_value(m.lon) AS lon,
            CASE WHEN any_value(einwohner) > 0
                 THEN round(count(*) / any_value(einwohner) * 1000, 6) END AS per_1000
-    FROM wind JOIN plz_district d ON d.plz = lpad(Postleitzahl, 5, '0')
+    FROM wind JOIN plz_district d ON d.plz = CASE WHEN length(Postleitzahl) < 5 THEN lpad(Postleitzahl, 5, '0') ELSE Postleitzahl END
     LEFT JOIN district_meta m ON m.kreis = d.kreis GROUP BY 1""")
 def wind_districts(r: Register) -> DataFrame:
     out = J.to_district(J.by_plz(r.wind), r.plz_district, r.district_meta)
@@ -251,7 +251,8 @@ def long_measures(r: Register) -> DataFrame:
 @query("a23_crosstab", """
     SELECT turn, count(*) FILTER (WHERE role = 'user') AS user,
            count(*) FILTER (WHERE role = 'assistant') AS assistant,
-           count(*) FILTER (WHERE role = 'system') AS system
+           count(*) FILTER (WHERE role = 'system') AS system,
+           count(*) FILTER (WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'system')) AS other
     FROM conversations GROUP BY 1""")
 def turns_by_role(r: Register) -> DataFrame:
     return A.crosstab(r.source("conversations"), "turn", "role", ["user", "assistant", "system"])
@@ -277,8 +278,8 @@ def median_price(r: Register) -> DataFrame:
 
 
 @query("a26_histogram", """
-    SELECT floor(value / 20) * 20 AS bin_lo, event_type, count(*) AS n FROM events
-    WHERE value <= 220 GROUP BY 1, 2""")
+    SELECT CASE WHEN value >= 220 THEN 220 ELSE floor(value / 20) * 20 END AS bin_lo, event_type, count(*) AS n
+    FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
 def value_histogram(r: Register) -> DataFrame:
     return A.histogram(r.source("events"), "value", 20, 200, F.col("event_type"))
 
@@ -436,11 +437,16 @@ def top_parts(r: Register) -> DataFrame:
     return L.top_groups(r.source("lineitem"), ["l_partkey"], F.count("*"), "n", 20)
 
 
-@query("l05_cap")
+@query("l05_cap", """
+    SELECT least(count(*), 1000) AS listed, least(count(*), 1000) AS known FROM netzanschlusspunkte""")
 def listing(r: Register) -> DataFrame:
+    """How many rows are listed, and how many of them are rows of the table: any rows do, so no more can be said."""
     points = r.table("netzanschlusspunkte")
-    return L.cap(points.select("NetzanschlusspunktMastrNummer", "Netzbetreiber", "Spannungsebene",
-                               "Bundesland", "Gemeinde"), 1000)
+    columns = ["NetzanschlusspunktMastrNummer", "Netzbetreiber", "Spannungsebene", "Bundesland", "Gemeinde"]
+    listed = L.cap(points.select(*columns), 1000)
+    found = listed.join(points.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct(),
+                        [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], "left")
+    return found.agg(F.count("*").alias("listed"), F.count("_NetzanschlusspunktMastrNummer").alias("known"))
 
 
 @query("l06_order_by_label", """

@@ -153,7 +153,8 @@ def masked(r: Register) -> DataFrame:
 
 
 @query("p19_norm_plz", """
-    SELECT EinheitMastrNummer AS mastr_nr, lpad(Postleitzahl, 5, '0') AS plz FROM solar""")
+    SELECT EinheitMastrNummer AS mastr_nr,
+           CASE WHEN length(Postleitzahl) < 5 THEN lpad(Postleitzahl, 5, '0') ELSE Postleitzahl END AS plz FROM solar""")
 def postcodes(r: Register) -> DataFrame:
     return r.solar.select(F.col("EinheitMastrNummer").alias("mastr_nr"),
                           V.norm_plz(F.col("Postleitzahl")).alias("plz"))

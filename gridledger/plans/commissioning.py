@@ -135,7 +135,7 @@ def bucket_matrix_net(r: Register) -> DataFrame:
 
 
 @query("q30_plz_mean_kw", f"""
-    SELECT lpad(Postleitzahl, 5, '0') AS plz, count(*) AS units, sum({KW}) / 1000 AS mw,
+    SELECT CASE WHEN length(Postleitzahl) < 5 THEN lpad(Postleitzahl, 5, '0') ELSE Postleitzahl END AS plz, count(*) AS units, sum({KW}) / 1000 AS mw,
            avg({KW}) AS avg_kw, avg(Breitengrad) AS lat, avg(Laengengrad) AS lng
     FROM solar
     WHERE {DAY} IS NOT NULL AND {KW} IS NOT NULL AND Breitengrad IS NOT NULL
@@ -291,9 +291,9 @@ def battery_quarter_bars(r: Register) -> DataFrame:
 
 BIN_KW, TOP_KW = 250, 5000
 _BINS = f"""
-    SELECT floor({KW} / {BIN_KW}) * {BIN_KW} AS bin_lo,
+    SELECT CASE WHEN {KW} >= {TOP_KW + BIN_KW} THEN {TOP_KW + BIN_KW} ELSE floor({KW} / {BIN_KW}) * {BIN_KW} END AS bin_lo,
            coalesce(Batterietechnologie, 'Unbekannt') AS tech, AcDcKoppelung AS ac, count(*) AS n
-    FROM stromspeicher WHERE {KW} <= {TOP_KW + BIN_KW} GROUP BY 1, 2, 3"""
+    FROM stromspeicher WHERE {KW} IS NOT NULL GROUP BY 1, 2, 3"""
 
 
 def storage_bins(r: Register) -> DataFrame:
@@ -301,18 +301,22 @@ def storage_bins(r: Register) -> DataFrame:
     return A.histogram(r.storage_raw, KW, BIN_KW, TOP_KW, tech, F.col("AcDcKoppelung").alias("ac"))
 
 
-def bin_label(low: Column, width: int) -> Column:
-    return F.format_string("%d–%d", low.cast("bigint"), (low + width).cast("bigint"))
+def bin_label(low: Column, width: int, top: int) -> Column:
+    """Both ends of a bin; the last one is open."""
+    start = low.cast("bigint")
+    return F.when(low > top, F.format_string("%d+", start)).otherwise(
+        F.format_string("%d–%d", start, (low + width).cast("bigint")))
 
 
 @query("q35_storage_histogram_share", f"""
-    SELECT bin_lo, concat(cast(bin_lo AS bigint), '–', cast(bin_lo + {BIN_KW} AS bigint)) AS bin_label,
+    SELECT bin_lo, CASE WHEN bin_lo > {TOP_KW} THEN concat(cast(bin_lo AS bigint), '+')
+                ELSE concat(cast(bin_lo AS bigint), '–', cast(bin_lo + {BIN_KW} AS bigint)) END AS bin_label,
            cast(sum(n) AS bigint) AS n, round(sum(n) / sum(sum(n)) OVER (), 9) AS pct
     FROM ({_BINS}) GROUP BY 1, 2""")
 def storage_histogram_share(r: Register) -> DataFrame:
     bins = A.rollup_from_agg(storage_bins(r), ["bin_lo"], ["n"])
     share = W.pct_of_total(bins, "n", "pct")
-    return share.withColumns({"pct": F.round("pct", 9), "bin_label": bin_label(F.col("bin_lo"), BIN_KW)})
+    return share.withColumns({"pct": F.round("pct", 9), "bin_label": bin_label(F.col("bin_lo"), BIN_KW, TOP_KW)})
 
 
 @query("q35_storage_histogram_stack", f"SELECT * FROM ({_BINS})")
@@ -400,12 +404,13 @@ YEARS = list(range(1995, 2002))
 
 
 @query("q38_late_registration", f"""
-    SELECT reg_year, {", ".join(f"round(coalesce(sum(gw) FILTER (WHERE ibn_year = {y}), 0), 9) AS ibn_{y}" for y in YEARS)}
+    SELECT reg_year, {", ".join(f"round(coalesce(sum(gw) FILTER (WHERE ibn_year = {y}), 0), 9) AS ibn_{y}" for y in YEARS)},
+           round(coalesce(sum(gw) FILTER (WHERE ibn_year IS NULL OR ibn_year NOT BETWEEN 1995 AND 2001), 0), 9) AS ibn_other
     FROM ({_HEAT}) GROUP BY 1""")
 def late_registration(r: Register) -> DataFrame:
     names = [f"ibn_{y}" for y in YEARS]
-    matrix = A.pivot_sum(registration_heat(r), ["reg_year"], "ibn_year", YEARS, "gw", names)
-    return matrix.withColumns({c: F.round(c, 9) for c in names})
+    matrix = A.pivot_sum(registration_heat(r), ["reg_year"], "ibn_year", YEARS, "gw", names, other="ibn_other")
+    return matrix.withColumns({c: F.round(c, 9) for c in [*names, "ibn_other"]})
 
 
 # ------------------------------------------------------------------------------- year to date

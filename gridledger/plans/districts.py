@@ -36,7 +36,7 @@ def _district_sql(where: str) -> str:
            any_value(m.lat) AS lat, any_value(m.lon) AS lon,
            CASE WHEN any_value(m.einwohner) > 0
                 THEN round(count(*) / any_value(m.einwohner) * 1000, 6) END AS per_1000
-    FROM solar JOIN plz_district d ON d.plz = lpad(Postleitzahl, 5, '0')
+    FROM solar JOIN plz_district d ON d.plz = CASE WHEN length(Postleitzahl) < 5 THEN lpad(Postleitzahl, 5, '0') ELSE Postleitzahl END
     LEFT JOIN district_meta m ON m.kreis = d.kreis
     WHERE {where} GROUP BY d.kreis"""
 
@@ -134,7 +134,7 @@ def _assets_sql() -> str:
     def branch(name: str, table: str, where: str) -> str:
         return f"""
         SELECT d.kreis, '{name}' AS tech, coalesce({KW}, 0) AS kw
-        FROM {table} JOIN plz_district d ON d.plz = lpad(Postleitzahl, 5, '0')
+        FROM {table} JOIN plz_district d ON d.plz = CASE WHEN length(Postleitzahl) < 5 THEN lpad(Postleitzahl, 5, '0') ELSE Postleitzahl END
         WHERE {_ACTIVE} AND {where}"""
 
     rows = " UNION ALL ".join([
@@ -204,7 +204,7 @@ def building_districts(r: Register, detail: DataFrame) -> DataFrame:
 
 def _building_sql(types: tuple[str, ...] = tuple(TYPES)) -> str:
     def branch(name: str, table: str, where: str) -> str:
-        return (f"SELECT lpad(Postleitzahl, 5, '0') AS plz, '{name}' AS kind FROM {table}"
+        return (f"SELECT CASE WHEN length(Postleitzahl) < 5 THEN lpad(Postleitzahl, 5, '0') ELSE Postleitzahl END AS plz, '{name}' AS kind FROM {table}"
                 f" WHERE Postleitzahl IS NOT NULL AND {_ACTIVE} AND {where}")
 
     rows = " UNION ALL ".join([

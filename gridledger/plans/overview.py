@@ -55,9 +55,9 @@ def capacity_by_state(r: Register) -> DataFrame:
     SELECT cast(date_trunc('month', inbetriebnahme_datum) AS date) AS month, energietraeger,
            sum(bruttoleistung_kw) / 1000 AS new_capacity_mw
     FROM units_all
-    WHERE inbetriebnahme_datum >= DATE '1997-08-01'
+    WHERE inbetriebnahme_datum >= DATE '1991-08-01'
     GROUP BY 1, 2""")
-def buildout_recent(r: Register, months: int = 48) -> DataFrame:
+def buildout_recent(r: Register, months: int = 120) -> DataFrame:
     recent = r.units.filter(since_months(F.col("inbetriebnahme_datum"), AS_OF, months))
     return U.buildout_monthly(recent).select("month", "energietraeger", "new_capacity_mw")
 
@@ -114,16 +114,14 @@ def solar_top_plz(r: Register, **filters) -> DataFrame:
 
 
 @query("q23_plz_map", """
-    WITH top AS (
-        SELECT plz, energietraeger, count(*) AS units, sum(bruttoleistung_kw) / 1000 AS mw,
-               avg(lat) AS lat, avg(lon) AS lon
-        FROM units_all WHERE plz IS NOT NULL AND lat IS NOT NULL
-        GROUP BY 1, 2 HAVING sum(bruttoleistung_kw) IS NOT NULL
-        ORDER BY mw DESC, plz, energietraeger LIMIT 5000)
-    SELECT * FROM top WHERE mw >= 20 AND energietraeger IN ('Wind', 'Biomasse', 'Speicher')""")
+    SELECT plz, energietraeger, count(*) AS units, sum(bruttoleistung_kw) / 1000 AS mw,
+           avg(lat) AS lat, avg(lon) AS lon
+    FROM units_all
+    WHERE plz IS NOT NULL AND lat IS NOT NULL AND energietraeger IN ('Wind', 'Biomasse', 'Speicher')
+    GROUP BY 1, 2 HAVING sum(bruttoleistung_kw) / 1000 >= 20""")
 def plz_map(r: Register, min_mw: float = 20, carriers=("Wind", "Biomasse", "Speicher")) -> DataFrame:
-    cells = U.top_plz(r.units).withColumnRenamed("bruttoleistung_mw", "mw")
-    return cells.filter((F.col("mw") >= min_mw) & in_list_or_all(F.col("energietraeger"), carriers))
+    wanted = r.units.filter(in_list_or_all(F.col("energietraeger"), carriers))
+    return U.capacity_by_plz(wanted).withColumnRenamed("bruttoleistung_mw", "mw").filter(F.col("mw") >= min_mw)
 
 
 _MONTHLY = """

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridledger.functions.convert import epoch_to_local
 from gridledger.functions.labels import price_band, rad_band
 from gridledger.functions.predicates import business_hour
 from gridledger.operators import aggregates as A
@@ -36,17 +37,18 @@ def prices(r: Register) -> DataFrame:
 
 
 _PRICES = f"""
-    SELECT p.bzn, hour_utc + INTERVAL 1 HOUR AS ts, strftime(hour_utc + INTERVAL 1 HOUR, '%H:%M') AS hour,
+    SELECT p.bzn, hour_utc, hour_utc + INTERVAL 1 HOUR AS ts, strftime(hour_utc + INTERVAL 1 HOUR, '%H:%M') AS hour,
            price, CASE WHEN p.bzn = 'view' THEN 'EUR / MWh' ELSE 'EUR/MWh' END AS unit,
            z.country, z.lat, z.lon
     FROM price_rows p LEFT JOIN {_ZONES} ON z.bzn = p.bzn"""
 _LATEST = f"""
     SELECT * FROM ({_PRICES})
-    QUALIFY row_number() OVER (PARTITION BY bzn ORDER BY ts DESC) = 1"""
+    QUALIFY row_number() OVER (PARTITION BY bzn ORDER BY hour_utc DESC) = 1"""
 
 
 def latest_prices(r: Register) -> DataFrame:
-    return W.latest_per_key(prices(r).drop("unix_seconds"), ["bzn", "country", "lat", "lon", "unit"], "ts")
+    """The row of the newest instant per zone. Local time would repeat an hour when clocks go back."""
+    return W.latest_per_key(prices(r), ["bzn"], "unix_seconds").drop("unix_seconds")
 
 
 @query("q50_latest_price", f"""
@@ -65,6 +67,24 @@ def price_extremes(r: Register) -> DataFrame:
     return A.extremes(latest_prices(r), "price", "bzn")
 
 
+_NIGHTS = [("autumn", 300), ("spring", 90)]  # days from 1 January 2024 to the nights on which clocks change
+
+
+@query("q50_latest_at_clock_change", " UNION ALL ".join(f"""
+    SELECT '{night}' AS night, bzn, strftime((moved AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin', '%H:%M') AS hour, price
+    FROM (SELECT bzn, price, hour_utc + INTERVAL {days} DAY AS moved FROM price_rows
+          WHERE hour_utc < TIMESTAMP '2024-01-01 02:00:00')
+    QUALIFY row_number() OVER (PARTITION BY bzn ORDER BY moved DESC) = 1""" for night, days in _NIGHTS))
+def latest_at_clock_change(r: Register) -> DataFrame:
+    """Latest price when the first hours of the year lie on a clock-change night: 02:00 twice, or not at all."""
+    early = explode_prices(r.price_payloads, ["bzn"]).filter(F.col("unix_seconds") < 1704067200 + 7200)
+    nights = early.crossJoin(F.broadcast(literal_table(r.spark, _NIGHTS, "night, days")))
+    moved = nights.withColumn("unix_seconds", F.col("unix_seconds") + F.col("days") * 86400)
+    hour = F.date_format(epoch_to_local(F.col("unix_seconds"), "Europe/Berlin"), "HH:mm").alias("hour")
+    newest = W.latest_per_key(moved.select("night", "bzn", "unix_seconds", "price"), ["night", "bzn"], "unix_seconds")
+    return newest.select("night", "bzn", hour, "price")
+
+
 @query("q51_price_history", f"""
     SELECT bzn, country, strftime(ts, '%d.%m.%Y %H:%M') AS ts_label, price
     FROM ({_PRICES})
@@ -89,15 +109,15 @@ _DAY = f"SELECT * FROM ({_PRICES}) WHERE cast(ts AS date) = DATE '2024-01-15'"
 
 
 @query("q52_price_now", f"""
-    SELECT bzn, coalesce(arg_max(price, ts) FILTER (WHERE hour(ts) = 14), arg_max(price, ts)) AS price_now,
+    SELECT bzn, coalesce(arg_max(price, hour_utc) FILTER (WHERE hour(ts) = 14), arg_max(price, hour_utc)) AS price_now,
            min(price) AS day_min, max(price) AS day_max
     FROM ({_DAY}) GROUP BY 1""")
 def price_now(r: Register, day: dt.date = dt.date(2024, 1, 15), hour: int = 14) -> DataFrame:
     """Price of the current hour, or the day's last one where that hour is missing."""
-    ts, price = F.col("ts"), F.col("price")
-    at_hour = F.max_by(price, F.when(F.hour(ts) == hour, ts))
+    ts, price, instant = F.col("ts"), F.col("price"), F.col("unix_seconds")
+    at_hour = F.max_by(price, F.when(F.hour(ts) == hour, instant))
     return prices(r).filter(F.to_date(ts) == F.lit(day)).groupBy("bzn").agg(
-        F.coalesce(at_hour, F.max_by(price, ts)).alias("price_now"),
+        F.coalesce(at_hour, F.max_by(price, instant)).alias("price_now"),
         F.min(price).alias("day_min"), F.max(price).alias("day_max"))
 
 
@@ -155,7 +175,7 @@ def irradiance_now(r: Register) -> DataFrame:
     FROM (SELECT site FROM numbered WHERE i % cast(ceil(n / 40.0) AS bigint) = 0) s
     LEFT JOIN ({_CURRENT}) c ON c.site = s.site AND c.position = 0""")
 def irradiance_sampled(r: Register, max_points: int = 40) -> DataFrame:
-    """At most ``max_points`` evenly spaced sites, sampled before any response is parsed."""
+    """At most ``max_points`` evenly spaced sites, sampled before any response is built or parsed."""
     sampled = P.every_kth(current_payloads(r), max_points, ["site"])
     rows = explode_current(sampled, ["site"]).filter("position = 0").drop("position", "is_day")
     return sampled.select("site").join(rows, "site", "left").withColumn(

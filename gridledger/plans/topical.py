@@ -113,9 +113,11 @@ def election_areas(r: Register) -> DataFrame:
          (SELECT min(local_votes) * 1e0 AS lo, max(local_votes) * 1e0 AS hi FROM ({_ELECTION}))""")
 def election_table(r: Register) -> DataFrame:
     areas = election_areas(r).withColumn("registered", F.col("local_votes") + F.col("expat_votes"))
-    scaled = P.scale_idx(areas, "local_votes", "local_idx")
+    ranged = P.with_ranges(areas, _votes=F.col("local_votes"), _root=F.sqrt("local_votes"))
+    scaled = P.scale_idx(ranged, "local_votes", "local_idx", known="_votes")
     scaled = P.scale_idx(scaled, "candidates", "candidate_idx", low=1, high=11)
-    return P.rescale_sqrt(scaled, "local_votes", "radius").withColumn("radius", F.round("radius", 6))
+    placed = P.rescale_sqrt(scaled, "local_votes", "radius", known="_root").drop("_votes", "_root")
+    return placed.withColumn("radius", F.round("radius", 6))
 
 
 @query("q57_election_totals", f"""
@@ -130,7 +132,6 @@ def election_totals(r: Register) -> DataFrame:
 # ------------------------------------------------------------------------------- interviews
 
 _KNOWN_THEMES = ", ".join(f"'{t}'" for t in INTERVIEW_THEMES)
-SOURCES = [f"src{i}" for i in range(20)]
 PATTERN = "tion.*the"
 
 
@@ -155,11 +156,10 @@ def extract_search(r: Register) -> DataFrame:
     return filtered_extracts(r).drop("extract")
 
 
-@query("q58_code_by_interview", f"""
-    SELECT code, {", ".join(f"count(*) FILTER (WHERE interview = '{s}') AS {s}" for s in SOURCES)}
-    FROM extracts GROUP BY 1""")
+@query("q58_code_by_interview", "SELECT code, interview, count(*) AS n FROM extracts GROUP BY 1, 2")
 def code_by_interview(r: Register) -> DataFrame:
-    return A.crosstab(extracts(r), "code", "interview", SOURCES)
+    """Long form: interviews are data, so no list of columns can name them all."""
+    return A.freq(extracts(r), "code", "interview")
 
 
 @query("q58_interview_theme", f"""
@@ -447,28 +447,31 @@ _CITATIONS = f"""
     best AS (
         SELECT * FROM scored WHERE score >= 65e-2
         QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY
-            (source = 'openalex' AND score >= 82e-2) DESC, score DESC, source = 'openalex' DESC) = 1),
+            (source = 'openalex' AND score >= 82e-2) DESC, score DESC, source = 'openalex' DESC, cdoi DESC NULLS LAST) = 1),
     linked AS (
         SELECT r.*, b.source, b.score, b.cdoi AS match_doi,
                CASE WHEN r.doi IS NOT NULL THEN 'doi_citation'
                     WHEN b.cdoi IS NOT NULL AND b.score >= 7e-1 THEN 'doi_found' ELSE 'search' END AS method
         FROM refs r LEFT JOIN best b USING (ref_id)),
     rated AS (
-        SELECT *, cast(CASE method WHEN 'doi_citation' THEN CASE WHEN score >= 95e-2 THEN 98 ELSE 92 END
+        SELECT *, cast(CASE method WHEN 'doi_citation' THEN CASE WHEN score >= 95e-2 THEN 98 WHEN score >= 85e-2 THEN 92 ELSE 80 END
                  WHEN 'doi_found' THEN CASE WHEN score >= 92e-2 THEN 96 WHEN score >= 8e-1 THEN 88 ELSE 75 END
                  ELSE CASE WHEN is_web THEN 35 WHEN score >= 85e-2 THEN 72 WHEN score >= 7e-1 THEN 58
                       ELSE 42 END END AS integer) AS accuracy
         FROM linked)
-    SELECT *, CASE WHEN accuracy >= 90 THEN '>= 90' WHEN accuracy >= 80 THEN '80-89'
+    SELECT *, CASE method WHEN 'doi_citation' THEN concat('https://doi.org/', doi)
+                          WHEN 'doi_found' THEN concat('https://doi.org/', match_doi)
+                          ELSE concat('https://scholar.google.com/scholar?q=', replace(title, ' ', '+')) END AS link,
+           CASE WHEN accuracy >= 90 THEN '>= 90' WHEN accuracy >= 80 THEN '80-89'
                    WHEN accuracy >= 60 THEN '60-79' ELSE '< 60' END AS band FROM rated"""
 
 
 @query("q65_citation_links", f"""
-    SELECT ref_id, year, title, doi, is_web, score, source, match_doi, method, accuracy, band
+    SELECT ref_id, year, title, doi, is_web, score, source, match_doi, method, link, accuracy, band
     FROM ({_CITATIONS})""")
 def citation_links(r: Register) -> DataFrame:
     return resolved(r).select("ref_id", "year", "title", "doi", "is_web", "score", "source",
-                              "match_doi", "method", "accuracy", "band")
+                              "match_doi", "method", "link", "accuracy", "band")
 
 
 @query("q65_citation_bands", f"""

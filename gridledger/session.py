@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_FALLBACKS: dict[str, str] = {}  # per application: the core setting can't be changed at run time
+
 
 def local_session(cores: str = "8", app: str = "gridledger", **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench. Clusters bring their own session."""
@@ -35,11 +37,12 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="gridledger-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _FALLBACKS:
+        _FALLBACKS[application] = tempfile.mkdtemp(prefix="gridledger-")
+    return _FALLBACKS[application]
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:

@@ -78,8 +78,9 @@ def parse_logfmt(line: Column) -> Column:
 
 def expiry_left(samples: DataFrame, keys: list[str], ts: str, expires: str) -> DataFrame:
     """Seconds until expiry, as of the newest sample of each target."""
-    newest = samples.groupBy(*keys).agg(
-        F.max(ts).alias("seen"), F.max_by(expires, ts).alias("expires"))
+    last = samples.groupBy(*keys).agg(F.max(F.struct(
+        F.col(ts).alias("seen"), F.col(expires).alias("expires"))).alias("_last"))  # of equal times the later expiry
+    newest = last.select(*keys, "_last.*")
     seconds = F.col("expires").cast("bigint") - F.col("seen").cast("bigint")
     return newest.withColumn("seconds_left", seconds)
 

@@ -133,7 +133,7 @@ def test_k19_bins_are_right_closed(spark, days, label):
 
 def test_k21_postcode_padding(spark):
     assert one(spark, 7, "int", V.norm_plz) == "00007"
-    assert one(spark, "123456", "string", V.norm_plz) == "12345"
+    assert one(spark, "123456", "string", V.norm_plz) == "123456"
 
 
 @pytest.mark.parametrize("season, month, inside", [

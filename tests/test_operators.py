@@ -16,6 +16,7 @@ from gridledger.operators import projection as P
 from gridledger.operators import ranking as L
 from gridledger.operators import sets as S
 from gridledger.operators import windows as W
+from gridledger.plans.overview import plz_map
 from gridledger.plans.traffic import visitor_profile
 
 
@@ -42,7 +43,7 @@ def test_exact_quantile_narrows_to_the_exact_value(spark, q):
     random.seed(5)
     values = [random.gauss(0, 100) for _ in range(30_000)] + [7.5] * 15_000  # a third is one value
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(4)
-    got = A.exact_quantile(df, "v", q, small=20_000).first()
+    got = A.exact_quantile(df, "v", q).first()
     assert got.n == 45_000 and got.value == pytest.approx(interpolated(values, q), abs=1e-9)
 
 
@@ -171,6 +172,28 @@ def test_pivot_total_equals_long_total(spark):
     assert long.agg(F.sum("v")).first()[0] == 9.0
 
 
+def test_pivots_lose_no_value(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 3, 3.0), ("b", None, 4.0)], "r string, c int, v double")
+    assert rows(A.pivot_sum(df, ["r"], "c", [1], "v", other="rest")) == [("a", 2.0, 3.0), ("b", 0, 4.0)]
+    with pytest.raises(Exception, match="no column for"):
+        A.pivot_sum(df, ["r"], "c", [1, 3], "v").collect()
+    assert rows(A.crosstab(df, "r", "c", [1])) == [("a", 1, 1), ("b", 0, 1)]
+
+
+def test_map_cells_beyond_the_published_cut(spark):
+    """More cells than the published table holds: the map filters all of them."""
+    units = spark.range(6000).select(
+        F.format_string("%06d", "id").alias("plz"), F.lit("Wind").alias("energietraeger"), F.lit(1.0).alias("lat"),
+        F.lit(1.0).alias("lon"), (F.col("id") + 20_000).cast("double").alias("bruttoleistung_kw"))
+
+    class Given:
+        pass
+
+    given = Given()
+    given.units = units
+    assert plz_map(given, carriers=("Wind",)).count() == 6000
+
+
 def test_dominant_and_distinct(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "k string")
     got = A.dominant(df, "k").first()
@@ -190,7 +213,7 @@ def test_extremes_and_means(spark):
 
 def test_histograms(spark):
     df = spark.createDataFrame([(0.0,), (9.9,), (10.0,), (25.0,), (45.0,), (None,)], "v double")
-    assert rows(A.histogram(df, "v", 10, 30)) == [(0.0, 2), (10.0, 1), (20.0, 1)]
+    assert rows(A.histogram(df, "v", 10, 30)) == [(0.0, 2), (10.0, 1), (20.0, 1), (40.0, 1)]
     assert rows(A.log_histogram(df, "v", 1)) == [(0, 1), (1, 3)]
 
 
@@ -256,6 +279,22 @@ def test_citation_without_title_is_not_matched(spark):
     assert got.score is None and got.method == "search" and got.accuracy == 42
 
 
+def test_citation_pick_does_not_depend_on_row_order(spark):
+    refs = spark.createDataFrame([(1, "grid study", 2000, None, False)], "id int, title string, year int, doi string, is_web boolean")
+    found = [(1, "crossref", "grid study", 2000, f"10.1/{x}") for x in "abcde"] + [(1, "crossref", "grid study", 2000, None)]
+    kind = "id int, source string, title string, year int, doi string"
+    picks = {C.match_citations(refs, spark.createDataFrame(rows, kind).coalesce(1), "id").first().match_doi
+             for rows in (found, found[::-1], found[2:] + found[:2])}
+    assert picks == {"10.1/e"}
+
+
+def test_unconfirmed_doi_is_rated_lower(spark):
+    kind = "id int, title string, year int, doi string, is_web boolean, score double, source string, match_doi string"
+    rows_ = [(1, "t", 2000, "10.1/x", False, s, None, None) for s in (None, 0.84, 0.85, 0.95)]
+    got = [r.accuracy for r in C.link_reliability(spark.createDataFrame(rows_, kind).coalesce(1)).collect()]
+    assert got == [80, 80, 92, 98]
+
+
 def test_invariants_on_the_register(spark):
     """Buckets add up to totals, the last running total is the total, the union is its branches."""
     from gridledger.plans import commissioning, overview

@@ -42,8 +42,8 @@ def test_results_do_not_depend_on_the_session_zone(spark, duck, zone, name):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def test_every_query_but_the_listing_has_sql():
-    assert set(QUERIES) - set(SQL) == {"l05_cap"}
+def test_every_query_has_sql_but_some_of_the_training_data():
+    assert {q for q in set(QUERIES) - set(SQL) if not q.startswith("op")} <= {"pipeline"}
 
 
 def test_entry_has_rows(spark):
@@ -51,4 +51,4 @@ def test_entry_has_rows(spark):
 
 
 def test_listing_is_capped(spark):
-    assert QUERIES["l05_cap"](spark, SF_DIR).count() == 1000
+    assert tuple(QUERIES["l05_cap"](spark, SF_DIR).first()) == (1000, 1000)
