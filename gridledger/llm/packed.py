@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridledger.llm.textbytes import mix
+
 BUCKETS = 1024
 BUCKET_ITEMS = 1 << 20
 FLUSH_ITEMS = 1 << 20
@@ -90,9 +92,10 @@ def block_rows(flush: int, buckets: np.ndarray, columns: dict[str, tuple]) -> pa
 def side_rows(flush: int, n_buckets: int, rows: list[tuple]) -> pa.RecordBatch:
     """Rows that only pass through the buckets on their way home: (kind, a, b, c)."""
     n = len(rows)
+    home = int(mix(np.array([flush], np.uint64))[0]) % n_buckets
     cells = [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, flush % n_buckets, np.int32)), pa.array(np.full(n, flush)),
+        [pa.array(np.full(n, home, np.int32)), pa.array(np.full(n, flush)),
          pa.array([r[0] for r in rows], pa.int32()), *cells, pa.nulls(n, pa.binary())],
         ["bucket", "flush", "kind", "a", "b", "c", "d"])
 
