@@ -1,9 +1,9 @@
 """Toxic passages as maximal scoring segments over token log-odds.
 
-A token's log-odds compare the labelled toxic and clean documents that hold it. Dirichlet priors smooth them along a
-chain: a word is drawn towards its five-byte prefix, that towards its four-byte prefix, that towards the share of toxic
-documents, so that an unseen ending of a telling stem still counts. Every token scores its log-odds less a drift;
-one linear pass then finds all maximal segments (Ruzzo and Tompa). Their scores follow an extreme-value law (Karlin and
+A token's log-odds compare how often it occurs in labelled toxic and clean documents. Dirichlet priors smooth them along
+a chain: a word is drawn towards its longest stem (a prefix of some bytes), that towards a shorter one, the last towards
+the toxic share of all tokens, so that an unseen ending of a telling stem still counts. Tokens that don't tell share one
+log-odds, slightly negative; one linear pass then finds all maximal segments (Ruzzo and Tompa). Their scores follow an extreme-value law (Karlin and
 Altschul): its decay comes from the clean documents' token frequencies, and a sum statistic joins several segments.
 A logistic curve over that statistic, fitted on the same labelled rows, gives the score between 0 and 1.
 """
@@ -22,19 +22,21 @@ from pyspark.sql import functions as F
 from gridledger.llm.textbytes import (
     alnum_bytes, chunks, flat, lower_ascii, prefix_hashes, row_starts, spans, stretch_hashes,
 )
+from gridledger.session import ensure_checkpoint_dir
 
 LABELLED = 40_000      # bound of the labelled sample; rows beyond it do not train
 MOST_TERMS = 200_000   # bound of the broadcast term table; evidence on a bounded sample ends far below it
 PRIOR = 4.0            # pseudo-documents of the Dirichlet prior
-LEAST_BOUND = 0.5      # a term counts if the lower end of its log-odds is above this
-DRIFT = 1.0
-STEEPEST = 6.0
+LEAST_BOUND = 0.5      # a term counts if its log-odds less DEVIATIONS of their spread are above this
+DEVIATIONS = 2.6       # about one chance finding in two hundred terms
+LEAST_DRIFT = 0.005    # what a token that doesn't tell costs at least
+STEEPEST = 7.0
 TOP = 60.0             # the statistic is held below this
 THRESHOLD = 0.3
 SIGNIFICANT = 0.05     # expected number of chance segments at which a passage is reported
-STEMS = (4, 5)
+STEMS = (4, 5, 7)      # bytes
 
-TERM_SCHEMA = "level int, term long, parent long, n_toxic long, n_clean long"
+TERM_SCHEMA = "level int, term long, parent long, n_toxic long, n_clean long, d_toxic long, d_clean long"
 PASSAGES = "array<struct<first_byte: long, end_byte: long, score: double>>"
 
 
@@ -43,6 +45,7 @@ class Model:
     """What scoring needs: per level sorted term hashes with scores, the decay of chance scores, the logistic curve."""
 
     terms: list[tuple[np.ndarray, np.ndarray]]
+    drift: float
     decay: float
     base: float = 0.0
     slope: float = 0.0
@@ -61,7 +64,10 @@ def term_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled texts to documents per term and class, added up within each slice."""
+    """Labelled texts to occurrences and documents per term and class, added up within each slice.
+
+    Words come in bursts, so ``n`` occurrences in one text count as ``1 + floor(log2(n))``.
+    """
     member = alnum_bytes()
     for batch in batches:
         for part in chunks(batch):
@@ -75,19 +81,24 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t, r, p = term[order], rows[order], parent[order]
                 new = np.ones(len(t), bool)
                 new[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
+                times = np.log2(np.diff(np.flatnonzero(new), append=len(t))).astype(np.int64) + 1
                 t, r, p = t[new], r[new], p[new]
                 distinct, at, which = np.unique(t, return_index=True, return_inverse=True)
-                bad = np.bincount(which, toxic[r], len(distinct)).astype(np.int64)
-                every = np.bincount(which, minlength=len(distinct)).astype(np.int64)
+                sums = [np.bincount(which, w, len(distinct)).astype(np.int64)
+                        for w in (times * toxic[r], times * (1 - toxic[r]), toxic[r], 1 - toxic[r])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(distinct), level, np.int32)), pa.array(distinct.view(np.int64)),
-                     pa.array(p[at].view(np.int64)), pa.array(bad), pa.array(every - bad)],
-                    ["level", "term", "parent", "n_toxic", "n_clean"])
+                     pa.array(p[at].view(np.int64)), *(pa.array(s) for s in sums)],
+                    ["level", "term", "parent", "n_toxic", "n_clean", "d_toxic", "d_clean"])
                 parent = term
 
 
 def with_odds(terms: DataFrame, parents: DataFrame | None, share: float) -> DataFrame:
-    """Adds the smoothed toxic share, log-odds against the base share, and whether the term or a stem of it tells."""
+    """Adds the smoothed toxic share, log-odds against the base share, and whether the term or a stem of it tells.
+
+    A term tells if the lower end of its log-odds is high enough, where the spread comes from the number of documents:
+    many occurrences in one document are one piece of evidence.
+    """
     if parents is None:
         joined = terms.withColumn("prior", F.lit(share)).withColumn("stem_kept", F.lit(False))
     else:
@@ -99,21 +110,22 @@ def with_odds(terms: DataFrame, parents: DataFrame | None, share: float) -> Data
     return (
         joined.withColumn("share", toxic / (toxic + clean))
         .withColumn("odds", F.ln(toxic / clean) - F.lit(math.log(share / (1 - share))))
-        .withColumn("least", F.col("odds") - F.lit(1.64) * F.sqrt(F.lit(1.0) / toxic + F.lit(1.0) / clean))
+        .withColumn("spread", F.sqrt(F.lit(1.0) / (F.col("d_toxic") + F.lit(PRIOR) * F.col("prior"))
+                                     + F.lit(1.0) / (F.col("d_clean") + F.lit(PRIOR) * (F.lit(1.0) - F.col("prior")))))
         .withColumn("clean", clean)
-        .withColumn("kept", (F.col("least") > LEAST_BOUND)
-                    | (F.col("stem_kept") & (F.col("n_toxic") + F.col("n_clean") >= 3)))
+        .withColumn("kept", ((F.col("odds") - F.lit(DEVIATIONS) * F.col("spread") > LEAST_BOUND) & (F.col("d_toxic") >= 2))
+                    | (F.col("stem_kept") & (F.col("d_toxic") + F.col("d_clean") >= 3)))
     )
 
 
-def chance_decay(scores: np.ndarray, frequencies: np.ndarray) -> float:
-    """The positive root of sum(p * exp(decay * score)) = 1, where tokens outside the table score ``-DRIFT``."""
+def chance_decay(scores: np.ndarray, frequencies: np.ndarray, drift: float) -> float:
+    """The positive root of sum(p * exp(decay * score)) = 1, where tokens outside the table score ``-drift``."""
     rest = max(0.0, 1.0 - float(frequencies.sum()))
     if not (scores > 0).any():
         return 1.0
 
     def above(decay: float) -> bool:
-        return float((frequencies * np.exp(np.minimum(decay * scores, 700.0))).sum()) + rest * math.exp(-decay * DRIFT) > 1.0
+        return float((frequencies * np.exp(np.minimum(decay * scores, 700.0))).sum()) + rest * math.exp(-decay * drift) > 1.0
 
     low, high = 0.01, 20.0
     if above(low):
@@ -142,31 +154,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn the term table, the decay and the curve. Without labels every text scores alike, below the threshold."""
     sample = labelled_sample(docs, labels)
     counts = sample.select("text", "toxic").mapInArrow(count_terms, TERM_SCHEMA)
-    counts = counts.groupBy("level", "term").agg(
-        F.min("parent").alias("parent"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-    totals = sample.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("every")).first()
-    n_toxic, every = int(totals.toxic or 0), int(totals.every)
-    share = (n_toxic + 1) / (every + 2)
-    clean_total = F.sum(F.when(F.col("level") == len(STEMS), F.col("n_clean"))).alias("n")
-    counts = counts.filter("n_toxic >= 2 OR n_toxic + n_clean >= 3")
+    sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_clean", "d_toxic", "d_clean")]
+    counts = counts.groupBy("level", "term").agg(F.min("parent").alias("parent"), *sums)
+    ensure_checkpoint_dir(docs.sparkSession)
+    counts = counts.checkpoint()  # read once for the totals and once per level
+    totals = counts.filter(F.col("level") == len(STEMS)).agg(F.sum("n_toxic").alias("toxic"), F.sum("n_clean").alias("clean")).first()
+    n_toxic, n_clean = int(totals.toxic or 0), int(totals.clean or 0)
+    share = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    counts = counts.filter("d_toxic >= 2 OR d_toxic + d_clean >= 3")
     chain, levels = None, []
     for level in range(len(STEMS) + 1):
         chain = with_odds(counts.filter(F.col("level") == level), chain, share)
-        levels.append(chain.filter("kept").select("level", "term", "odds", "clean", "n_toxic", "n_clean"))
+        levels.append(chain.filter("kept").select("level", "term", "odds", "clean", "d_toxic", "d_clean"))
     kept = levels[0]
     for other in levels[1:]:
         kept = kept.unionByName(other)
-    rows = kept.orderBy(F.desc(F.col("n_toxic") + F.col("n_clean")), "level", "term").limit(MOST_TERMS).collect()
-    tokens = max(int(counts.agg(clean_total).first().n or 0), 1)
+    rows = kept.orderBy(F.desc(F.col("d_toxic") + F.col("d_clean")), "level", "term").limit(MOST_TERMS).collect()
     tables = []
     for level in range(len(STEMS) + 1):
         mine = sorted((r.term % (1 << 64), r.odds) for r in rows if r.level == level)
         tables.append((np.array([t for t, _ in mine], np.uint64),
-                       np.clip(np.array([o for _, o in mine], float), -STEEPEST, STEEPEST) - DRIFT))
+                       np.clip(np.array([o for _, o in mine], float), -STEEPEST, STEEPEST)))
+    known = sample.mapInArrow(lambda batches: count_known(tables, batches), "toxic int, known long")
+    known = {r.toxic: int(r.known or 0) for r in known.groupBy("toxic").agg(F.sum("known").alias("known")).collect()}
+    other = (n_toxic - known.get(1, 0) + 1) / (n_toxic + 1) / ((n_clean - known.get(0, 0) + 1) / (n_clean + 1))
+    drift = max(-math.log(other), LEAST_DRIFT)
     words = [r for r in rows if r.level == len(STEMS)]
-    decay = chance_decay(np.clip(np.array([r.odds for r in words], float), -STEEPEST, STEEPEST) - DRIFT,
-                         np.array([r.clean for r in words], float) / tokens)
-    model = Model(tables, decay)
+    decay = chance_decay(np.clip(np.array([r.odds for r in words], float), -STEEPEST, STEEPEST),
+                         np.array([r.clean for r in words], float) / max(n_clean, 1), drift)
+    model = Model(tables, drift, decay)
     seen = measure(sample, model, ["toxic"]).groupBy(F.col("doc.toxic").alias("toxic"),
                                                      (F.round(F.col("evidence") * 2) / 2).alias("x")).count().collect()
     model.base, model.slope = logistic([(r.x, r.toxic, r["count"]) for r in seen])
@@ -174,7 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Intercept and slope by Newton steps on counted cells; a weak ridge keeps them finite when classes separate."""
+    """Intercept and slope by Newton steps on counted cells.
+
+    The statistic is the negative logarithm of a chance, so the slope stays between 0 and 1, also where the labelled
+    rows separate; a weak ridge keeps the intercept finite then.
+    """
     x = np.array([c[0] for c in cells], float)
     y = np.array([c[1] for c in cells], float)
     n = np.array([c[2] for c in cells], float)
@@ -182,19 +202,22 @@ def logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
         return -3.0, 0.0
     beta, ridge = np.array([math.log((n * y).sum() / (n * (1 - y)).sum()), 0.0]), np.diag([1e-3, 1e-2])
     design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(100):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (n * (y - p)) - ridge @ beta
         step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + ridge, gradient)
-        beta = beta + np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-9:
+        before, beta = beta, beta + np.clip(step, -1, 1)
+        if not 0 <= beta[1] <= 1:  # at the bound the intercept moves alone
+            beta[1] = min(max(beta[1], 0.0), 1.0)
+            beta[0] = before[0] + float(np.clip(gradient[0] / ((n * p * (1 - p)).sum() + ridge[0, 0]), -1, 1))
+        if np.abs(beta - before).max() < 1e-9:
             break
-    return float(beta[0]), float(max(beta[1], 0.0))
+    return float(beta[0]), float(beta[1])
 
 
-def token_scores(tables: list[tuple[np.ndarray, np.ndarray]], levels: list[np.ndarray]) -> np.ndarray:
-    """The score of the longest known form of each token, ``-DRIFT`` for tokens without one."""
-    scores = np.full(len(levels[0]), -DRIFT)
+def token_scores(tables: list[tuple[np.ndarray, np.ndarray]], levels: list[np.ndarray], other: float) -> np.ndarray:
+    """The score of the longest known form of each token, ``other`` for tokens without one."""
+    scores = np.full(len(levels[0]), other)
     for (terms, values), hashes in zip(tables, levels):
         if len(terms):
             some = np.zeros(1 << 16, bool)
@@ -206,6 +229,28 @@ def token_scores(tables: list[tuple[np.ndarray, np.ndarray]], levels: list[np.nd
     return scores
 
 
+def count_known(tables: list[tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens of each labelled text have a form in the table."""
+    member = alnum_bytes()
+    for batch in batches:
+        for part in chunks(batch):
+            data, bounds = flat(part.column("text"))
+            data = lower_ascii(data)
+            starts, ends, rows = spans(data, bounds, member)
+            told = ~np.isnan(token_scores(tables, term_hashes(data, starts, ends), math.nan))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("toxic"), pa.array(np.bincount(rows[told], minlength=part.num_rows))], ["toxic", "known"])
+
+
+def tells(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether a word adds evidence: of a run of one word the 1st, 2nd, 4th, 8th and so on do, as in the counts."""
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])
+    at = np.arange(len(words))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0)) + 1
+    return nth & (nth - 1) == 0
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (first, end, score), in one pass over the positive tokens.
 
@@ -250,7 +295,9 @@ def score_texts(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             data = lower_ascii(data)
             starts, ends, rows = spans(data, bounds, member)
             first = row_starts(rows, part.num_rows)
-            scores = token_scores(model.terms, term_hashes(data, starts, ends))
+            levels = term_hashes(data, starts, ends)
+            scores = token_scores(model.terms, levels, -model.drift)
+            scores[~tells(levels[-1], rows)] = -model.drift
             evidence, passages = np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
             for row in np.unique(rows[scores > 0]).tolist():
                 lo, hi = int(first[row]), int(first[row + 1])
