@@ -71,10 +71,14 @@ class Templates:
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-                text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in templates]
+                text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in templates]
 
     def ranked(self, block: bytes) -> list[tuple[float, int]]:
-        """Share of the compressed size that each template takes off, best first; ties in template order."""
+        """Share of the compressed size that each template takes off, best first; ties in template order.
+
+        Letters count in lower case, as notices also come in capitals.
+        """
+        block = block.lower()
         size = len(self.alone.compress(block))
         gains = [(1 - len(c.compress(block)) / size, i) for i, c in enumerate(self.given)]
         return sorted(gains, key=lambda g: (-g[0], g[1]))
