@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridledger.session import new_work_path
+
 MOST_REPEATS = 3
 CYCLE = 3
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -58,13 +60,16 @@ def with_copies(docs: DataFrame, key: str = "doc_id", seed: int = 0) -> DataFram
     Null or blank texts have size 0; a source without words has target 0 and takes none of its documents. Repeated
     rows draw alike. Extra columns travel inside ``doc``, whatever their names.
 
-    The sum per source combines before the shuffle, and the one row per source is joined back; whether that side is
-    broadcast is left to its measured size.
+    The sum per source combines before the shuffle. The one row per source is written and read again, so the join knows
+    its size before it starts: small, it is broadcast and the documents stay where they are; large, both sides shuffle
+    and a hot source is split.
     """
     sized = docs.select(F.struct("*").alias("doc"), F.col("source").alias("from_source"),
                         document_size(F.col("text")).alias("size"))
-    targets = source_targets(
-        sized.groupBy(F.col("from_source").alias("source")).agg(F.sum("size").alias("source_size")))
+    spark, path = docs.sparkSession, new_work_path(docs.sparkSession, "mix-targets")
+    source_targets(sized.groupBy(F.col("from_source").alias("source")).agg(F.sum("size").alias("source_size"))
+                   ).write.parquet(path)
+    targets = spark.read.parquet(path)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     draw = unit_interval(F.lit(seed), F.col(f"doc.{key}"), F.col("size"))
     return (
