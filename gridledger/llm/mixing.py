@@ -90,38 +90,3 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     """One row per document: ``taken`` is its size times its copies."""
     return with_copies(docs).select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target",
                                     (F.col("size") * F.col("copies")).alias("taken"))
-
-
-MIX_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
-  FROM documents),
-sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight
-  FROM sized GROUP BY source),
-total AS (SELECT CAST(sum(source_size) AS BIGINT) AS words FROM sources),
-levels AS (
-  SELECT a.source, a.weight, a.source_size, 3 * a.source_size / CAST(a.weight AS DOUBLE) AS bound,
-    (SELECT CAST((SELECT words FROM total)
-              - coalesce(sum(CASE WHEN 3 * b.source_size / CAST(b.weight AS DOUBLE) < 3 * a.source_size / CAST(a.weight AS DOUBLE)
-                             THEN 3 * b.source_size END), 0) AS DOUBLE)
-       / CAST(sum(CASE WHEN 3 * b.source_size / CAST(b.weight AS DOUBLE) >= 3 * a.source_size / CAST(a.weight AS DOUBLE)
-                       THEN b.weight END) AS DOUBLE)
-     FROM sources b) AS level
-  FROM sources a),
-goal AS (SELECT max(level) AS level FROM levels WHERE level <= bound),
-targets AS (
-  SELECT l.source, l.source_size,
-    CASE WHEN g.level >= l.bound THEN CAST(3 * l.source_size AS DOUBLE) ELSE g.level * l.weight END AS target
-  FROM levels l, goal g),
-rates AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    CAST(('0x' || substr(md5('0|' || coalesce(CAST(s.doc_id AS VARCHAR), '') || '|' || CAST(s.size AS VARCHAR)), 1, 8))
-         AS BIGINT) / 4294967296.0 AS draw
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rates
-"""

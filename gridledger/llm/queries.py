@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm import (
-    dart_minhash, decontaminate, license_scan, mixing, shards, suffix_dedup, token_counts, toxicity, vector_dedup,
-    window_dedup,
+    dart_minhash, decontaminate, license_scan, mixing, oracles, shards, suffix_dedup, token_counts, toxicity,
+    vector_dedup, window_dedup,
 )
 
 
@@ -70,5 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op10_mix": mixing.MIX_SQL,
+    "op2_decontaminate": oracles.DECONTAMINATE,
+    "op7_near_vectors": oracles.NEAR_VECTORS,
+    "op8_repeated_windows": oracles.REPEATED_WINDOWS,
+    "op9_near_copies": oracles.NEAR_COPIES,
+    "op10_mix": oracles.MIX,
 }
