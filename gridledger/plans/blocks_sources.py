@@ -6,6 +6,15 @@ working area, and then read them back the way an export would be read.
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+import uuid
+import zipfile
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +31,7 @@ from gridledger.sources import payloads as Y
 from gridledger.sources import register_xml as X
 from gridledger.sources import snapshots as N
 from gridledger.sources import tables as B
+from gridledger.sources.register_xml import at_storage
 
 
 def as_export_xml(r: Register, df: DataFrame, entity: Entity) -> str:
@@ -54,6 +64,42 @@ def xml_to_typed(r: Register) -> DataFrame:
     return X.typed(raw, entity)
 
 
+def as_archives(r: Register, df: DataFrame, entity: Entity, archives: int = 2) -> list[str]:
+    """Zip archives of export XML, one written by each task, with one member per thousand records."""
+    folder = new_work_path(r.spark, f"zip-{entity.key}")
+    record = F.to_xml(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns]), {"rowTag": entity.tag})
+    stem = entity.members.split("*")[0]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, target = at_storage(folder)
+        store.create_dir(target, recursive=True)
+        number = TaskContext.get().partitionId()
+        draft, name = f"{target}/.{uuid.uuid4().hex}", f"export-{number}.zip"
+        rows = (text for batch in batches for text in batch["record"])
+        with store.open_output_stream(draft) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as zf:
+            for part, some in enumerate(iter(lambda: list(islice(rows, 1000)), [])):
+                zf.writestr(f"{part}/{stem}_1.xml", f"<{stem}>" + "".join(some) + f"</{stem}>")
+        store.move(draft, f"{target}/{name}")
+        yield pd.DataFrame({"archive": [f"{folder}/{name}"]})
+
+    written = df.select(record.alias("record")).repartition(archives).mapInPandas(pack, "archive string")
+    return sorted(row.archive for row in written.collect())
+
+
+@query("s02_staged_archives", """
+    SELECT EinheitMastrNummer, Bruttoleistung, Bundesland, Inbetriebnahmedatum FROM wind""")
+def staged_archives(r: Register) -> DataFrame:
+    """Turbines written to archives, staged by member and read back."""
+    entity = dataclasses.replace(ENTITIES["wind"], members="*" + ENTITIES["wind"].members)
+    columns = ["EinheitMastrNummer", "Bruttoleistung", "Bundesland", "Inbetriebnahmedatum"]
+    tables = []
+    for archive in as_archives(r, r.wind.select(*columns), ENTITIES["wind"]):
+        staged = new_work_path(r.spark, "staged-wind")
+        if X.stage_members(r.spark, archive, entity, staged).parts:
+            tables.append(X.typed(X.read_entity(r.spark, staged, entity, columns)[0], entity))
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
 @query("s03_to_number", """
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
            CASE l_linenumber WHEN 1 THEN l_quantity + 5e-1 WHEN 2 THEN l_quantity WHEN 3 THEN NULL

@@ -25,14 +25,14 @@ def load_export(spark: SparkSession, archive: str, table_dir: str,
     """Load every entity the archive contains; one row per entity tells what happened.
 
     Per entity: stage the members, read, type, keep the last update of each id, write. ``records``
-    counts what was read, ``damaged`` what could not be parsed, ``rows`` what was written. The
+    counts what was read, ``damaged`` what could not be parsed or was cut short, ``rows`` what was written. The
     archive must be reachable by every executor.
     """
     report: list[tuple[str, int, int, int]] = []
     for key, entity in ENTITIES.items():
         if only and key not in only:
             continue
-        staged = new_work_path(spark, f"staged-{key}").removeprefix("file:")
+        staged = new_work_path(spark, f"staged-{key}")
         found = X.stage_members(spark, archive, entity, staged)
         if not found.columns:
             log.warning("entity %s: no record in members %s", key, entity.members)
@@ -44,7 +44,8 @@ def load_export(spark: SparkSession, archive: str, table_dir: str,
             table = X.dedup(table, ids, UPDATED if UPDATED in table.columns else None)
         written = Observation()
         X.write_entity(table.observe(written, F.count("*").alias("rows")), entity, table_dir)
-        report.append((key, read.get["records"], read.get["damaged"], written.get["rows"]))
+        cut_short = sum(found.truncated.values())
+        report.append((key, read.get["records"] + cut_short, read.get["damaged"] + cut_short, written.get["rows"]))
     return spark.createDataFrame(report, "entity string, records long, damaged long, rows long")
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import codecs
 import fnmatch
+import hashlib
 import os
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 from typing import BinaryIO, NamedTuple
 
 import pandas as pd
+from pyarrow import fs as storage
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +24,24 @@ from gridledger.functions.convert import to_iso_date, to_number
 CORRUPT = "_corrupt_record"
 
 
+def at_storage(path: str) -> tuple[storage.FileSystem, str]:
+    """The file system of a plain path or a URI (file, hdfs, s3, gs), and the path on it."""
+    return storage.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+
+
 def list_members(archive: str, pattern: str) -> list[str]:
     """Archive members matching a glob; only the central directory is read."""
-    with zipfile.ZipFile(archive) as zf:
+    store, path = at_storage(archive)
+    with store.open_input_file(path) as data, zipfile.ZipFile(data) as zf:
         return sorted(m for m in zf.namelist() if fnmatch.fnmatch(m, pattern))
 
 
+def part_name(member: str, part: int) -> str:
+    """Unique per member, also where folders of the archive hold members of one name."""
+    stem = os.path.splitext(os.path.basename(member))[0]
+    return f"{stem}-{hashlib.sha256(member.encode()).hexdigest()[:12]}-{part:05d}.xml"
+
+
 def _utf8_chunks(source: BinaryIO, size: int = 1 << 20) -> Iterator[bytes]:
     """Stream bytes, turning UTF-16 text with a byte-order mark into UTF-8."""
     head = source.read(size)
@@ -43,8 +57,11 @@ def _utf8_chunks(source: BinaryIO, size: int = 1 << 20) -> Iterator[bytes]:
         head = source.read(size)
 
 
-def split_records(chunks: Iterator[bytes], tag: str, part_bytes: int) -> Iterator[bytes]:
-    """Cut an XML byte stream behind closing record tags into documents of about ``part_bytes``."""
+def split_records(chunks: Iterator[bytes], tag: str, part_bytes: int) -> Generator[bytes, None, int]:
+    """Cut an XML byte stream behind closing record tags into documents of about ``part_bytes``.
+
+    Returns how many records the stream leaves open at its end: one where it was cut short, else none.
+    """
     # the root is often the plural of the tag, so the name has to end where the tag's name ends
     opening, closing = re.compile(rf"<{tag}[\s/>]".encode()), f"</{tag}>".encode()
     started, kept = False, b""
@@ -64,13 +81,16 @@ def split_records(chunks: Iterator[bytes], tag: str, part_bytes: int) -> Iterato
     end = kept.rfind(closing)
     if started and end > 0:
         yield b"<part>" + kept[: end + len(closing)] + b"</part>"
+        kept = kept[end + len(closing):]
+    return int(opening.search(kept) is not None)
 
 
 class Staged(NamedTuple):
-    """What staging found: parts written per member, and every child tag of the records."""
+    """What staging found: parts written per member, every child tag, records cut short per member."""
 
     parts: dict[str, int]
     columns: list[str]
+    truncated: dict[str, int]
 
 
 def _child_tags(part: bytes, tag: str) -> set[str]:
@@ -84,38 +104,48 @@ def stage_members(spark: SparkSession, archive: str, entity: Entity, out_dir: st
 
     A compressed member can only be read front to back, so it is cut into parts here, which later
     tasks parse in parallel; a task holds one part in memory. The tags seen on the way spare the
-    reader a pass of its own to discover columns. Archive and target must be on storage every
-    executor reaches. Parts are written under a temporary name and renamed, and the cuts do not
-    depend on the attempt, so a retried or duplicated task leaves the same whole files.
+    reader a pass of its own to discover columns. Archive and target are paths or URIs on storage
+    every executor reaches. Parts are written under a temporary name and renamed, and the cuts do
+    not depend on the attempt, so a retried or duplicated task leaves the same whole files. A
+    record that a member leaves open at its end is counted and dropped.
     """
     members = list_members(archive, entity.members)
     if not members:
-        return Staged({}, [])
+        return Staged({}, [], {})
     tag = entity.tag
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(out_dir, exist_ok=True)
-        with zipfile.ZipFile(archive) as zf:
+        store, target = at_storage(out_dir)
+        store.create_dir(target, recursive=True)
+        shelf, path = at_storage(archive)
+        with shelf.open_input_file(path) as data, zipfile.ZipFile(data) as zf:
             for member in (m for batch in batches for m in batch["member"]):
-                stem = os.path.splitext(os.path.basename(member))[0]
                 tags: set[str] = set()
-                count = 0
+                count = open_at_end = 0
                 with zf.open(member) as source:
-                    for part in split_records(_utf8_chunks(source), tag, part_bytes):
-                        draft = os.path.join(out_dir, f".{uuid.uuid4().hex}")
-                        with open(draft, "wb") as sink:
+                    pieces = split_records(_utf8_chunks(source), tag, part_bytes)
+                    while True:
+                        try:
+                            part = next(pieces)
+                        except StopIteration as end:
+                            open_at_end = end.value
+                            break
+                        draft = f"{target}/.{uuid.uuid4().hex}"
+                        with store.open_output_stream(draft) as sink:
                             sink.write(part)
-                        os.replace(draft, os.path.join(out_dir, f"{stem}-{count:05d}.xml"))
+                        store.move(draft, f"{target}/{part_name(member, count)}")
                         tags |= _child_tags(part, tag)
                         count += 1
-                yield pd.DataFrame({"member": [member], "parts": [count], "tags": [sorted(tags)]})
+                yield pd.DataFrame({"member": [member], "parts": [count], "tags": [sorted(tags)],
+                                    "truncated": [open_at_end]})
 
     names = spark.createDataFrame([(m,) for m in members], "member string")
     one_each = names.repartitionByRange(len(members), "member")
-    done = one_each.mapInPandas(unpack, "member string, parts long, tags array<string>").collect()
+    done = one_each.mapInPandas(unpack, "member string, parts long, tags array<string>, truncated long").collect()
     # the reader's columns ignore case, so of two spellings the first is kept
     columns = {tag.lower(): tag for tag in sorted({t for r in done for t in r.tags}, reverse=True)}
-    return Staged({r.member: r.parts for r in done}, sorted(columns.values()))
+    return Staged({r.member: r.parts for r in done}, sorted(columns.values()),
+                  {r.member: r.truncated for r in done if r.truncated})
 
 
 def read_entity(spark: SparkSession, path: str, entity: Entity,

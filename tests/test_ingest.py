@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from gridledger.catalog import ENTITIES
+from gridledger.catalog import ENTITIES, Entity
 from gridledger.sources import register_xml as X
 from gridledger.sources import snapshots as N
 from gridledger.sources import tables as B
@@ -63,9 +63,9 @@ def test_only_matching_members_are_read(spark, folder):
     other = HEAD.replace("Solar", "Wind") + "</EinheitenWind>"
     _, _, found = load(spark, folder, {"EinheitenSolar_1.xml": HEAD + FIRST + "</EinheitenSolar>",
                                        "EinheitenWind.xml": other})
-    assert os.listdir(os.path.join(folder, "staged")) == ["EinheitenSolar_1-00000.xml"]
+    assert os.listdir(os.path.join(folder, "staged")) == [X.part_name("EinheitenSolar_1.xml", 0)]
     assert "Bruttoleistung" in found.columns and SOLAR.tag not in found.columns
-    assert X.stage_members(spark, os.path.join(folder, "export.zip"), ENTITIES["kwk"], folder) == ({}, [])
+    assert X.stage_members(spark, os.path.join(folder, "export.zip"), ENTITIES["kwk"], folder) == ({}, [], {})
 
 
 def test_columns_grow_across_members(spark, folder):
@@ -78,8 +78,17 @@ def test_columns_grow_across_members(spark, folder):
 
 def test_k25_truncated_member_keeps_whole_records(spark, folder):
     broken = HEAD + FIRST + SECOND + "<EinheitSolar>\n <EinheitMastrNummer>SEE9"
-    df, _, _ = load(spark, folder, {"EinheitenSolar_1.xml": broken})
-    assert df.count() == 2
+    df, _, found = load(spark, folder, {"EinheitenSolar_1.xml": broken, "EinheitenSolar_2.xml": HEAD + FIRST})
+    assert df.count() == 3 and found.truncated == {"EinheitenSolar_1.xml": 1}
+
+
+def test_members_of_one_name_stay_apart(spark, folder):
+    members = {f"{place}/EinheitenSolar_1.xml": HEAD + text + "</EinheitenSolar>" for place, text in (("a", FIRST), ("b", SECOND))}
+    out = os.path.join(folder, "staged")
+    found = X.stage_members(spark, archive(folder, members), Entity("solar", SOLAR.tag, "*EinheitenSolar*"), f"file://{out}")
+    assert len(os.listdir(out)) == 2 and set(found.parts.values()) == {1}
+    raw, _ = X.read_entity(spark, f"file://{out}", SOLAR, found.columns)
+    assert {r.EinheitMastrNummer for r in raw.collect()} == {"SEE900000000001", "SEE900000000002"}
 
 
 def test_k23_k25_damaged_record_is_counted_and_dropped(spark, folder):
