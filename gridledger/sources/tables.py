@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,8 @@ def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str
                      as_of: dt.date) -> dict[str, str]:
     """Write each aggregate as ZSTD Parquet; a failing one is reported and skipped.
 
-    The units are read once, into a cube written next to the aggregates; the outputs read that.
+    The units are read once, into a cube written next to the aggregates; the outputs read that. They are
+    small, so they are started side by side.
     """
     base = f"{folder}/unit_cube.parquet"
     cube: DataFrame | None = None
@@ -85,22 +87,23 @@ def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str
         cube = units.sparkSession.read.parquet(base)
     except Exception as err:
         log.error("the unit cube failed: %s", str(err).splitlines()[0])
-    report: dict[str, str] = {}
-    for name, plan in aggregate_plans(cube, tables, as_of).items():
+
+    def write(name: str, plan: Callable[[], DataFrame | None]) -> str:
         if cube is None and name != "wind_hub_height":
-            report[name] = "failed"
-            continue
+            return "failed"
         try:
             df = plan()
             if df is None:
-                report[name] = "skipped"
-                continue
+                return "skipped"
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
-            report[name] = "written"
+            return "written"
         except Exception as err:
             log.error("aggregate %s failed: %s", name, str(err).splitlines()[0])
-            report[name] = "failed"
-    return report
+            return "failed"
+
+    plans = aggregate_plans(cube, tables, as_of)
+    with ThreadPoolExecutor(len(plans)) as pool:
+        return dict(zip(plans, pool.map(write, plans, plans.values()), strict=True))
 
 
 def agg_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
