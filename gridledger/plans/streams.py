@@ -64,16 +64,48 @@ def traffic_windows(r: Register) -> DataFrame:
     return stamped(to_table(W.traffic_windows(views, "1 hour", "dashboard"), work(r, "traffic")))
 
 
-@query("t02_traffic_rolling", f"""
+@query("t01_traffic_days", """
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+           strftime(w + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS hits
+    FROM (SELECT *, date_trunc('day', time) AS w FROM page_views)
+    WHERE w + INTERVAL 1 DAY <= (SELECT max(time) FROM page_views) - INTERVAL 1 HOUR
+    GROUP BY w""")
+def traffic_days(r: Register) -> DataFrame:
+    """Raw log lines to daily counts over all pages, as a stream."""
+    events = stream_parquet(r.spark, r.path("events"), r.source("events").schema)
+    views = page_views(parse_access_log(access_lines(events)))
+    views = views.withColumn("time", utc_instant(F.col("time")))
+    return stamped(to_table(W.traffic_windows(views, "1 day"), work(r, "traffic-days")))
+
+
+def _rolling_sql(days: int) -> str:
+    return f"""
     WITH daily AS (SELECT cast(ts AS date) AS d, count(*) AS n FROM events
                    WHERE cast(ts AS date) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY 1),
-    ends AS (SELECT DISTINCT d + CAST(unnest(range(0, 7)) AS INTEGER) AS last_day FROM daily)
-    SELECT strftime(last_day - 6, '%Y-%m-%d 00:00:00') AS window_start,
+    ends AS (SELECT DISTINCT d + CAST(unnest(range(0, {days})) AS INTEGER) AS last_day FROM daily)
+    SELECT strftime(last_day - {days - 1}, '%Y-%m-%d 00:00:00') AS window_start,
            strftime(last_day + 1, '%Y-%m-%d 00:00:00') AS window_end, sum(n)::BIGINT AS hits
-    FROM ends JOIN daily ON d BETWEEN last_day - 6 AND last_day
-    WHERE last_day + INTERVAL 1 DAY <= {_CLOSED} GROUP BY last_day""")
-def traffic_rolling(r: Register) -> DataFrame:
-    return stamped(to_table(W.traffic_rolling(event_stream(r), 7, ts="ts"), work(r, "rolling")))
+    FROM ends JOIN daily ON d BETWEEN last_day - {days - 1} AND last_day
+    WHERE last_day + INTERVAL 1 DAY <= {_CLOSED} GROUP BY last_day"""
+
+
+def rolling(r: Register, days: int) -> DataFrame:
+    return stamped(to_table(W.traffic_rolling(event_stream(r), days, ts="ts"), work(r, f"rolling-{days}")))
+
+
+@query("t02_traffic_rolling", _rolling_sql(7))
+def traffic_week(r: Register) -> DataFrame:
+    return rolling(r, 7)
+
+
+@query("t02_traffic_rolling_day", _rolling_sql(1))
+def traffic_day(r: Register) -> DataFrame:
+    return rolling(r, 1)
+
+
+@query("t02_traffic_rolling_month", _rolling_sql(30))
+def traffic_month(r: Register) -> DataFrame:
+    return rolling(r, 30)
 
 
 def counter_samples(events: DataFrame) -> DataFrame:
@@ -174,6 +206,29 @@ def probe_summary(r: Register) -> DataFrame:
     return stamped(to_table(W.probe_summary(probes, "1 hour"), work(r, "probe")))
 
 
+@query("t08_probe_phases", _window_sql("""
+    SELECT {w}, event_type AS target, CASE user_id % 3 WHEN 0 THEN 'resolve' WHEN 1 THEN 'connect' ELSE 'transfer' END AS phase,
+           avg(floor(value * 8) * 125e-3) AS mean_duration, count(*) AS probes
+    FROM {src} GROUP BY w, 3, 4"""))
+def probe_phases(r: Register) -> DataFrame:
+    """Mean duration of each phase of a probe."""
+    phase = F.when(F.col("user_id") % 3 == 0, "resolve").when(F.col("user_id") % 3 == 1, "connect").otherwise("transfer")
+    probes = event_stream(r).select("ts", F.col("event_type").alias("target"), phase.alias("phase"),
+                                    (F.floor(F.col("value") * 8) * 0.125).alias("duration"))
+    return stamped(to_table(W.probe_means(probes, "1 hour", "target", "phase"), work(r, "phases")))
+
+
+@query("t08_probe_status", _window_sql("""
+    SELECT {w}, cast(CASE WHEN value < 50 THEN 200 WHEN value < 100 THEN 302 ELSE 503 END AS integer) AS status,
+           avg(floor(value * 8) * 125e-3) AS mean_duration, count(*) AS probes
+    FROM {src} GROUP BY w, 3"""))
+def probe_status(r: Register) -> DataFrame:
+    """Probes and mean duration per status code."""
+    status = F.when(F.col("value") < 50, 200).when(F.col("value") < 100, 302).otherwise(503)
+    probes = event_stream(r).select("ts", status.alias("status"), (F.floor(F.col("value") * 8) * 0.125).alias("duration"))
+    return stamped(to_table(W.probe_means(probes, "1 hour", "status"), work(r, "status")))
+
+
 @query("t09_expiry_left", """
     SELECT user_id, cast(arg_max(event_id, ts) % 90 * 86400 AS bigint) AS seconds_left FROM events GROUP BY 1""")
 def expiry_left(r: Register) -> DataFrame:

@@ -30,6 +30,23 @@ def schema_table(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame
     return spark.createDataFrame(rows, "entity string, column string")
 
 
+def record_schema(spark: SparkSession, tables: dict[str, DataFrame], folder: str, tag: str) -> DataFrame:
+    """Store a snapshot's columns below ``folder`` and return the drift against the last stored one.
+
+    The first snapshot has nothing to compare with: its drift is empty. A tag that is stored again replaces itself
+    and is compared with the one before it. Tags sort by age, as dated tags do.
+    """
+    from gridledger.sources.tables import path_exists
+
+    new = schema_table(spark, tables)
+    stored = spark.read.parquet(folder).filter(F.col("tag") < tag) if path_exists(spark, folder) else None
+    last = stored.agg(F.max("tag")).first()[0] if stored is not None else None
+    old = new if last is None else stored.filter(F.col("tag") == last).select("entity", "column")
+    drift = schema_drift(old, new).collect()  # one row per changed column, taken before the folder changes
+    new.coalesce(1).write.mode("overwrite").parquet(f"{folder}/tag={tag}")
+    return spark.createDataFrame(drift, "entity string, change string, column string")
+
+
 def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
     """Columns that came or went, per entity."""
     keys = ["entity", "column"]

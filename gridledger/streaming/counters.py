@@ -1,13 +1,14 @@
 """Rates of counters that only grow, except when they restart from zero.
 
-The same plan serves streams and batch tables. Samples are first folded per series and short cell,
-then per window, so a window combines a bounded number of cells and never a list of all samples of
-a busy series. Everything stays in built-in expressions; no custom state is needed.
+Samples are first folded per series and short cell, then per window, so a window combines a bounded
+number of cells. Tables fold a cell with a sorted window that spills, whatever it holds. Streams can't
+sort, so a cell that is still open keeps its samples as state until the watermark closes it: choose
+cells short enough for the busiest series. Everything stays in built-in expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,18 +25,29 @@ def _pairwise_growth(items: Column, first: str, last: str) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda total, step: total + step)
 
 
-def counter_rate(samples: DataFrame, width: str, cell: str, tiebreak: str, ts: str = "ts",
-                 series: str = "series", value: str = "value", watermark: str = "1 hour") -> DataFrame:
-    """Per series and window: increase, mean rate over the sampled span, rate of the last two samples.
+def _cells_of_table(samples: DataFrame, cell: str, ts: str, series: str, tiebreak: str, value: str) -> DataFrame:
+    """One row per series and cell; samples are only sorted and summed, never listed."""
+    timed = samples.select(series, F.window(ts, cell).alias("cell"), F.col(ts).alias("t"), F.col(tiebreak).alias("k"),
+                           F.col(value).alias("v"))
+    order = Window.partitionBy(series, "cell").orderBy("t", "k")
+    stepped = timed.withColumns({"prev_t": F.lag("t").over(order), "prev_v": F.lag("v").over(order)})
+    ends = stepped.groupBy(series, "cell").agg(
+        F.min(F.struct("t", "k", "v")).alias("first"), F.max(F.struct("t", "k", "v", "prev_t", "prev_v")).alias("last"),
+        F.sum(growth(F.col("v"), F.col("prev_v"))).alias("inner"), F.count("*").cast("int").alias("n"))
+    return ends.select(
+        series, (F.col("cell.end") - F.expr("INTERVAL 1 MICROSECOND")).alias("at"),
+        F.struct(
+            F.col("first.t").alias("first_t"), F.col("first.v").alias("first_v"), F.col("last.t").alias("last_t"),
+            F.col("last.v").alias("last_v"), F.col("last.prev_t").alias("prev_t"), F.col("last.prev_v").alias("prev_v"),
+            F.coalesce("inner", F.lit(0.0)).alias("inner"), F.col("n").alias("n"),
+        ).alias("c"))
 
-    Restarts count as growth from zero. A window with a single sample has no rate. ``cell`` must
-    divide ``width``.
-    """
-    marked = samples.withWatermark(ts, watermark) if samples.isStreaming else samples
+
+def _cells_of_stream(samples: DataFrame, cell: str, ts: str, series: str, tiebreak: str, value: str) -> DataFrame:
     sample = F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("k"), F.col(value).alias("v"))
-    cells = marked.groupBy(F.window(ts, cell).alias("cell"), series).agg(
+    cells = samples.groupBy(F.window(ts, cell).alias("cell"), series).agg(
         F.sort_array(F.collect_list(sample)).alias("s"))
-    folded = cells.select(
+    return cells.select(
         series, F.window_time("cell").alias("at"),
         F.struct(
             F.col("s")[0]["t"].alias("first_t"), F.col("s")[0]["v"].alias("first_v"),
@@ -44,6 +56,19 @@ def counter_rate(samples: DataFrame, width: str, cell: str, tiebreak: str, ts: s
             F.try_element_at("s", F.lit(-2))["v"].alias("prev_v"),
             _pairwise_growth(F.col("s"), "v", "v").alias("inner"), F.size("s").alias("n"),
         ).alias("c"))
+
+
+def counter_rate(samples: DataFrame, width: str, cell: str, tiebreak: str, ts: str = "ts",
+                 series: str = "series", value: str = "value", watermark: str = "1 hour") -> DataFrame:
+    """Per series and window: increase, mean rate over the sampled span, rate of the last two samples.
+
+    Restarts count as growth from zero. A window with a single sample has no rate. ``cell`` must
+    divide ``width``.
+    """
+    if samples.isStreaming:
+        folded = _cells_of_stream(samples.withWatermark(ts, watermark), cell, ts, series, tiebreak, value)
+    else:
+        folded = _cells_of_table(samples, cell, ts, series, tiebreak, value)
     windows = folded.groupBy(F.window("at", width).alias("w"), series).agg(
         F.sort_array(F.collect_list("c")).alias("c"))
     c, last = F.col("c"), F.element_at("c", -1)

@@ -65,6 +65,12 @@ def probe_summary(probes: DataFrame, width: str, ts: str = "ts", watermark: str
                             F.avg("duration").alias("mean_duration"), F.count("*").alias("probes")))
 
 
+def probe_means(probes: DataFrame, width: str, *by: str, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
+    """Mean duration per window and any of target, phase and status code, with the probes behind it."""
+    groups = _marked(probes, ts, watermark).groupBy(F.window(ts, width), *by)
+    return _flat(groups.agg(F.avg("duration").alias("mean_duration"), F.count("*").alias("probes")))
+
+
 def parse_logfmt(line: Column) -> Column:
     """key=value text to a map; values may be quoted; the first of a repeated key wins."""
     pairs = F.regexp_extract_all(line, F.lit(r'[A-Za-z_][\w.]*=(?:"[^"]*"|\S*)'), F.lit(0))

@@ -82,6 +82,17 @@ def test_k25_truncated_member_keeps_whole_records(spark, folder):
     assert df.count() == 3 and found.truncated == {"EinheitenSolar_1.xml": 1}
 
 
+def test_schema_snapshots_are_stored_and_compared(spark, folder):
+    one, two = spark.createDataFrame([], "a int, b int"), spark.createDataFrame([], "a int, c int")
+    where = f"{folder}/schemas"
+    assert N.record_schema(spark, {"t": one}, where, "data-2024-01-01").count() == 0
+    changes = {("t", "added", "c"), ("t", "removed", "b"), ("u", "added", "a"), ("u", "added", "b")}
+    for _ in range(2):
+        got = N.record_schema(spark, {"t": two, "u": one}, where, "data-2024-02-01")
+        assert {tuple(r) for r in got.collect()} == changes
+    assert N.record_schema(spark, {"t": two, "u": one}, where, "data-2024-03-01").count() == 0
+
+
 def test_members_of_one_name_stay_apart(spark, folder):
     members = {f"{place}/EinheitenSolar_1.xml": HEAD + text + "</EinheitenSolar>" for place, text in (("a", FIRST), ("b", SECOND))}
     out = os.path.join(folder, "staged")

@@ -133,6 +133,20 @@ def test_counter_rate_against_brute_force(spark):
         assert (row.irate is None) == (instant is None) and (instant is None or row.irate == pytest.approx(instant))
 
 
+def test_a_busy_cell_is_never_listed(spark):
+    """A million samples of one series in one cell, with a restart every 1,000."""
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.lit("hot").alias("series"), F.timestamp_micros(F.col("id") * 60).alias("ts"), F.col("id").alias("n"),
+        (F.col("id") % 1000).cast("double").alias("value"))
+    rates = C.counter_rate(df, "10 minutes", "5 minutes", "n")
+    plan = rates._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct" not in plan and plan.count("collect_list") == 1  # of folded cells
+    row = rates.first()
+    # a restart counts its new value, here 0
+    assert (row.samples, row.increase) == (n, n - n // 1000)
+
+
 def test_busy_share(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.7), (2, None)], "window_start int, rate double")
     assert dict(rows(C.busy_pct(df))) == {1: pytest.approx(20.0), 2: None}
