@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+log = logging.getLogger(__name__)
+
+_AREAS: set[str] = set()
 _FALLBACKS: dict[str, str] = {}  # per application: the core setting can't be changed at run time
 
 
@@ -46,8 +52,26 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_work_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_root(spark)}/gridledger/{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path below the application's own part of the shared folder.
+
+    What lies there backs results that are still to be read, so it stays until the program ends.
+    """
+    area = f"{shared_root(spark)}/gridledger/{spark.sparkContext.applicationId}"
+    _AREAS.add(area)
+    return f"{area}/{label}-{uuid.uuid4().hex}"
+
+
+@atexit.register
+def remove_work_areas() -> None:
+    """Delete what this program staged. A killed driver leaves its area, named by its application id."""
+    gateway = SparkContext._gateway
+    while _AREAS and gateway is not None:
+        area = _AREAS.pop()
+        try:
+            path = gateway.jvm.org.apache.hadoop.fs.Path(area)
+            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception as err:
+            log.warning("work area %s remains: %s", area, str(err).splitlines()[0])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
