@@ -48,6 +48,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of the Latin-1 block in lower case. Lengths stay as they are."""
+    out = lower_ascii(data)
+    capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][capital] += 0x20
+    return out
+
+
 def alnum_bytes() -> np.ndarray:
     """Bytes of words made of digits, Latin letters and everything outside ASCII."""
     table = np.zeros(256, bool)

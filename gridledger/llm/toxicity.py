@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.llm.textbytes import (
-    alnum_bytes, chunks, flat, lower_ascii, prefix_hashes, row_starts, spans, stretch_hashes,
+    alnum_bytes, chunks, flat, lower_latin, prefix_hashes, row_starts, spans, stretch_hashes,
 )
 from gridledger.session import ensure_checkpoint_dir
 
 LABELLED = 40_000      # bound of the labelled sample; rows beyond it do not train
 MOST_TERMS = 200_000   # bound of the broadcast term table; evidence on a bounded sample ends far below it
 PRIOR = 4.0            # pseudo-documents of the Dirichlet prior
+LEAST_ODDS = 2.0       # a term counts from these log-odds on: weaker ones tell a topic or a language
 LEAST_BOUND = 0.5      # a term counts if its log-odds less DEVIATIONS of their spread are above this
 DEVIATIONS = 2.6       # about one chance finding in two hundred terms
 LEAST_DRIFT = 0.005    # what a token that doesn't tell costs at least
@@ -72,7 +73,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             data, bounds = flat(part.column("text"))
-            data = lower_ascii(data)
+            data = lower_latin(data)
             starts, ends, rows = spans(data, bounds, member)
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             parent = np.zeros(len(starts), np.uint64)
@@ -113,7 +114,7 @@ def with_odds(terms: DataFrame, parents: DataFrame | None, share: float) -> Data
         .withColumn("spread", F.sqrt(F.lit(1.0) / (F.col("d_toxic") + F.lit(PRIOR) * F.col("prior"))
                                      + F.lit(1.0) / (F.col("d_clean") + F.lit(PRIOR) * (F.lit(1.0) - F.col("prior")))))
         .withColumn("clean", clean)
-        .withColumn("kept", ((F.col("odds") - F.lit(DEVIATIONS) * F.col("spread") > LEAST_BOUND) & (F.col("d_toxic") >= 2))
+        .withColumn("kept", ((F.col("odds") >= LEAST_ODDS) & (F.col("odds") - F.lit(DEVIATIONS) * F.col("spread") > LEAST_BOUND) & (F.col("d_toxic") >= 2))
                     | (F.col("stem_kept") & (F.col("d_toxic") + F.col("d_clean") >= 3)))
     )
 
@@ -235,7 +236,7 @@ def count_known(tables: list[tuple[np.ndarray, np.ndarray]], batches: Iterator[p
     for batch in batches:
         for part in chunks(batch):
             data, bounds = flat(part.column("text"))
-            data = lower_ascii(data)
+            data = lower_latin(data)
             starts, ends, rows = spans(data, bounds, member)
             told = ~np.isnan(token_scores(tables, term_hashes(data, starts, ends), math.nan))
             yield pa.RecordBatch.from_arrays(
@@ -292,7 +293,7 @@ def score_texts(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     for batch in batches:
         for part in chunks(batch):
             data, bounds = flat(part.column("text"))
-            data = lower_ascii(data)
+            data = lower_latin(data)
             starts, ends, rows = spans(data, bounds, member)
             first = row_starts(rows, part.num_rows)
             levels = term_hashes(data, starts, ends)
