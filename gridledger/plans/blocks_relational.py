@@ -17,7 +17,14 @@ from gridledger.operators import windows as W
 from gridledger.plans.register import Register
 from gridledger.plans.registry import query
 from gridledger.plans.series import zones
-from gridledger.plans.shaping import SQL_RENEWABLE, sql_class6, sql_ladder, sql_ladder_ord, units_and_mw
+from gridledger.plans.shaping import (
+    CHECKED_DELAYS,
+    SQL_RENEWABLE,
+    sql_class6,
+    sql_ladder,
+    sql_ladder_ord,
+    units_and_mw,
+)
 from gridledger.plans.traffic import views, visitor_profile
 
 # ------------------------------------------------------------------------------- union view, joins
@@ -285,7 +292,7 @@ def value_histogram(r: Register) -> DataFrame:
 
 
 @query("a27_edge_histogram", f"""
-    SELECT {sql_ladder('d', DELAY_BINS, '<=')} AS bin, {sql_ladder_ord('d', DELAY_BINS, '<=')} AS bin_ord,
+    SELECT {sql_ladder('d', CHECKED_DELAYS, '<=')} AS bin, {sql_ladder_ord('d', CHECKED_DELAYS, '<=')} AS bin_ord,
            l_linestatus, count(*) AS n
     FROM (SELECT date_diff('day', DATE '1998-06-01', cast(l_shipdate AS date)) AS d, l_linestatus FROM lineitem)
     GROUP BY 1, 2, 3""")

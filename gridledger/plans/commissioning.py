@@ -29,6 +29,8 @@ from gridledger.operators import windows as W
 from gridledger.plans.register import AS_OF, Register
 from gridledger.plans.registry import query
 from gridledger.plans.shaping import (
+    CHECKED_BUCKETS_17,
+    CHECKED_DELAYS,
     mw,
     sql_bucket17,
     sql_ladder,
@@ -52,7 +54,7 @@ def dated(df: DataFrame, first: int = 1995, last: int = 2001, active: bool = Fal
 
 _MIX = f"""
     SELECT cast(date_trunc('month', {DAY}) AS date) AS month, {sql_bucket17(KW)} AS bucket,
-           {sql_ladder_ord(KW, SIZE_BUCKETS_17, '<=')} AS bucket_ord,
+           {sql_ladder_ord(KW, CHECKED_BUCKETS_17, '<=')} AS bucket_ord,
            sum({KW}) / 1000 AS mw, count(*) AS units
     FROM solar
     WHERE {KW} IS NOT NULL AND year({DAY}) BETWEEN 1996 AND 2000
@@ -76,14 +78,14 @@ def size_mix(r: Register) -> DataFrame:
 
 
 @query("q28_size_mix_mw", f"""
-    SELECT month, {", ".join(f"coalesce(sum(mw) FILTER (WHERE bucket = '{b}'), 0) AS \"{b}\"" for b in BUCKETS)}
+    SELECT month, {", ".join(f"coalesce(sum(mw) FILTER (WHERE bucket = '{b}'), 0) AS \"{b}\"" for b, _ in CHECKED_BUCKETS_17)}
     FROM ({_MIX}) GROUP BY 1""")
 def size_mix_mw(r: Register) -> DataFrame:
     return A.pivot_sum(size_mix(r), ["month"], "bucket_ord", ORDINALS, "mw", BUCKETS)
 
 
 @query("q28_size_mix_units", f"""
-    SELECT month, {", ".join(f"cast(coalesce(sum(units) FILTER (WHERE bucket = '{b}'), 0) AS bigint) AS \"{b}\"" for b in BUCKETS)}
+    SELECT month, {", ".join(f"cast(coalesce(sum(units) FILTER (WHERE bucket = '{b}'), 0) AS bigint) AS \"{b}\"" for b, _ in CHECKED_BUCKETS_17)}
     FROM ({_MIX}) GROUP BY 1""")
 def size_mix_units(r: Register) -> DataFrame:
     return A.pivot_sum(size_mix(r), ["month"], "bucket_ord", ORDINALS, "units", BUCKETS)
@@ -108,7 +110,7 @@ def _matrix_sql(kw: str) -> str:
     FROM (SELECT *, cast(sum(units) OVER () AS bigint) AS units_total,
                  round(sum(mw) OVER (), 6) AS mw_total
           FROM (SELECT {sql_bucket17(kw)} AS bucket,
-                       {sql_ladder_ord(kw, SIZE_BUCKETS_17, '<=')} AS bucket_ord,
+                       {sql_ladder_ord(kw, CHECKED_BUCKETS_17, '<=')} AS bucket_ord,
                        count(*) AS units, sum({kw}) / 1000 AS mw
                 FROM solar WHERE {DAY} IS NOT NULL AND {kw} IS NOT NULL
                   AND Bundesland IN ('1403', '1415') GROUP BY 1, 2))"""
@@ -351,8 +353,8 @@ def registration_delay_quartiles(r: Register) -> DataFrame:
 
 
 @query("q37_registration_delay_bins", f"""
-    SELECT {sql_ladder('days', DELAY_BINS, '<=')} AS bin,
-           {sql_ladder_ord('days', DELAY_BINS, '<=')} AS bin_ord, bucket, count(*) AS n
+    SELECT {sql_ladder('days', CHECKED_DELAYS, '<=')} AS bin,
+           {sql_ladder_ord('days', CHECKED_DELAYS, '<=')} AS bin_ord, bucket, count(*) AS n
     FROM ({_DELAY}) GROUP BY 1, 2, 3""")
 def registration_delay_bins(r: Register) -> DataFrame:
     counts = A.edge_histogram(registration_delay(r), "days", DELAY_BINS, "bucket_ord")

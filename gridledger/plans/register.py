@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridledger.catalog import CARRIERS, STATE_POPULATION_MIO, STATES
+from gridledger.catalog import CARRIERS, STATE_POPULATION_MIO
 from gridledger.operators.units import literal_table, units_all, units_all_tagged
+from gridledger.plans.shaping import SQL_STATES
 
 AS_OF = dt.date(2001, 8, 15)
 HOME_STATE = "1415"
@@ -197,8 +198,7 @@ for _key, (_flag, _status) in UNIT_FLAGS.items():
 for _key, (_source, _columns) in OTHER_TABLES.items():
     _SQL_TABLES[_key] = f"SELECT {_select_list(_columns)} FROM {_source}"
 
-_SQL_TABLES["state_names"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"({_sql_quote(c)}, {_sql_quote(n)})" for c, n in STATES.items()) + ") AS t(code, name)"
+_SQL_TABLES["state_names"] = f"SELECT * FROM {SQL_STATES}"
 _SQL_TABLES["state_population"] = "SELECT * FROM (VALUES " + ", ".join(
     f"({_sql_quote(n)}, cast({p!r} as double))" for n, p in STATE_POPULATION_MIO.items()
 ) + ") AS t(bundesland_name, einwohner_mio)"

@@ -7,7 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.catalog import SIZE_BUCKETS_17, SIZE_CLASSES_6
+# fixed values of the checking side, written out once more so that a wrong constant of the catalogue shows
+CHECKED_BUCKETS_17 = (
+    ("<= 1 kW", 1), ("<= 3 kW", 3), ("<= 5 kW", 5), ("<= 10 kW", 10), ("<= 15 kW", 15), ("<= 25 kW", 25),
+    ("<= 50 kW", 50), ("<= 100 kW", 100), ("<= 125 kW", 125), ("<= 150 kW", 150), ("<= 250 kW", 250),
+    ("<= 500 kW", 500), ("<= 1000 kW", 1000), ("<= 2500 kW", 2500), ("<= 5000 kW", 5000), ("<= 10000 kW", 10000),
+    ("> 10000 kW", None),
+)
+CHECKED_DELAYS = (
+    ("<-900", -900), ("-900", -600), ("-600", -300), ("-300", -60), ("-60", -30), ("-30", -14), ("-14", 0), ("0", 7),
+    ("7", 14), ("14", 30), ("30", 60), ("60", 90), ("90", 180), ("180", 365), ("365", 730), ("730+", None),
+)
+SQL_STATES = """(VALUES
+    ('1400', 'Brandenburg'), ('1401', 'Berlin'), ('1402', 'Baden-Württemberg'), ('1403', 'Bayern'), ('1404', 'Bremen'),
+    ('1405', 'Hessen'), ('1406', 'Hamburg'), ('1407', 'Mecklenburg-Vorpommern'), ('1408', 'Niedersachsen'),
+    ('1409', 'Nordrhein-Westfalen'), ('1410', 'Rheinland-Pfalz'), ('1411', 'Schleswig-Holstein'), ('1412', 'Saarland'),
+    ('1413', 'Sachsen'), ('1414', 'Sachsen-Anhalt'), ('1415', 'Thüringen'), ('1416', 'Ausschließliche Wirtschaftszone')
+    ) AS t(code, name)"""
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -37,11 +53,12 @@ def sql_ladder_ord(col: str, bounds: Sequence[tuple[str, float | None]], op: str
 
 
 def sql_bucket17(col: str) -> str:
-    return sql_ladder(col, SIZE_BUCKETS_17, "<=")
+    return sql_ladder(col, CHECKED_BUCKETS_17, "<=")
 
 
 def sql_class6(col: str) -> str:
-    return sql_ladder(col, SIZE_CLASSES_6, "<")
+    return (f"CASE WHEN {col} < 10 THEN '0–10 kW' WHEN {col} < 30 THEN '10–30 kW' WHEN {col} < 100 THEN '30–100 kW'"
+            f" WHEN {col} < 750 THEN '100–750 kW' WHEN {col} < 10000 THEN '0.75–10 MW' ELSE '>10 MW' END")
 
 
 def sql_segment3(col: str) -> str:
