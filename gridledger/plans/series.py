@@ -78,7 +78,8 @@ _NIGHTS = [("autumn", 300), ("spring", 90)]  # days from 1 January 2024 to the n
 def latest_at_clock_change(r: Register) -> DataFrame:
     """Latest price when the first hours of the year lie on a clock-change night: 02:00 twice, or not at all."""
     early = explode_prices(r.price_payloads, ["bzn"]).filter(F.col("unix_seconds") < 1704067200 + 7200)
-    nights = early.crossJoin(F.broadcast(literal_table(r.spark, _NIGHTS, "night, days")))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("night"), F.lit(d).alias("days")) for n, d in _NIGHTS]))
+    nights = early.withColumn("on", each).select("*", "on.*")
     moved = nights.withColumn("unix_seconds", F.col("unix_seconds") + F.col("days") * 86400)
     hour = F.date_format(epoch_to_local(F.col("unix_seconds"), "Europe/Berlin"), "HH:mm").alias("hour")
     newest = W.latest_per_key(moved.select("night", "bzn", "unix_seconds", "price"), ["night", "bzn"], "unix_seconds")
