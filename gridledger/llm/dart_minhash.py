@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
 from gridledger.llm.textbytes import (
-    alnum_bytes, chunks, flat, lower_ascii, mix, prefix_hashes, row_starts, spans, stretch_hashes, window_starts,
-    word_hashes,
+    alnum_bytes, chunks, flat, lower_ascii, mix, prefix_hashes, row_starts, rows_with_text, spans, stretch_hashes,
+    text_of, window_starts, word_hashes,
 )
 from gridledger.session import ensure_checkpoint_dir
 
@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 DARTS = 128
 BANDS, BAND_ROWS = 25, 5     # a pair at the threshold shares a band with probability 0.99995
 LOOSE = 0.65                 # estimate from which a pair is checked exactly; four deviations below the threshold
-SKETCH_ROWS = 1024           # short texts need as many darts as long ones, so slices are held to this
+SKETCH_ROWS = 256            # short texts need as many darts as long ones, so slices are held to this
 BLOCK_MEMBERS = 512
 BUCKETS = 1024
 THROWN = math.ceil(DARTS * math.log(DARTS) + 2 * DARTS)
@@ -44,7 +44,7 @@ def shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
     A text with fewer words than a shingle, but not none, is one shingle; its hash of no words is 0.
     """
-    data, bounds = flat(part.column("text"))
+    data, bounds = flat(text_of(part))
     data = lower_ascii(data)
     starts, ends, rows = spans(data, bounds, alnum_bytes())
     first = row_starts(rows, part.num_rows)
@@ -296,7 +296,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     rows, labels = text_classes(docs)
     labels = labels.checkpoint()
-    marked = docs.select(F.struct("*").alias("doc"), "text")
+    marked = rows_with_text(docs, docs.columns)
     marked = marked.mapInArrow(mark_texts, f"doc {marked.schema['doc'].dataType.simpleString()}, v long")
     kept = marked.join(labels, "v", "left").filter(
         F.col("v").isNull() | F.col("doc.doc_id").eqNullSafe(F.col("class_id")))

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.textbytes import alnum_bytes, chunks, flat, lower_ascii, mix, row_starts, spans, word_hashes
+from gridledger.llm.textbytes import (
+    alnum_bytes, chunks, flat, lower_ascii, mix, row_starts, rows_with_text, spans, text_of, word_hashes,
+)
 from gridledger.session import ensure_checkpoint_dir
 
 WINDOW = 10
@@ -115,8 +117,9 @@ def find_hits(tables: list[dict], done: bool, batches: Iterator[pa.RecordBatch])
     """Adds to ``hits`` (a bit per word) and ``items`` (ids) what the tables find in each text; ``done``: drops texts."""
     member = alnum_bytes()
     for batch in batches:
+        own = "text" in batch.schema.names
         for part in chunks(batch):
-            data, bounds = flat(part.column("text"))
+            data, bounds = flat(text_of(part))
             data = lower_ascii(data)
             starts, ends, rows = spans(data, bounds, member)
             first = row_starts(rows, part.num_rows)
@@ -141,9 +144,9 @@ def find_hits(tables: list[dict], done: bool, batches: Iterator[pa.RecordBatch])
                 items.append(sorted(found.get(row, set()) | set(names.as_py() or [])))
             n_hit = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in bits]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.nulls(part.num_rows, pa.string()) if done else part.column("text"),
+                [part.column("doc"), *([pa.nulls(part.num_rows, pa.string()) if done else part.column("text")] if own else []),
                  pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                ["doc", "text", "n_words", "n_hit", "hits", "items"])
+                batch.schema.names)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
@@ -156,9 +159,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame
     named = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * size / PATTERN_BYTES)) if size > PATTERN_BYTES else 1
-    state = docs.select(F.struct(*columns).alias("doc"), "text", F.lit(0).cast("long").alias("n_words"),
-                        F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hits"),
-                        F.lit(None).cast("array<string>").alias("items"))
+    state = rows_with_text(docs, columns).withColumns({
+        "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hits": F.lit(None).cast("binary"),
+        "items": F.lit(None).cast("array<string>")})
     schema = state.schema
     for block in range(blocks):
         if block:

@@ -11,17 +11,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS,
-           ) -> Iterator[pa.RecordBatch]:
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts: a column of their own, or a field of ``doc`` where the whole row travels there."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("doc").field("text")
+
+
+def rows_with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``doc`` (a struct of the named columns), and ``text`` unless that is one of them."""
+    return docs.select(F.struct(*columns).alias("doc"), *(["text"] if "text" not in columns else []))
+
+
+def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``limit`` bytes of text, in ``most`` rows; a longer text is a slice alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(text_of(batch)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.llm.textbytes import (
-    alnum_bytes, chunks, flat, lower_latin, prefix_hashes, row_starts, spans, stretch_hashes,
+    alnum_bytes, chunks, flat, lower_latin, prefix_hashes, row_starts, rows_with_text, spans, stretch_hashes,
+    text_of,
 )
 from gridledger.session import ensure_checkpoint_dir
 
@@ -292,7 +293,7 @@ def score_texts(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     kind = pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
         for part in chunks(batch):
-            data, bounds = flat(part.column("text"))
+            data, bounds = flat(text_of(part))
             data = lower_latin(data)
             starts, ends, rows = spans(data, bounds, member)
             first = row_starts(rows, part.num_rows)
@@ -313,7 +314,7 @@ def score_texts(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def measure(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``doc`` (the named columns), ``evidence`` and the significant ``passages`` (bytes of the UTF-8 text) per row."""
-    rows = docs.select(F.struct(*columns).alias("doc"), "text")
+    rows = rows_with_text(docs, columns)
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, evidence double, passages {PASSAGES}"
     return rows.mapInArrow(lambda batches: score_texts(model, batches), schema)
 
