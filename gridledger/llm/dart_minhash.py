@@ -164,10 +164,14 @@ def best_tree(few: np.ndarray) -> list[tuple[int, int]]:
 
 
 def pairs_in_bucket(table: pa.Table) -> pa.Table:
-    """Candidate pairs of every band group in a bucket; a group's trees keep what any threshold would connect."""
+    """Tree edges of every band group in a bucket; and, with ``b`` null, the members of groups with pairs besides.
+
+    A tree is of estimates, so it connects what exact similarity does not, and the reverse. It only spares checks; the
+    members are looked at again, against what the check of the trees has linked.
+    """
     v = table.column("v").to_numpy()
     few = np.frombuffer(b"".join(table.column("few").to_pylist()), np.uint8).reshape(len(v), DARTS)
-    band, tile = table.column("band").to_numpy(), table.column("tile").to_numpy()
+    band, tile, block = (table.column(c).to_numpy() for c in ("band", "tile", "block"))
     order = np.lexsort((v, tile, band))
     new = np.ones(len(order), bool)
     new[1:] = (band[order][1:] != band[order][:-1]) | (tile[order][1:] != tile[order][:-1])
@@ -176,21 +180,35 @@ def pairs_in_bucket(table: pa.Table) -> pa.Table:
     two = first[size == 2]
     a, b = order[two], order[two + 1]
     alike = (few[a] == few[b]).sum(1) >= LOOSE * DARTS
-    pairs = [np.stack([v[a[alike]], v[b[alike]]], 1)]
+    pairs, again = [np.stack([v[a[alike]], v[b[alike]]], 1)], [np.zeros(0, np.int64)]
     for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
         members = order[lo:lo + n]
-        pairs.append(np.array([(v[members[x]], v[members[y]]) for x, y in best_tree(few[members])], np.int64).reshape(-1, 2))
+        edges = best_tree(few[members])
+        pairs.append(np.array([(v[members[x]], v[members[y]]) for x, y in edges], np.int64).reshape(-1, 2))
+        partners = np.array([(few[members] == one).sum(1) >= LOOSE * DARTS for one in few[members]]).sum(1) - 1
+        if partners.sum() > 2 * len(edges):
+            again.append(members[partners > 0])
     found = np.sort(np.concatenate(pairs), 1)
     found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
-    return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-
-def candidate_pairs(classes: DataFrame) -> DataFrame:
+    again = np.concatenate(again)
+    nothing, none = pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32())
+    return pa.table([
+        pa.chunked_array([found[:, 0], v[again]], pa.int64()),
+        pa.chunked_array([pa.array(found[:, 1]), pa.nulls(len(again), pa.int64())]),
+        pa.chunked_array([nothing, pa.array(band[again])]),
+        pa.chunked_array([nothing, pa.array(tile[again].astype(np.int64))]),
+        pa.chunked_array([none, pa.array(block[again].astype(np.int32))]),
+        pa.chunked_array([pa.nulls(len(found), pa.binary()), pa.array([x.tobytes() for x in few[again]], pa.binary())])],
+        ["a", "b", "band", "tile", "block", "few"])
+
+
+def candidates(classes: DataFrame) -> DataFrame:
     """``a, b``: pairs of texts worth an exact check, from ``v, few, bands``, one row per distinct text.
 
     Texts that agree in a band form a group. Groups with the same members are looked at once. Larger groups than
     ``BLOCK_MEMBERS`` are cut into blocks, and every pair of blocks is a tile of its own, so no task holds more than
-    two blocks of a group, and no pair of members goes unseen.
+    two blocks of a group, and no pair of members goes unseen. Rows without ``b`` are members ``a`` of tiles (``band``,
+    ``tile``, ``block``, ``few``) whose pairs are more than those named.
     """
     bands = classes.select("v", "bands").mapInArrow(unpack_bands, "band long, v long")
     groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"),
@@ -199,10 +217,12 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     cuts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     members = bands.join(groups, "band").withColumn("cuts", cuts).withColumn("block", F.pmod(F.hash("v"), "cuts"))
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "band", "v", (F.least("block", "other") * F.col("cuts") + F.greatest("block", "other")).alias("tile"))
+        "band", "v", "block",
+        (F.least("block", "other").cast("long") * F.col("cuts") + F.greatest("block", "other")).alias("tile"))
     sketched = tiles.join(classes.select("v", "few"), "v").withColumn(
         "bucket", F.pmod(F.xxhash64("band", "tile"), F.lit(BUCKETS)).cast("int"))
-    return sketched.groupBy("bucket").applyInArrow(pairs_in_bucket, "a long, b long").distinct()
+    return sketched.groupBy("bucket").applyInArrow(
+        pairs_in_bucket, "a long, b long, band long, tile long, block int, few binary")
 
 
 def shingle_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +254,77 @@ def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b``: pairs of distinct texts whose weighted Jaccard similarity is ``SIMILARITY`` or more.
+def open_members(table: pa.Table) -> pa.Table:
+    """The members of a tile that have a pair worth an exact check in another component."""
+    component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
+    few = np.frombuffer(b"".join(table.column("few").to_pylist()), np.uint8).reshape(len(component), DARTS)
+    across = len(np.unique(block)) > 1
+    apart = np.array([((few == few[i]).sum(1) >= LOOSE * DARTS) & (component != component[i])
+                      & ((block != block[i]) | (not across)) for i in range(len(component))])
+    return table.filter(pa.array(apart.any(1)))
+
+
+def check_tile(table: pa.Table) -> pa.Table:
+    """Links between the components of a tile's members, from exact checks of every pair that none connects yet.
+
+    A tile of two blocks takes pairs across them only, as each block has a tile of its own.
+    """
+    component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
+    few = np.frombuffer(b"".join(table.column("few").to_pylist()), np.uint8).reshape(len(component), DARTS)
+    texts = [np.unique(np.frombuffer(x, np.uint32), return_counts=True) for x in table.column("shingles").to_pylist()]
+    known, spot = np.unique(np.concatenate([x for x, _ in texts]), return_inverse=True)
+    spots = np.split(spot, np.cumsum([len(x) for x, _ in texts])[:-1])
+    total = [int(n.sum()) for _, n in texts]
+    across = len(np.unique(block)) > 1
+    label, here, found = component.copy(), np.zeros(len(known), np.int64), []
+    for i in range(len(component) - 1):
+        open_pairs = (label[i + 1:] != label[i]) & ((block[i + 1:] != block[i]) | (not across))
+        others = i + 1 + np.flatnonzero(open_pairs)
+        others = others[(few[others] == few[i]).sum(1) >= LOOSE * DARTS]
+        here[spots[i]] = texts[i][1]
+        for j in others.tolist():
+            if label[j] == label[i]:
+                continue
+            shared = int(np.minimum(here[spots[j]], texts[j][1]).sum())
+            if shared / (total[i] + total[j] - shared) >= SIMILARITY:
+                found.append((component[i], component[j]))
+                label[label == label[j]] = label[i]
+        here[spots[i]] = 0
+    found = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def similar_groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``v, component`` of the texts that chains of pairs with weighted Jaccard similarity ``SIMILARITY`` connect.
 
-    Only texts on a candidate pair send their shingles to the check. Four bytes stand for a shingle there.
+    Only texts on a candidate pair send their shingles to the check. Four bytes stand for a shingle there. First the
+    trees' edges are checked; a tile whose members these leave in several components then checks all pairs between
+    them, with each member's shingles sent once.
     """
-    pairs = candidate_pairs(classes).checkpoint()
+    shown = candidates(classes).checkpoint()
+    pairs = shown.filter("b IS NOT NULL").select("a", "b").distinct().checkpoint()
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     texts = docs.select("text").mapInArrow(shingle_texts, "v long, shingles binary")
     texts = texts.join(ends, "v", "left_semi").dropDuplicates(["v"]).checkpoint()
-    return (
+    linked = (
         pairs.join(texts.select(F.col("v").alias("a"), F.col("shingles").alias("left")), "a")
         .join(texts.select(F.col("v").alias("b"), F.col("shingles").alias("right")), "b")
         .mapInArrow(check_pairs, "a long, b long")
     )
+    groups = components(linked).withColumnRenamed("id", "v").checkpoint()
+    members = shown.filter("b IS NULL").select(F.col("a").alias("v"), "band", "tile", "block", "few")
+    members = members.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    apart = members.groupBy("band", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    members = members.join(apart.filter("lo <> hi").select("band", "tile"), ["band", "tile"])
+    members = members.select("v", "component", "band", "tile", "block", "few").groupBy("band", "tile").applyInArrow(
+        open_members, "v long, component long, band long, tile long, block int, few binary").checkpoint()
+    if members.isEmpty():
+        return groups
+    more = components(members.join(texts, "v").groupBy("band", "tile").applyInArrow(check_tile, "a long, b long"))
+    ends = groups.unionByName(more.select(F.col("id").alias("v"), F.col("id").alias("component"))).groupBy("v").agg(
+        F.min("component").alias("component"))
+    return ends.join(more.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left").select(
+        "v", F.coalesce("least", "component").alias("component"))
 
 
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,9 +336,9 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select("doc_id", "text").mapInArrow(sketch_texts, "doc_id long, v long, few binary, bands binary").checkpoint()
     found = rows.filter("v IS NOT NULL")
     classes = found.groupBy("v", "few", "bands").agg(F.min("doc_id").alias("least")).checkpoint()
-    groups = components(links(docs, classes))
+    groups = similar_groups(docs, classes)
     labelled = (
-        classes.select("v", "least").join(groups.withColumnRenamed("id", "v"), "v", "left")
+        classes.select("v", "least").join(groups, "v", "left")
         .withColumn("component", F.coalesce("component", "v"))
     )
     ids = labelled.groupBy("component").agg(F.min("least").alias("class_id"))

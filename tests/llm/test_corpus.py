@@ -164,6 +164,27 @@ def test_near_copies_of_awkward_rows(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in expected.items() if i == c}
 
 
+def test_near_copies_linked_by_a_base_only(spark, monkeypatch):
+    rows = []
+    for group in range(4):
+        base = prose(200 + group, 1200, 50000).split()
+        for i in range(41):
+            words = list(base)
+            for at in range(10, 10 + 24 * 11, 24) if i else ():
+                words[at] = f"shared{at}"
+            for at in random.Random(1000 * group + i).sample(range(300, 1190, 6), 14 if i else 0):
+                words[at] = f"own{i}x{at}"
+            rows.append((1000 * group + (i or 500), " ".join(words)))
+    counted = [shingle_counts(t) for _, t in rows[:41]]
+    assert min(weighted_jaccard(counted[0], c) for c in counted[1:]) > 0.8
+    assert np.median([weighted_jaccard(a, b) for n, a in enumerate(counted[1:]) for b in counted[1:][:n]]) < 0.8
+    expected = sorted(near_copies(rows).items(), key=repr)
+    assert {c for _, c in expected} == {1, 1001, 2001, 3001}
+    assert collected(dart_minhash.near_copies_digest(make_docs(spark, rows)), "doc_id", "class_id") == expected
+    monkeypatch.setattr(dart_minhash, "BLOCK_MEMBERS", 8)
+    assert collected(dart_minhash.near_copies_digest(make_docs(spark, rows)), "doc_id", "class_id") == expected
+
+
 def test_near_copies_keep_one_of_repeated_rows(spark):
     text = prose(60, 50)
     rows = [(1, text), (1, text), (2, text), (None, "x y z"), (None, "x y z"), (None, None), (None, None), (3, None), (3, prose(61, 50))]
