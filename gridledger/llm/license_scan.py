@@ -1,16 +1,18 @@
 """License notices found by conditional compression.
 
-A block of text that may be a notice is compressed alone and with each template as a raw zstandard dictionary. The
-template that takes off the largest share explains the block best; the leaders are then held against the block word by
-word, and the first whose wording is there wins.
+Blocks of text around cues may hold notices. Each template is laid word by word where most of its words are in order;
+that stretch is compressed alone and with the template as a raw zstandard dictionary. The template that takes off most
+bytes has its stretch, and the rest of the block is searched again until no template is left in it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,16 +42,16 @@ TEMPLATES = [
 ]
 CUE = rb"licen[cs]e|copyright|\bpermission is\b|redistribut|creative commons"
 WORD = r"[^\W_]+"
-BEFORE, AFTER = 300, 900   # how far a block reaches from a cue inside one line, in bytes
-LEADERS = 3
+BREAK = re.compile(r"\s*\n[\s#*/;%!>|\-]*")   # a line's end and the comment marks after it
+BEFORE, AFTER = 300, 900   # how far a block reaches from a cue, in bytes
 LEAST_SHARE = 0.75         # of the template's words that must be in the block, in order
-LEAST_GAIN = 0.2
+LEAST_GAIN = 0.2           # of the stretch that holds them
 
 FOUND = "array<struct<first_byte: long, end_byte: long, license: string, gain: double, missing: int, added: int>>"
 
 
 def blocks(raw: bytes, cue: re.Pattern) -> list[tuple[int, int]]:
-    """Stretches around the cues, inside their lines; overlapping ones join."""
+    """Stretches around the cues, over line ends; overlapping ones join."""
     out: list[tuple[int, int]] = []
     for match in cue.finditer(raw):
         lo = max(raw.rfind(b"\n", 0, match.start()) + 1, match.start() - BEFORE)
@@ -68,33 +70,79 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [name for name, _ in templates]
         self.words = [re.findall(WORD, text.lower()) for _, text in templates]
+        self.called = [set(re.findall("[a-z]+", name.lower())) & set(words) for name, words in zip(self.names, self.words)]
+        self.numbers = {word: i for i, word in enumerate(sorted({w for words in self.words for w in words}))}
+        self.has = [np.isin(np.arange(-1, len(self.numbers)), [self.numbers[w] for w in words]) for words in self.words]
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, text in templates]
 
-    def ranked(self, block: bytes) -> list[tuple[float, int]]:
-        """Share of the compressed size that each template takes off, best first; ties in template order.
+    def gain(self, i: int, stretch: str) -> tuple[int, float]:
+        """Bytes, and share of the compressed size, that a template takes off a stretch in lower case.
 
-        Letters count in lower case, as notices also come in capitals.
+        Line ends with the comment marks after them count as spaces.
         """
-        block = block.lower()
-        size = len(self.alone.compress(block))
-        gains = [(1 - len(c.compress(block)) / size, i) for i, c in enumerate(self.given)]
-        return sorted(gains, key=lambda g: (-g[0], g[1]))
-
-    def match(self, block: bytes) -> tuple[str, float, int, int] | None:
-        """License, gain, template words the block lacks, block words inside the notice that the template lacks."""
-        words = re.findall(WORD, block.decode("utf-8", "replace").lower())
-        for gain, i in self.ranked(block)[:LEADERS]:
-            if gain < LEAST_GAIN:
-                break
-            same = [m for m in SequenceMatcher(None, self.words[i], words, autojunk=False).get_matching_blocks() if m.size]
+        raw = BREAK.sub(" ", stretch).encode("utf-8", "surrogateescape")
+        size = len(self.alone.compress(raw))
+        less = size - len(self.given[i].compress(raw))
+        return less, less / size
+
+    def stretches(self, i: int, words: list[str], known: np.ndarray) -> set[tuple[int, int, int]]:
+        """First and end word, and how many of a template's words, of stretches that hold enough of them in order.
+
+        The words that name the license must be there, so that another license's notice of like wording doesn't pass.
+        """
+        mine = self.words[i]
+        wide, least = len(mine) + max(2, len(mine) // 3), LEAST_SHARE * len(mine)
+        count = np.concatenate([[0], np.cumsum(self.has[i][known + 1])])
+        starts = np.flatnonzero(self.has[i][known + 1])
+        starts = starts[count[np.minimum(starts + wide, len(words))] - count[starts] >= least]
+        out = set()
+        for at in starts.tolist():
+            here = words[at:at + wide]
+            if sum((Counter(here) & Counter(mine)).values()) < least:
+                continue
+            same = [m for m in SequenceMatcher(None, mine, here, autojunk=False).get_matching_blocks() if m.size]
             shared = sum(m.size for m in same)
-            if shared >= LEAST_SHARE * len(self.words[i]):
-                reach = same[-1].b + same[-1].size - same[0].b
-                return self.names[i], gain, len(self.words[i]) - shared, reach - shared
-        return None
+            if shared >= least and self.called[i] <= {w for m in same for w in mine[m.a:m.a + m.size]}:
+                out.add((at + same[0].b, at + same[-1].b + same[-1].size, shared))
+        return out
+
+    def match(self, block: bytes) -> list[tuple[int, int, str, float, int, int]]:
+        """First and end byte, license, gain, template words the stretch lacks, and words in it that the template lacks.
+
+        Of stretches that overlap, the one of which its template takes off most bytes stays; what lies between those
+        that stay is searched again, until no template is found.
+        """
+        text = block.decode("utf-8", "surrogateescape")
+        spans = [m.span() for m in re.finditer(WORD, text)]
+        words = [text[lo:hi].lower() for lo, hi in spans]
+        known = np.array([self.numbers.get(w, -1) for w in words], np.int64)
+        out, todo = [], [(0, len(words))]
+        while todo:
+            lo, hi = todo.pop()
+            seen = []
+            for i in range(len(self.names)):
+                for first, end, shared in self.stretches(i, words[lo:hi], known[lo:hi]):
+                    first, end = lo + first, lo + end
+                    less, gain = self.gain(i, text[spans[first][0]:spans[end - 1][1]].lower())
+                    missing, added = len(self.words[i]) - shared, end - first - shared
+                    if gain >= LEAST_GAIN:
+                        seen.append((-less, missing + added, i, first, end, gain, missing, added))
+            free, taken = np.ones(hi - lo, bool), []
+            for _, _, i, first, end, gain, missing, added in sorted(seen)[:1]:
+                if free[first - lo:end - lo].all():
+                    free[first - lo:end - lo] = False
+                    taken.append((first, end, self.names[i], gain, missing, added))
+            out += taken
+            if False:
+                edge = [lo, *(x for t in sorted(taken) for x in t[:2]), hi]
+                todo += [(x, y) for x, y in zip(edge[::2], edge[1::2]) if x < y]
+        at = [0] if text.isascii() else np.concatenate(
+            [[0], np.cumsum([len(c.encode("utf-8", "surrogateescape")) for c in text])]).tolist()
+        place = (lambda k: k) if len(at) == 1 else at.__getitem__
+        return [(place(spans[first][0]), place(spans[end - 1][1]), *said) for first, end, *said in sorted(out)]
 
 
 def scan_texts(templates: list[tuple[str, str]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +155,8 @@ def scan_texts(templates: list[tuple[str, str]], batches: Iterator[pa.RecordBatc
             raw = text.as_py() or b""
             here = blocks(raw, cue)
             tried.append(len(here))
-            hits = [(lo, hi, known.match(raw[lo:hi])) for lo, hi in here]
-            found.append([{"first_byte": lo, "end_byte": hi, "license": m[0], "gain": m[1], "missing": m[2], "added": m[3]}
-                          for lo, hi, m in hits if m])
+            hits = [(lo + m[0], lo + m[1], *m[2:]) for lo, hi in here for m in known.match(raw[lo:hi])]
+            found.append([dict(zip(("first_byte", "end_byte", "license", "gain", "missing", "added"), m)) for m in hits])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc"), pa.array(tried, pa.int32()), pa.array(found, kind)], ["doc", "n_blocks", "notices"])
 

@@ -1,6 +1,7 @@
 """Operators that judge each document alone: licenses, benchmark passages, toxicity, token counts."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -186,6 +187,19 @@ def test_licenses_in_awkward_rows(spark):
     assert license_scan.license_digest(make_docs(spark, docs).limit(0)).count() == 0
 
 
+def licenses_in(text):
+    """The licenses found in a text, in order, without Spark."""
+    known, raw = license_scan.Templates(license_scan.TEMPLATES), text.encode()
+    cue = license_scan.re.compile(license_scan.CUE, license_scan.re.I)
+    return [m[2] for lo, hi in license_scan.blocks(raw, cue) for m in known.match(raw[lo:hi])]
+
+
+@pytest.mark.parametrize("name, notice", license_scan.TEMPLATES)
+def test_license_inside_a_paragraph(name, notice):
+    assert licenses_in(f"{prose(1, 200)}. {notice} {prose(2, 200)}") == [name]
+    assert licenses_in(f"É {prose(1, 9)}. {notice} Über {prose(2, 9)}") == [name]
+
+
 def test_licenses_in_the_documents(spark):
     names = {"Apache License": "Apache-2.0", "MIT License": "MIT", "GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC"}
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
