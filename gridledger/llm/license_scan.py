@@ -54,9 +54,7 @@ def blocks(raw: bytes, cue: re.Pattern) -> list[tuple[int, int]]:
     """Stretches around the cues, over line ends; overlapping ones join."""
     out: list[tuple[int, int]] = []
     for match in cue.finditer(raw):
-        lo = max(raw.rfind(b"\n", 0, match.start()) + 1, match.start() - BEFORE)
-        end = raw.find(b"\n", match.end())
-        hi = min(len(raw) if end < 0 else end, match.end() + AFTER)
+        lo, hi = max(0, match.start() - BEFORE), min(len(raw), match.end() + AFTER)
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi))
         else:

@@ -200,6 +200,13 @@ def test_license_inside_a_paragraph(name, notice):
     assert licenses_in(f"É {prose(1, 9)}. {notice} Über {prose(2, 9)}") == [name]
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("name, notice", license_scan.TEMPLATES)
+def test_license_wrapped_over_lines(name, notice, mark):
+    wrapped = "\n".join(mark + line for line in textwrap.wrap(notice, 72))
+    assert licenses_in(f"{prose(1, 100)}\n{wrapped}\n{prose(2, 100)}") == [name]
+
+
 def test_licenses_in_the_documents(spark):
     names = {"Apache License": "Apache-2.0", "MIT License": "MIT", "GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC"}
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
