@@ -129,12 +129,12 @@ class Templates:
                     if gain >= LEAST_GAIN:
                         seen.append((-less, missing + added, i, first, end, gain, missing, added))
             free, taken = np.ones(hi - lo, bool), []
-            for _, _, i, first, end, gain, missing, added in sorted(seen)[:1]:
+            for _, _, i, first, end, gain, missing, added in sorted(seen):
                 if free[first - lo:end - lo].all():
                     free[first - lo:end - lo] = False
                     taken.append((first, end, self.names[i], gain, missing, added))
             out += taken
-            if False:
+            if taken:
                 edge = [lo, *(x for t in sorted(taken) for x in t[:2]), hi]
                 todo += [(x, y) for x, y in zip(edge[::2], edge[1::2]) if x < y]
         at = [0] if text.isascii() else np.concatenate(

@@ -207,6 +207,14 @@ def test_license_wrapped_over_lines(name, notice, mark):
     assert licenses_in(f"{prose(1, 100)}\n{wrapped}\n{prose(2, 100)}") == [name]
 
 
+def test_several_licenses_in_one_block():
+    notices = [license_scan.TEMPLATES[i] for i in (10, 3, 0, 12, 7, 9)]
+    assert licenses_in("Released under the MIT License. Licensed under CC BY-NC 4.0.") == ["MIT", "CC-BY-NC"]
+    assert licenses_in(" ".join(text for _, text in notices)) == [name for name, _ in notices]
+    assert licenses_in("Released under the BSD License.") == []
+    assert licenses_in("Released under the MIT License.\n" * 3000) == ["MIT"] * 3000
+
+
 def test_licenses_in_the_documents(spark):
     names = {"Apache License": "Apache-2.0", "MIT License": "MIT", "GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC"}
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
