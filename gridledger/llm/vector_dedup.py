@@ -1,6 +1,6 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, rerank with the original vectors.
 
-Rotations are learned on a bounded sample so that signs of the rotated vectors are balanced and lose little. The bits of
+Rotations are learned on a bounded sample so that signs of the rotated vectors lose little. The bits of
 several rotations are cut into substrings, one table each; vectors that agree in a substring meet. Hamming distance over
 the whole code tells which vectors have a near one at all; these alone bring their components to the tables, where
 cosines in double precision decide, block against block.
@@ -37,33 +37,77 @@ def substring_bits(vectors: int) -> int:
 
 
 def table_count(bits: int) -> int:
-    """Tables that find a pair at the threshold with probability ``RECALL``; a bit agrees with 1 - angle / pi."""
+    """Tables to begin with: enough for a pair at the threshold if a bit agrees with probability 1 - angle / pi."""
     agree = (1 - math.acos(COSINE) / math.pi) ** bits
     return math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
 
 
-def rotations(sample: np.ndarray, total_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Center and projection pairs that give ``total_bits`` bits together; each starts from another random rotation.
+def rotations(sample: np.ndarray, total_bits: int) -> list[np.ndarray]:
+    """Projections that give ``total_bits`` bits together; each starts from another random rotation.
 
-    Alternates between the nearest binary codes and the rotation that fits them best (Procrustes).
+    Alternates between the nearest binary codes and the rotation that fits them best (Procrustes). Vectors are not
+    centred: that would widen the angle of a pair whenever the vectors share a direction.
     """
     wide = sample.shape[1]
     width = min(wide, 64)
-    center = sample.mean(0)
-    moved = sample - center
-    _, axes = np.linalg.eigh(moved.T @ moved)
+    _, axes = np.linalg.eigh(sample.T @ sample)
     axes = axes[:, ::-1][:, :width]
-    flat = moved @ axes
+    flat = sample @ axes
     out = []
     for nth in range(math.ceil(total_bits / width)):
         turn = np.linalg.qr(np.random.default_rng(nth).normal(size=(width, width)))[0]
         for _ in range(ROUNDS if len(sample) >= 2 * width else 0):
             left, _, right = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
             turn = right.T @ left.T
-        out.append((center, axes @ turn))
+        out.append(axes @ turn)
     return out
 
 
+def threshold_pairs(sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sample vectors, each with a partner at cosine ``COSINE``: off in any direction, and towards another vector."""
+    draw = np.random.default_rng(0)
+    out = []
+    for off in (draw.normal(size=sample.shape), sample[draw.permutation(len(sample))]):
+        off = off - (off * sample).sum(1)[:, None] * sample
+        size = np.sqrt((off * off).sum(1))
+        some = size > 1e-6
+        out.append((sample[some], COSINE * sample[some] + math.sqrt(1 - COSINE ** 2) * off[some] / size[some, None]))
+    return [pair for pair in out if len(pair[0])]
+
+
+def index_plan(sample: np.ndarray, width: int) -> tuple[list[np.ndarray], int, int]:
+    """Projections, number of tables, and the Hamming distance that a pair at the threshold stays below.
+
+    Tables are added until both kinds of pairs at the threshold meet with probability ``RECALL``. The learned ones may
+    separate a pair in one table like in another, so those added project on random rotations of the whole space.
+    """
+    pairs = threshold_pairs(sample)
+    tables = table_count(width)
+    turns = rotations(sample, width * tables)
+    wide, more = sample.shape[1], np.random.default_rng(1)
+
+    def apart() -> list[np.ndarray]:
+        return [encode(x, turns) != encode(y, turns) for x, y in pairs]
+
+    def recall(bits: np.ndarray) -> float:
+        return float((~bits[:, :width * tables].reshape(len(bits), tables, width).any(2)).any(1).mean())
+
+    differ = apart()
+    while any(recall(bits) < RECALL for bits in differ):
+        while sum(turn.shape[1] for turn in turns) < width * (tables + 1):
+            turn = np.linalg.qr(more.normal(size=(wide, wide)))[0]
+            turns.append(turn)
+            differ = [np.concatenate([bits, encode(x, [turn]) != encode(y, [turn])], 1) for bits, (x, y) in zip(differ, pairs)]
+        tables += 1
+    total = sum(turn.shape[1] for turn in turns)
+    share = math.acos(COSINE) / math.pi
+    most = total * share + DEVIATIONS * math.sqrt(total * share * (1 - share))
+    for bits in differ:
+        away = bits.sum(1)
+        most = max(most, away.mean() + DEVIATIONS * away.std(), away.max())
+    return turns, tables, int(most) + 1
+
+
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the column's most common length there, as unit rows in double precision, and their row numbers.
 
@@ -83,9 +127,9 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return scaled / np.sqrt((scaled * scaled).sum(1))[:, None], rows[usable]
 
 
-def encode(units: np.ndarray, turns: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def encode(units: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
     """A bit per projection, as 0 and 1."""
-    return np.concatenate([((units - center) @ turn >= 0) for center, turn in turns], 1).astype(np.uint8)
+    return np.concatenate([units @ turn >= 0 for turn in turns], 1).astype(np.uint8)
 
 
 def table_keys(bits: np.ndarray, width: int, tables: int) -> np.ndarray:
@@ -237,14 +281,11 @@ def vector_links(vectors: DataFrame) -> DataFrame:
     )
     vectors_in = classes.count()
     width = substring_bits(vectors_in)
-    tables = table_count(width)
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("embedding").collect()
     units = np.array([r.embedding for r in sample], float).reshape(-1, common.wide)
+    units /= np.abs(units).max(1, initial=1e-300)[:, None]
     units /= np.maximum(np.sqrt((units * units).sum(1)), 1e-300)[:, None]
-    turns = rotations(units, width * tables) if len(units) else []
-    code_bits = sum(turn.shape[1] for _, turn in turns)
-    differ = math.acos(COSINE) / math.pi
-    most = int(code_bits * differ + DEVIATIONS * math.sqrt(code_bits * differ * (1 - differ))) + 1
+    turns, tables, most = index_plan(units, width) if len(units) else ([], table_count(width), 0)
 
     members = classes.select("v", "embedding").mapInArrow(
         lambda batches: table_rows(turns, width, tables, batches), "nth int, key long, v long, code binary")

@@ -262,6 +262,33 @@ def test_vector_recall_at_the_threshold(spark):
     assert sum(got.values()) >= 0.97 * sum(n for n, _ in expected.values()) > 500
 
 
+def pairs_with_common_mean(mean_cosine, n, wide=64, seed=4):
+    """Vectors of that mean cosine with each other, each followed by a partner at cosine 0.905."""
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(n, wide)) / np.sqrt(wide)
+    x = x * np.sqrt(1 - mean_cosine) + np.sqrt(mean_cosine) * np.eye(wide)[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = draw.normal(size=(n, wide))
+    off -= (off * x).sum(1)[:, None] * x
+    y = 0.905 * x + np.sqrt(1 - 0.905 ** 2) * off / np.linalg.norm(off, axis=1)[:, None]
+    return x, y
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.5])
+@pytest.mark.parametrize("bits", [8, 18])
+def test_vector_recall_with_a_common_mean(spark, monkeypatch, mean_cosine, bits):
+    monkeypatch.setattr(vector_dedup, "substring_bits", lambda vectors: bits)
+    pairs = pairs_with_common_mean(mean_cosine, 800)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.stack(pairs, 1).reshape(-1, 64).astype(np.float32))]
+    units = np.array([v for _, v in rows])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    expected = (units @ units.T >= 0.9).sum(1) - 1
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.vector_links(frame).collect()}
+    assert all(got[i] <= n for i, n in enumerate(expected))
+    assert sum(got.values()) >= 0.97 * expected.sum() >= 1500
+
+
 def test_vectors_of_the_table(spark):
     found = QUERIES["op7_near_vectors"](spark, SF_DIR).collect()
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()
