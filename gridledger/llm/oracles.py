@@ -113,3 +113,98 @@ SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rates
 """
+
+MANIFEST = r"""
+WITH RECURSIVE
+checks AS (
+  SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS crc FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT s, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT s, k, CASE WHEN k % 8 = 0 THEN xor(crc, ascii(substr(s, k // 8 + 1, 1))) ELSE crc END AS c
+        FROM checks WHERE k < 8 * length(s))),
+seventh AS (SELECT s FROM checks WHERE k = 8 * length(s) AND xor(crc, 4294967295) % 7 = 0),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') || body) AS leaf,
+    sha256(head || CASE WHEN n_chars IS NULL THEN '-'
+                        ELSE strlen(CAST(n_chars + (s IS NOT NULL)::INTEGER AS VARCHAR)) || ':' || CAST(n_chars + (s IS NOT NULL)::INTEGER AS VARCHAR) END || body) AS changed
+  FROM (SELECT doc_id, lang, n_chars, seventh.s,
+          coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+            || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+          coalesce(strlen(text) || ':' || text, '-') AS body
+        FROM documents LEFT JOIN seventh ON seventh.s = CAST(doc_id AS VARCHAR))),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaves),
+tree AS (
+  SELECT 0 AS lvl, g, idx, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lvl + 1, g, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY lvl, g, idx // 2, n),
+subroots AS (SELECT g, h AS subroot, (SELECT count(DISTINCT g) FROM placed) AS m FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS lvl, g AS idx, m AS n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM crown WHERE n > 1 GROUP BY lvl, idx // 2, n),
+climb AS (
+  SELECT g, idx AS leaf_idx, 0 AS lvl, idx, n, changed AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.g, leaf_idx, c.lvl + 1, c.idx // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN t.h IS NULL THEN c.h WHEN c.idx % 2 = 0 THEN c.h || t.h ELSE t.h || c.h END), proof || coalesce(t.h, '')
+  FROM climb c LEFT JOIN tree t ON t.lvl = c.lvl AND t.g = c.g AND t.idx = xor(c.idx, 1) WHERE c.n > 1),
+over AS (
+  SELECT c.g, leaf_idx, 0 AS lvl, c.g AS idx, m AS n, h, proof, FALSE AS top FROM climb c JOIN subroots s ON s.g = c.g WHERE n = 1
+  UNION ALL
+  SELECT o.g, leaf_idx, o.lvl + 1, o.idx // 2, (o.n + 1) // 2,
+    sha256(CASE WHEN t.h IS NULL THEN o.h WHEN o.idx % 2 = 0 THEN o.h || t.h ELSE t.h || o.h END), proof || coalesce(t.h, ''), FALSE
+  FROM over o LEFT JOIN crown t ON t.lvl = o.lvl AND t.idx = xor(o.idx, 1) WHERE o.n > 1)
+SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = r.h AS verified
+FROM placed p JOIN over o ON o.g = p.g AND o.leaf_idx = p.idx AND o.n = 1 JOIN subroots s ON s.g = p.g JOIN crown r ON r.n = 1
+"""
+
+REPEATED_LINES = r"""
+WITH split AS (
+  SELECT doc_id, lines, range(1, len(lines) + 1) AS spots
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+keyed AS (
+  SELECT doc_id, spot, line,
+    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(spots) AS spot FROM split)),
+often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN o.key IS NULL THEN line END, chr(10) ORDER BY spot), '')) AS kept_sha256
+FROM keyed k LEFT JOIN often o ON o.key = k.key GROUP BY 1
+"""
+
+FILTER_AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts),
+judged AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS mask
+  FROM worded),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY 1),
+cells AS (
+  SELECT part, mask, bit_count(mask) AS m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged j LEFT JOIN marks l ON l.doc_id = j.doc_id GROUP BY 1, 2),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, bit)),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order
+  FROM letter a, letter b, letter c, letter d, letter e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step, max(CASE WHEN substr(filter_order, step, 1) = c THEN bit END) AS f,
+    sum(CASE WHEN contains(substr(filter_order, 1, step - 1), c) THEN bit ELSE 0 END)::INTEGER AS before
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders), letter GROUP BY 1, 2)
+SELECT part, filter_order, step,
+  CAST(sum(CASE WHEN mask & (before | f) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN mask & before = 0 AND mask & f <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & before <> 0 AND mask & f <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN mask = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & before = 0 AND mask & f <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN mask & before = 0 AND mask & f <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN mask & f <> 0 THEN n * (120 // m) ELSE 0 END) AS BIGINT) AS shapley
+FROM cells, steps GROUP BY 1, 2, 3
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridledger.llm import (
-    dart_minhash, decontaminate, license_scan, mixing, oracles, shards, suffix_dedup, token_counts, toxicity,
-    vector_dedup, window_dedup,
+    dart_minhash, decontaminate, filter_audit, license_scan, line_dedup, merkle, mixing, oracles, shards, suffix_dedup,
+    token_counts, toxicity, vector_dedup, window_dedup,
 )
 
 
@@ -56,6 +56,18 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_windows": op8_repeated_windows,
     "op9_near_copies": op9_near_copies,
     "op10_mix": op10_mix,
+    "op11_manifest": op11_manifest,
+    "op12_repeated_lines": op12_repeated_lines,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -75,4 +90,7 @@ SQL: dict[str, str] = {
     "op8_repeated_windows": oracles.REPEATED_WINDOWS,
     "op9_near_copies": oracles.NEAR_COPIES,
     "op10_mix": oracles.MIX,
+    "op11_manifest": oracles.MANIFEST,
+    "op12_repeated_lines": oracles.REPEATED_LINES,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
