@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.catalog import INTERVIEW_THEMES, STORAGE_TECHNOLOGY
@@ -375,36 +375,47 @@ def series_ratio(r: Register, scale: float = 1.5) -> DataFrame:
 # ------------------------------------------------------------------------------- citations
 
 
+def part_title() -> Column:
+    """Frequent words and rare ones, as titles have."""
+    key = F.col("p_partkey")
+    rare = [("alpha", key % 101), ("beta", key * 7 % 1009), ("gamma", key), ("delta", F.floor(key / 3))]
+    return F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand", *[F.concat(F.lit(w), n.cast("string")) for w, n in rare])
+
+
 def bibliography(r: Register) -> DataFrame:
-    """A reference list written from the part catalogue."""
+    """A reference list written from the part catalogue: persons, group authors with a short name, DOIs with brackets."""
     key = F.col("p_partkey")
-    title = F.concat_ws(" ", "p_name", F.lit("of"), F.lower("p_type"), F.lit("units from"), "p_brand")
+    title = part_title()
     tail = (
-        F.when(key % 9 == 0, F.concat(F.lit(" doi: 10.1234/part."), key.cast("string")))
+        F.when(key % 18 == 0, F.concat(F.lit(" doi: 10.1234/part(05)."), key.cast("string"), F.lit(".")))
+        .when(key % 9 == 0, F.concat(F.lit(" doi: 10.1234/part."), key.cast("string")))
         .when(key % 9 == 1, F.lit(" Reuters press release. https://news.example.org/a"))
         .when(key % 9 == 2, F.lit(" https://example.org/b"))
         .otherwise(F.lit(""))
     )
-    text = F.concat(F.lit("Autor"), key.cast("string"), F.lit(", A. & Zweit, B. ("),
-                    (1970 + F.col("p_size")).cast("string"), F.lit("). "), title,
+    who = F.when(key % 10 == 3, F.concat(F.lit("Amt Netz"), key.cast("string"), F.lit(" (AN)"))).otherwise(
+        F.concat(F.lit("Autor"), key.cast("string"), F.lit(", A. & Zweit, B.")))
+    text = F.concat(who, F.lit(" ("), (1970 + F.col("p_size")).cast("string"), F.lit("). "), title,
                     F.lit(". Journal of Parts, 3(1), 1-9."), tail)
     return r.source("part").select(key.alias("ref_id"), text.alias("citation"))
 
 
-def found_metadata(r: Register) -> DataFrame:
-    """What the two metadata services answered: titles that differ a little, a lot or not at all."""
+def known_works(r: Register) -> DataFrame:
+    """What two metadata services know: titles that differ a little, a lot or not at all. No key of a citation."""
     key = F.col("p_partkey")
-    title = F.concat_ws(" ", "p_name", F.lit("of"), F.lower("p_type"), F.lit("units from"), "p_brand")
+    title = part_title()
     part = r.source("part")
     year = 1970 + F.col("p_size")
     first = part.filter("p_size <> 11").select(
-        key.alias("ref_id"), F.lit("openalex").alias("source"),
+        F.concat(F.lit("oa"), F.lpad(key.cast("string"), 10, "0")).alias("work_id"), F.lit("openalex").alias("source"),
+        F.when(key % 2 == 0, F.concat(F.lit("A. Autor"), key.cast("string"))).alias("author"),
         F.when(key % 5 == 0, F.concat(title, F.lit(" (reprint)"))).when(key % 5 == 1, F.upper(title))
         .when(key % 5 == 2, F.lit("a completely different work")).otherwise(title).alias("title"),
         F.when(key % 4 == 0, year + 1).otherwise(year).alias("year"),
         F.when(key % 3 != 0, F.concat(F.lit("10.1234/oa."), key.cast("string"))).alias("doi"))
     second = part.filter("p_size <> 13").select(
-        key.alias("ref_id"), F.lit("crossref").alias("source"),
+        F.concat(F.lit("cr"), F.lpad(key.cast("string"), 10, "0")).alias("work_id"), F.lit("crossref").alias("source"),
+        F.concat(F.lit("A. Autor"), key.cast("string")).alias("author"),
         F.when(key % 6 == 0, F.concat(F.lit("on the "), title, F.lit(" and its limits")))
         .otherwise(title).alias("title"),
         F.when(key % 7 == 0, year - 2).otherwise(year).alias("year"),
@@ -414,36 +425,63 @@ def found_metadata(r: Register) -> DataFrame:
 
 def resolved(r: Register) -> DataFrame:
     citations = C.parse_citations(bibliography(r))
-    return C.link_reliability(C.match_citations(citations, found_metadata(r), "ref_id"))
+    found = C.find_candidates(citations, known_works(r), "ref_id")
+    return C.link_reliability(C.match_citations(citations, found, "ref_id"))
 
 
-_TITLE = "concat_ws(' ', p_name, 'of', lower(p_type), 'units from', p_brand)"
+_TITLE = ("concat_ws(' ', p_name, lower(p_type), p_brand, concat('alpha', p_partkey % 101), concat('beta', p_partkey * 7 % 1009),"
+          " concat('gamma', p_partkey), concat('delta', p_partkey // 3))")
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _CITATIONS = f"""
-    WITH refs AS (
+    WITH RECURSIVE refs AS (
         SELECT p_partkey AS ref_id, {_TITLE} AS title, 1970 + p_size AS year,
-               CASE WHEN p_partkey % 9 = 0 THEN concat('10.1234/part.', p_partkey) END AS doi,
-               p_partkey % 9 = 1 AS is_web FROM part),
-    cands AS (
-        SELECT p_partkey AS ref_id, 'openalex' AS source,
+               CASE WHEN p_partkey % 18 = 0 THEN concat('10.1234/part(05).', p_partkey)
+                    WHEN p_partkey % 9 = 0 THEN concat('10.1234/part.', p_partkey) END AS doi,
+               p_partkey % 9 = 1 AS is_web,
+               concat(CASE WHEN p_partkey % 10 = 3 THEN 'Netz' ELSE 'Autor' END, p_partkey) AS last_name FROM part),
+    works AS (
+        SELECT concat('oa', lpad(p_partkey::VARCHAR, 10, '0')) AS work_id, 'openalex' AS source,
+               CASE WHEN p_partkey % 2 = 0 THEN concat('autor', p_partkey) END AS name,
                CASE p_partkey % 5 WHEN 0 THEN concat({_TITLE}, ' (reprint)') WHEN 1 THEN upper({_TITLE})
                     WHEN 2 THEN 'a completely different work' ELSE {_TITLE} END AS ctitle,
                CASE WHEN p_partkey % 4 = 0 THEN 1971 + p_size ELSE 1970 + p_size END AS cyear,
                CASE WHEN p_partkey % 3 <> 0 THEN concat('10.1234/oa.', p_partkey) END AS cdoi
         FROM part WHERE p_size <> 11
         UNION ALL
-        SELECT p_partkey, 'crossref',
+        SELECT concat('cr', lpad(p_partkey::VARCHAR, 10, '0')), 'crossref', concat('autor', p_partkey),
                CASE WHEN p_partkey % 6 = 0 THEN concat('on the ', {_TITLE}, ' and its limits')
                     ELSE {_TITLE} END,
                CASE WHEN p_partkey % 7 = 0 THEN 1968 + p_size ELSE 1970 + p_size END,
                concat('10.1234/cr.', p_partkey)
         FROM part WHERE p_size <> 13),
+    ref_words AS (SELECT ref_id, unnest(w) AS word, len(w) AS n
+                  FROM (SELECT ref_id, list_distinct(string_split({_NORM.format('title')}, ' ')) AS w FROM refs)),
+    work_words AS (SELECT work_id, unnest(w) AS word, len(w) AS n
+                   FROM (SELECT work_id, list_distinct(string_split({_NORM.format('ctitle')}, ' ')) AS w FROM works)),
+    met AS (SELECT ref_id, work_id, 2e0 * count(*) / (r.n + w.n) AS overlap
+            FROM ref_words r JOIN work_words w USING (word) GROUP BY ref_id, work_id, r.n, w.n
+            HAVING 200 * count(*) >= 65 * (r.n + w.n)),
+    cands AS (
+        SELECT ref_id, source, {_NORM.format('title')} AS a, {_NORM.format('ctitle')} AS b, cdoi, cyear = year AS same_year
+        FROM met JOIN refs USING (ref_id) JOIN works USING (work_id)
+        QUALIFY row_number() OVER (PARTITION BY ref_id, source ORDER BY
+            coalesce(name = lower(last_name), FALSE) DESC, overlap DESC, work_id) <= 5),
+    blocks AS (
+        SELECT 0 AS depth, a, b, a AS x, b AS y, 0 AS same FROM (SELECT DISTINCT a, b FROM cands)
+        UNION ALL
+        SELECT depth + 1, a, b,
+               CASE side WHEN 0 THEN left(x, i - 1) ELSE substr(x, i + k) END,
+               CASE side WHEN 0 THEN left(y, strpos(y, substr(x, i, k)) - 1) ELSE substr(y, strpos(y, substr(x, i, k)) + k) END,
+               CASE side WHEN 0 THEN k ELSE 0 END
+        FROM (SELECT depth, a, b, x, y, best // 1000 AS k, 999 - best % 1000 AS i, unnest([0, 1]) AS side
+              FROM (SELECT depth, a, b, x, y, max(k * 1000 + 999 - i) AS best
+                    FROM (SELECT depth, a, b, x, y, i, unnest(range(1, length(x) - i + 2)) AS k
+                          FROM (SELECT depth, a, b, x, y, unnest(range(1, length(x) + 1)) AS i FROM blocks WHERE x <> '' AND y <> ''))
+                    WHERE contains(y, substr(x, i, k)) GROUP BY depth, a, b, x, y))),
+    ratios AS (SELECT a, b, 2e0 * sum(same) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b),
     scored AS (
-        SELECT c.ref_id, source, cdoi, round(least(1.0e0,
-               1 - levenshtein({_NORM.format('r.title')}, {_NORM.format('ctitle')})
-                   / greatest(length({_NORM.format('r.title')}), length({_NORM.format('ctitle')}))
-               + CASE WHEN cyear = r.year THEN 1e-1 ELSE 0e0 END), 9) AS score
-        FROM cands c JOIN refs r USING (ref_id)),
+        SELECT ref_id, source, cdoi, round(least(1.0e0, ratio + CASE WHEN same_year THEN 1e-1 ELSE 0e0 END), 9) AS score
+        FROM cands JOIN ratios USING (a, b)),
     best AS (
         SELECT * FROM scored WHERE score >= 65e-2
         QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY
@@ -459,9 +497,9 @@ _CITATIONS = f"""
                  ELSE CASE WHEN is_web THEN 35 WHEN score >= 85e-2 THEN 72 WHEN score >= 7e-1 THEN 58
                       ELSE 42 END END AS integer) AS accuracy
         FROM linked)
-    SELECT *, CASE method WHEN 'doi_citation' THEN concat('https://doi.org/', doi)
-                          WHEN 'doi_found' THEN concat('https://doi.org/', match_doi)
-                          ELSE concat('https://scholar.google.com/scholar?q=', replace(title, ' ', '+')) END AS link,
+    SELECT *, concat('https://scholar.google.com/scholar?q=',
+                     CASE method WHEN 'doi_citation' THEN concat('doi:', doi) WHEN 'doi_found' THEN concat('doi:', match_doi)
+                     ELSE replace(url_encode(concat('"', title, '" ', last_name, ' ', year)), '%20', '+') END) AS link,
            CASE WHEN accuracy >= 90 THEN '>= 90' WHEN accuracy >= 80 THEN '80-89'
                    WHEN accuracy >= 60 THEN '60-79' ELSE '< 60' END AS band FROM rated"""
 

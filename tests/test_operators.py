@@ -15,6 +15,7 @@ from gridledger.operators import joins as J
 from gridledger.operators import projection as P
 from gridledger.operators import ranking as L
 from gridledger.operators import sets as S
+from gridledger.operators import title_join
 from gridledger.operators import windows as W
 from gridledger.plans.overview import plz_map
 from gridledger.plans.traffic import visitor_profile
@@ -271,8 +272,66 @@ def test_citation_parsing(spark):
     assert (c.year, c.title, c.doi) == (None, None, None)
 
 
+def test_citation_of_group_author_and_doi_with_brackets(spark):
+    texts = [
+        "Bundesnetzagentur (BNetzA) (2019). Monitoring of grids. doi:10.1016/S0140-6736(05)61787-6.",
+        "Federal Agency (FA) (n.d.). Some title. See (10.1234/x.y).",
+        "Lone, A. (in press, 2020). Other title.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, citation string")
+    a, b, c = C.parse_citations(df).orderBy("id").collect()
+    assert (a.year, a.title, a.doi, a.last_name) == (2019, "Monitoring of grids", "10.1016/S0140-6736(05)61787-6", "Bundesnetzagentur")
+    assert (b.year, b.title, b.doi, b.last_name) == (None, "Some title", "10.1234/x.y", "Agency")
+    assert (c.year, c.title, c.last_name) == (None, "Other title", "Lone")
+
+
+def test_citation_links_are_scholar_searches(spark):
+    kind = "id int, title string, year int, last_name string, doi string, is_web boolean, score double, source string, match_doi string"
+    rows_ = [(0, "t", 2000, "X", "10.1/x(1)", False, None, None, None), (1, "t", 2000, "X", None, False, 0.9, "s", "10.1/y"),
+             (2, "Grid & study", None, "Müller", None, False, 0.5, None, None)]
+    links = [r.link for r in C.link_reliability(spark.createDataFrame(rows_, kind)).orderBy("id").collect()]
+    scholar = "https://scholar.google.com/scholar?q="
+    assert links == [f"{scholar}doi:10.1/x(1)", f"{scholar}doi:10.1/y", f"{scholar}%22Grid+%26+study%22+M%C3%BCller"]
+
+
+def random_titles(seed, n):
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    return [(i, " ".join(["the"] * (i % 3 > 0) + [draw.choice(words[: draw.choice([4, 40])]) for _ in range(draw.randrange(9))]) + "!")
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.65, 1.0])
+def test_similar_titles_equal_all_pairs(spark, monkeypatch, least):
+    monkeypatch.setattr(title_join, "BLOCK_TITLES", 7)
+    monkeypatch.setattr(title_join, "FREQUENT_SHARE", 0.05)
+    left, right = random_titles(1, 80), [*random_titles(1, 40), *((i + 40, t) for i, t in random_titles(2, 80)), (999, None)]
+    found = title_join.similar_titles(spark.createDataFrame(left, "a int, title string"), spark.createDataFrame(right, "b int, title string"),
+                                      "a", "b", "title", least)
+    sets = lambda rows_: [(i, set((t or "").rstrip("!").split())) for i, t in rows_]
+    want = sorted((i, k) for i, x in sets(left) for k, y in sets(right) if x and y and 2 * len(x & y) / (len(x) + len(y)) >= least - 1e-9)
+    assert sorted((r.a, r.b) for r in found.collect()) == want and want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_candidates_prefer_the_author_then_shared_words(spark):
+    refs = C.parse_citations(spark.createDataFrame([(1, "Muster, A. (2001). Alpha beta gamma delta. J."), (2, "no title")], "id int, citation string"))
+    works = [(f"w{i}", "crossref", "B. Other", "alpha beta gamma delta", 2001, f"10.1/{i}") for i in range(7)]
+    works += [("x", "crossref", "A. Muster", "alpha beta gamma epsilon", 2001, "10.1/x"), ("y", "openalex", None, "something else", 2001, None)]
+    found = C.find_candidates(refs, spark.createDataFrame(works, "work_id string, source string, author string, title string, year int, doi string"), "id")
+    assert sorted(r.doi for r in found.collect()) == ["10.1/0", "10.1/1", "10.1/2", "10.1/3", "10.1/x"]
+
+
+def test_matching_blocks(spark):
+    pairs = [("grid study", "grid study"), ("abxcd", "abcd"), ("a", None), ("", "")]
+    got = [r.s for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(
+        title_join.matching_blocks(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [1.0, pytest.approx(8 / 9), None, None]
+
+
 def test_citation_without_title_is_not_matched(spark):
-    refs = spark.createDataFrame([(1, None, 2000, None, False)], "id int, title string, year int, doi string, is_web boolean")
+    refs = spark.createDataFrame([(1, None, 2000, "X", None, False)], "id int, title string, year int, last_name string, doi string, is_web boolean")
     cands = spark.createDataFrame([(1, "openalex", "anything", 2000, "10.1/x")],
                                   "id int, source string, title string, year int, doi string")
     got = C.link_reliability(C.match_citations(refs, cands, "id")).first()
@@ -289,8 +348,8 @@ def test_citation_pick_does_not_depend_on_row_order(spark):
 
 
 def test_unconfirmed_doi_is_rated_lower(spark):
-    kind = "id int, title string, year int, doi string, is_web boolean, score double, source string, match_doi string"
-    rows_ = [(1, "t", 2000, "10.1/x", False, s, None, None) for s in (None, 0.84, 0.85, 0.95)]
+    kind = "id int, title string, year int, last_name string, doi string, is_web boolean, score double, source string, match_doi string"
+    rows_ = [(1, "t", 2000, "X", "10.1/x", False, s, None, None) for s in (None, 0.84, 0.85, 0.95)]
     got = [r.accuracy for r in C.link_reliability(spark.createDataFrame(rows_, kind).coalesce(1)).collect()]
     assert got == [80, 80, 92, 98]
 
