@@ -7,20 +7,20 @@ working area, and then read them back the way an export would be read.
 from __future__ import annotations
 
 import dataclasses
-import functools
 import uuid
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.catalog import ENTITIES, Entity
 from gridledger.functions.convert import to_iso_date, to_number
-from gridledger.operators.sets import union_sources
+from gridledger.operators.sets import append, land_sources, union_sources
 from gridledger.plans.districts import labour_payloads
 from gridledger.plans.register import AS_OF, Register
 from gridledger.plans.registry import query
@@ -64,8 +64,9 @@ def xml_to_typed(r: Register) -> DataFrame:
     return X.typed(raw, entity)
 
 
-def as_archives(r: Register, df: DataFrame, entity: Entity, archives: int = 2) -> list[str]:
-    """Zip archives of export XML, one written by each task, with one member per thousand records."""
+def as_archives(r: Register, df: DataFrame, entity: Entity, records: int = 2000) -> list[str]:
+    """Zip archives of export XML, one for about so many records and written by a task, with a member per thousand."""
+    archives = max(2, -(-df.count() // records))
     folder = new_work_path(r.spark, f"zip-{entity.key}")
     record = F.to_xml(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns]), {"rowTag": entity.tag})
     stem = entity.members.split("*")[0]
@@ -92,12 +93,9 @@ def staged_archives(r: Register) -> DataFrame:
     """Turbines written to archives, staged by member and read back."""
     entity = dataclasses.replace(ENTITIES["wind"], members="*" + ENTITIES["wind"].members)
     columns = ["EinheitMastrNummer", "Bruttoleistung", "Bundesland", "Inbetriebnahmedatum"]
-    tables = []
-    for archive in as_archives(r, r.wind.select(*columns), ENTITIES["wind"]):
-        staged = new_work_path(r.spark, "staged-wind")
-        if X.stage_members(r.spark, archive, entity, staged).parts:
-            tables.append(X.typed(X.read_entity(r.spark, staged, entity, columns)[0], entity))
-    return functools.reduce(DataFrame.unionByName, tables)
+    staged = new_work_path(r.spark, "staged-wind")
+    X.stage_archives(r.spark, as_archives(r, r.wind.select(*columns), ENTITIES["wind"]), entity, staged)
+    return X.typed(X.read_entity(r.spark, staged, entity, columns)[0], entity)
 
 
 @query("s03_to_number", """
@@ -190,6 +188,27 @@ def summary(r: Register) -> DataFrame:
     return B.checked_summary(tables, required=["solar", "wind"])
 
 
+@query("s09_s29_damaged_file", """
+    SELECT 'solar' AS table_name, 0 AS damaged, count(*) AS rows, TRUE AS loaded, count(*) AS kept_rows FROM solar
+    UNION ALL SELECT 'wind', 1, count(*), FALSE, count(*) FROM wind""")
+def damaged_file(r: Register) -> DataFrame:
+    """Two tables, one with half a file among its files: what the footers say, what is loaded, and what can be kept."""
+    folder = new_work_path(r.spark, "entities")
+    for key in ("solar", "wind"):
+        target = X.write_entity(r.table(key), ENTITIES[key], folder)
+    store, path = at_storage(target)
+    whole = next(f for f in store.get_file_info(FileSelector(path, recursive=True)) if f.base_name.endswith(".parquet"))
+    with store.open_input_file(whole.path) as data, store.open_output_stream(f"{path}/part-cut.parquet") as cut:
+        cut.write(data.read(min(whole.size // 2, 1 << 16)))
+    tables, files = B.load_checked(r.spark, folder)
+    kept = B.load_entities(r.spark, folder, damaged="file")
+    loaded = F.col("table_name").isin(list(tables))
+    counts = B.load_summary(kept).withColumnRenamed("rows", "kept_rows")
+    summary = B.footer_checked_summary(files, required=["solar", "wind"])
+    return summary.join(counts, "table_name").select(
+        "table_name", F.col("damaged").cast("int").alias("damaged"), "rows", loaded.alias("loaded"), "kept_rows")
+
+
 # ------------------------------------------------------------------------------- snapshots
 
 
@@ -356,3 +375,23 @@ def united_sources(r: Register) -> DataFrame:
 
     parts = [source("value >= 50"), None, source("value < 50")]  # the middle source failed
     return union_sources(parts, zones(r).select("bzn", "country"), "bzn")
+
+
+@query("s27_failing_source", """
+    SELECT 'low' AS source, 'landed' AS status, event_type AS bzn, count(*) AS n FROM events WHERE value < 50 GROUP BY 3
+    UNION ALL SELECT 'high', 'landed', event_type, count(*) FROM events WHERE value >= 50 GROUP BY 3
+    UNION ALL SELECT 'broken', 'failed', NULL, NULL UNION ALL SELECT 'unplanned', 'failed', NULL, NULL
+    UNION ALL SELECT 'silent', 'empty', NULL, NULL""")
+def failing_source(r: Register) -> DataFrame:
+    """Five sources: two deliver, one fails while it is read, one while it is planned, one has nothing."""
+    def source(events: DataFrame) -> DataFrame:
+        return events.groupBy(F.col("event_type").alias("bzn")).agg(F.count("*").alias("n"))
+
+    events = r.source("events")
+    raised = events.filter(F.when(F.col("event_id") % 100 == 50, F.raise_error(F.lit("unexpected end"))).otherwise(F.lit(True)))
+    landed, report = land_sources(r.spark, {
+        "low": lambda: source(events.filter("value < 50")), "high": lambda: source(events.filter("value >= 50")),
+        "broken": lambda: source(raised), "unplanned": lambda: source(events.select("no_such_column")), "silent": lambda: None,
+    }, new_work_path(r.spark, "sources"))
+    rows = append([df.withColumn("source", F.lit(name)) for name, df in landed.items()])
+    return report.join(rows, "source", "left").select("source", "status", "bzn", "n")

@@ -89,8 +89,8 @@ def _rolling_sql(days: int) -> str:
     WHERE last_day + INTERVAL 1 DAY <= {_CLOSED} GROUP BY last_day"""
 
 
-def rolling(r: Register, days: int) -> DataFrame:
-    return stamped(to_table(W.traffic_rolling(event_stream(r), days, ts="ts"), work(r, f"rolling-{days}")))
+def rolling(r: Register, days: int, slide: str = "1 day") -> DataFrame:
+    return stamped(to_table(W.traffic_rolling(event_stream(r), days, ts="ts", slide=slide), work(r, f"rolling-{days}")))
 
 
 @query("t02_traffic_rolling", _rolling_sql(7))
@@ -98,9 +98,17 @@ def traffic_week(r: Register) -> DataFrame:
     return rolling(r, 7)
 
 
-@query("t02_traffic_rolling_day", _rolling_sql(1))
+@query("t02_traffic_rolling_day", f"""
+    WITH hourly AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events
+                    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1),
+    ends AS (SELECT DISTINCT h + to_hours(CAST(unnest(range(0, 24)) AS INTEGER)) AS last_hour FROM hourly)
+    SELECT strftime(last_hour - INTERVAL 23 HOUR, '%Y-%m-%d %H:%M:%S') AS window_start,
+           strftime(last_hour + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, sum(n)::BIGINT AS hits
+    FROM ends JOIN hourly ON h BETWEEN last_hour - INTERVAL 23 HOUR AND last_hour
+    WHERE last_hour + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY last_hour""")
 def traffic_day(r: Register) -> DataFrame:
-    return rolling(r, 1)
+    """The last 24 hours, moved by the hour."""
+    return rolling(r, 1, "1 hour")
 
 
 @query("t02_traffic_rolling_month", _rolling_sql(30))

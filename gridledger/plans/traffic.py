@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gridledger.operators import aggregates as A
 from gridledger.operators import ranking as L
-from gridledger.plans.register import Register
+from gridledger.plans.register import Register, access_lines
 from gridledger.plans.registry import query
+from gridledger.session import new_work_path
 from gridledger.sources.access_log import page_views, parse_access_log, recent_window, tail_events
+from gridledger.sources.log_tail import tail_lines
 
 NOW = dt.datetime(2024, 1, 31)
 _WINDOW = "page_views WHERE time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY"
@@ -118,3 +120,15 @@ def access_log(r: Register) -> DataFrame:
 def tail(r: Register, n: int = 1000) -> DataFrame:
     last = tail_events(parse_access_log(r.access_lines), n, "ip", "path", "status", "user_agent")
     return last.select("ip", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "path", "status")
+
+
+@query("s26_tail_lines", """
+    SELECT a.ip, strftime(a.time, '%Y-%m-%d %H:%M:%S') AS time, a.path, a.status
+    FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 1000) e JOIN access_events a USING (event_id)""")
+def tail_of_files(r: Register, n: int = 1000) -> DataFrame:
+    """The last lines of log files, read from the files' ends."""
+    folder = new_work_path(r.spark, "access-log")
+    events = r.source("events").orderBy("event_id")
+    access_lines(events).write.text(folder)
+    last = parse_access_log(tail_lines(r.spark, folder, n))
+    return last.select("ip", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "path", "status")

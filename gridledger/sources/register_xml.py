@@ -37,7 +37,7 @@ def list_members(archive: str, pattern: str) -> list[str]:
 
 
 def part_name(member: str, part: int) -> str:
-    """Unique per member, also where folders of the archive hold members of one name."""
+    """Unique per member, also where folders of the archive, or several archives, hold members of one name."""
     stem = os.path.splitext(os.path.basename(member))[0]
     return f"{stem}-{hashlib.sha256(member.encode()).hexdigest()[:12]}-{part:05d}.xml"
 
@@ -100,47 +100,60 @@ def _child_tags(part: bytes, tag: str) -> set[str]:
 
 def stage_members(spark: SparkSession, archive: str, entity: Entity, out_dir: str,
                   part_bytes: int = 64 << 20) -> Staged:
-    """Unpack an entity's members to ``out_dir``, one task per member, as files of moderate size.
+    """Unpack an entity's members of one archive to ``out_dir``; see ``stage_archives``."""
+    return stage_archives(spark, [archive], entity, out_dir, part_bytes)
 
-    A compressed member can only be read front to back, so it is cut into parts here, which later
-    tasks parse in parallel; a task holds one part in memory. The tags seen on the way spare the
-    reader a pass of its own to discover columns. Archive and target are paths or URIs on storage
-    every executor reaches. Parts are written under a temporary name and renamed, and the cuts do
+
+def stage_archives(spark: SparkSession, archives: Sequence[str], entity: Entity, out_dir: str,
+                   part_bytes: int = 64 << 20) -> Staged:
+    """Unpack an entity's members to ``out_dir``, one task per member of any archive, as files of moderate size.
+
+    Members are listed by tasks too, one per archive; all are unpacked by one job. A compressed member can only be read
+    front to back, so it is cut into parts here, which later tasks parse in parallel; a task holds one part in memory.
+    The tags seen on the way spare the reader a pass of its own to discover columns. Archives and target are paths or
+    URIs on storage every executor reaches. Parts are written under a temporary name and renamed, and the cuts do
     not depend on the attempt, so a retried or duplicated task leaves the same whole files. A
-    record that a member leaves open at its end is counted and dropped.
+    record that a member leaves open at its end is counted and dropped. Members of several archives are reported as
+    ``archive!member``.
     """
-    members = list_members(archive, entity.members)
-    if not members:
-        return Staged({}, [], {})
-    tag = entity.tag
+    tag, pattern, alone = entity.tag, entity.members, len(archives) == 1
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for archive in (a for batch in batches for a in batch["archive"]):
+            members = list_members(archive, pattern)
+            if members:
+                yield pd.DataFrame({"archive": [archive] * len(members), "member": members})
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, target = at_storage(out_dir)
         store.create_dir(target, recursive=True)
-        shelf, path = at_storage(archive)
-        with shelf.open_input_file(path) as data, zipfile.ZipFile(data) as zf:
-            for member in (m for batch in batches for m in batch["member"]):
-                tags: set[str] = set()
-                count = open_at_end = 0
-                with zf.open(member) as source:
-                    pieces = split_records(_utf8_chunks(source), tag, part_bytes)
-                    while True:
-                        try:
-                            part = next(pieces)
-                        except StopIteration as end:
-                            open_at_end = end.value
-                            break
-                        draft = f"{target}/.{uuid.uuid4().hex}"
-                        with store.open_output_stream(draft) as sink:
-                            sink.write(part)
-                        store.move(draft, f"{target}/{part_name(member, count)}")
-                        tags |= _child_tags(part, tag)
-                        count += 1
-                yield pd.DataFrame({"member": [member], "parts": [count], "tags": [sorted(tags)],
-                                    "truncated": [open_at_end]})
-
-    names = spark.createDataFrame([(m,) for m in members], "member string")
-    one_each = names.repartitionByRange(len(members), "member")
+        for archive, member in (pair for batch in batches for pair in zip(batch["archive"], batch["member"])):
+            label = member if alone else f"{archive}!{member}"
+            shelf, path = at_storage(archive)
+            tags: set[str] = set()
+            count = open_at_end = 0
+            with shelf.open_input_file(path) as data, zipfile.ZipFile(data) as zf, zf.open(member) as source:
+                pieces = split_records(_utf8_chunks(source), tag, part_bytes)
+                while True:
+                    try:
+                        part = next(pieces)
+                    except StopIteration as end:
+                        open_at_end = end.value
+                        break
+                    draft = f"{target}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(draft) as sink:
+                        sink.write(part)
+                    store.move(draft, f"{target}/{part_name(label, count)}")
+                    tags |= _child_tags(part, tag)
+                    count += 1
+            yield pd.DataFrame({"member": [label], "parts": [count], "tags": [sorted(tags)], "truncated": [open_at_end]})
+
+    listed = spark.createDataFrame([(a,) for a in archives], "archive string").repartitionByRange(max(len(archives), 1), "archive")
+    members = [tuple(row) for row in listed.mapInPandas(find, "archive string, member string").collect()]
+    if not members:
+        return Staged({}, [], {})
+    names = spark.createDataFrame(members, "archive string, member string")
+    one_each = names.repartitionByRange(len(members), "archive", "member")
     done = one_each.mapInPandas(unpack, "member string, parts long, tags array<string>, truncated long").collect()
     # the reader's columns ignore case, so of two spellings the first is kept
     columns = {tag.lower(): tag for tag in sorted({t for r in done for t in r.tags}, reverse=True)}

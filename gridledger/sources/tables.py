@@ -14,6 +14,7 @@ from gridledger.catalog import ENTITIES
 from gridledger.operators import cube as C
 from gridledger.operators.sets import load_summary
 from gridledger.operators.units import wind_specs
+from gridledger.sources.footers import footer_summary, read_footers
 
 log = logging.getLogger(__name__)
 
@@ -31,33 +32,51 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def load_entities(spark: SparkSession, folder: str, merge_schema: bool = False) -> dict[str, DataFrame]:
+def load_entities(spark: SparkSession, folder: str, merge_schema: bool = False, damaged: str = "table") -> dict[str, DataFrame]:
     """Every entity table that can be read, also as a temp view. One bad table stops nobody.
 
-    One load writes one schema, so footers are merged only on request.
+    The footers of all files are looked at first, see ``load_checked``. One load writes one schema, so footers are merged
+    only on request.
     """
+    return load_checked(spark, folder, merge_schema, damaged)[0]
+
+
+def load_checked(spark: SparkSession, folder: str, merge_schema: bool = False,
+                 damaged: str = "table") -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """The tables that can be read, and the report on their files; None if there are no files.
+
+    ``damaged`` says what a damaged file takes along: its whole ``table``, or only the ``file`` itself.
+    """
+    if damaged not in ("table", "file"):
+        raise ValueError("damaged must be 'table' or 'file'")
+    present = [key for key in ENTITIES if path_exists(spark, f"{folder}/{key}.parquet")]
+    for key in ENTITIES:
+        if key not in present:
+            log.warning("entity %s is missing", key)
+    if not present:
+        return {}, None
+    footers = read_footers(spark, folder, present)
     # the partition column must stay text: state codes are labels, not numbers
     inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
     before = spark.conf.get(inference)
     spark.conf.set(inference, "false")
     tables: dict[str, DataFrame] = {}
     try:
-        for key in ENTITIES:
-            path = f"{folder}/{key}.parquet"
-            if not path_exists(spark, path):
-                log.warning("entity %s is missing", key)
-                continue
-            try:
-                df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
-            except Exception as err:  # analysis errors and damaged footers alike
-                log.warning("entity %s is unreadable: %s", key, type(err).__name__)
+        for key in present:
+            bad, path = footers.damaged.get(key, []), f"{folder}/{key}.parquet"
+            if bad:
+                log.warning("entity %s has %d damaged files, the first is %s", key, len(bad), bad[0])
+            if key not in footers.good or bad and damaged == "table":
+                log.warning("entity %s is unreadable", key)
                 continue
+            reader = spark.read.option("mergeSchema", str(merge_schema).lower())
+            df = reader.option("basePath", path).parquet(*footers.good[key]) if bad else reader.parquet(path)
             df.createOrReplaceTempView(key)
             tables[key] = df
     finally:
         spark.conf.set(inference, before)
     log.info("%d of %d entities loaded", len(tables), len(ENTITIES))
-    return tables
+    return tables, footers.files
 
 
 def aggregate_plans(cube: DataFrame | None, tables: dict[str, DataFrame],
@@ -116,3 +135,13 @@ def checked_summary(tables: dict[str, DataFrame], required: Sequence[str]) -> Da
     if absent:
         raise RuntimeError(f"required tables are missing: {', '.join(absent)}")
     return load_summary(tables).orderBy(F.col("table_name"))
+
+
+def footer_checked_summary(files: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Files, damaged files and rows per table from the report of a load; raises when a required table has no rows to read."""
+    summary = footer_summary(files)
+    found = {r.table_name for r in summary.filter("files > damaged").select("table_name").collect()}
+    absent = [name for name in required if name not in found]
+    if absent:
+        raise RuntimeError(f"required tables are missing: {', '.join(absent)}")
+    return summary

@@ -24,14 +24,14 @@ def traffic_windows(views: DataFrame, width: str, *by: str, ts: str = "time",
     return _flat(counts)
 
 
-def traffic_rolling(views: DataFrame, days: int, ts: str = "time", watermark: str = "1 hour") -> DataFrame:
-    """Hits over the last ``days`` days, recomputed daily.
+def traffic_rolling(views: DataFrame, days: int, ts: str = "time", watermark: str = "1 hour", slide: str = "1 day") -> DataFrame:
+    """Hits over the last ``days`` days, recomputed every ``slide`` (a day or an hour).
 
-    Days are counted first and the long windows add up those counts, so a view is not copied into
-    every window it belongs to.
+    Hits are counted per slide first and the long windows add up those counts, so a view is not copied into every window
+    it belongs to; a count is.
     """
-    daily = _marked(views, ts, watermark).groupBy(F.window(ts, "1 day")).agg(F.count("*").alias("n"))
-    rolling = daily.groupBy(F.window(F.window_time("window"), f"{days} days", "1 day").alias("w"))
+    counts = _marked(views, ts, watermark).groupBy(F.window(ts, slide)).agg(F.count("*").alias("n"))
+    rolling = counts.groupBy(F.window(F.window_time("window"), f"{days} days", slide).alias("w"))
     return _flat(rolling.agg(F.sum("n").alias("hits")), "w")
 
 
