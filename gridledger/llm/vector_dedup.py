@@ -257,24 +257,36 @@ def link_tiles(turns: list, width: int, tables: int, table: pa.Table) -> pa.Tabl
 def vector_links(vectors: DataFrame) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vec_id, embedding``.
 
-    Two vectors link if their cosine in double precision is ``COSINE`` or more. Equal vectors form a class that goes
-    through the search once; its size counts for its neighbours, and its members link with each other. Vectors that
-    are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors whose length is not
-    the most common one. Every usable vector is indexed. Repeated ids with equal vectors count as rows of their own.
+    Two vectors link if they have equal length and their cosine in double precision is ``COSINE`` or more. Every length
+    that the table holds is searched on its own; lengths are those of the models in use, so few. Equal vectors form a
+    class that goes through the search once; its size counts for its neighbours, and its members link with each other.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Every usable vector is
+    indexed. Repeated ids with equal vectors count as rows of their own. Other columns of the table are not read.
 
     A table entry with more than ``BLOCK`` vectors is split into pairs of blocks, so none is capped. Pairs are never
     written: a task returns counts and one linked vector per vector.
     """
-    spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = vectors.select("vec_id", "embedding").withColumn("v", F.xxhash64("embedding"))
-    common = rows.groupBy(F.size("embedding").alias("wide")).count().filter("wide > 0").orderBy(F.desc("count"), "wide").first()
-    if common is None:
+    ensure_checkpoint_dir(vectors.sparkSession)
+    rows = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("v"), F.size("embedding").alias("wide"))
+    lengths = [r.wide for r in rows.select("wide").filter("wide > 0").distinct().orderBy("wide").collect()]
+    answers = None
+    for wide in lengths:
+        mine = links_of_length(rows.filter(F.col("wide") == wide), wide).withColumn("wide", F.lit(wide))
+        answers = mine if answers is None else answers.unionByName(mine)
+    if answers is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"),
                            F.lit(True).alias("kept"))
+    return rows.select("vec_id", "v", "wide").join(answers, ["v", "wide"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).cast("long").alias("component_id"),
+    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def links_of_length(rows: DataFrame, wide: int) -> DataFrame:
+    """``v, n_links, component_id, usable`` per class of equal usable vectors of ``wide`` components."""
     kind = rows.schema["embedding"].dataType.simpleString()
     classes = (
-        rows.filter(F.size("embedding") == common.wide).groupBy("v", "embedding")
+        rows.groupBy("v", "embedding")
         .agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
         .select("v", "embedding", "copies", "least")
         .mapInArrow(usable_rows, f"v long, embedding {kind}, copies long, least long").checkpoint()
@@ -282,7 +294,7 @@ def vector_links(vectors: DataFrame) -> DataFrame:
     vectors_in = classes.count()
     width = substring_bits(vectors_in)
     sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("embedding").collect()
-    units = np.array([r.embedding for r in sample], float).reshape(-1, common.wide)
+    units = np.array([r.embedding for r in sample], float).reshape(-1, wide)
     units /= np.abs(units).max(1, initial=1e-300)[:, None]
     units /= np.maximum(np.sqrt((units * units).sum(1)), 1e-300)[:, None]
     turns, tables, most = index_plan(units, width) if len(units) else ([], table_count(width), 0)
@@ -308,8 +320,4 @@ def vector_links(vectors: DataFrame) -> DataFrame:
                 F.coalesce("component", "v").alias("component"))
     )
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    answers = labelled.join(ids, "component").select("v", "n_links", "component_id", F.lit(True).alias("usable"))
-    return rows.select("vec_id", "v").join(answers, "v", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).cast("long").alias("component_id"),
-    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return labelled.join(ids, "component").select("v", "n_links", "component_id", F.lit(True).alias("usable"))
