@@ -1,7 +1,9 @@
 """Whole texts as flat byte arrays: words, word hashes and window hashes without a Python loop per word.
 
-All hashes are polynomial modulo 2**64. ``cumsum(value * base**i)`` gives the hash of any stretch by one difference,
-moved to a common origin by the inverse power (odd bases have one).
+A word's hash adds up a scrambled value for each byte at its place in the word, so that no exchange of letters cancels, as
+it can in a polynomial modulo 2**64. Hashes of stretches are such polynomials: ``cumsum(value * base**i)`` gives any
+stretch by one difference, moved to a common origin by the inverse power (odd bases have one). Over word hashes their
+values are scrambled already.
 """
 
 from __future__ import annotations
@@ -127,7 +129,36 @@ def stretch_hashes(hashed: tuple[np.ndarray, np.ndarray], starts: np.ndarray, en
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return stretch_hashes(prefix_hashes(data), starts, ends)
+    """One hash per word, from its bytes, their places in it, and its length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first = np.zeros(len(data), np.int64)
+    first[starts] = starts
+    place = (np.arange(len(data)) - np.maximum.accumulate(first)).astype(np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix((place << np.uint64(8) | data) * np.uint64(BASE) + np.uint64(INVERSE)), out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
+
+
+def first_of_equals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Representatives of equal words, and for every word which of them it equals, byte by byte.
+
+    Words meet by hash; one whose bytes differ from the first with its hash stands for itself.
+    """
+    _, once, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    other = starts[once][which]
+    differs = size != size[once][which]
+    ask = np.flatnonzero(~differs & (other != starts))
+    if len(ask):
+        lengths = size[ask]
+        begin = np.cumsum(lengths) - lengths
+        step = np.arange(lengths.sum()) - np.repeat(begin, lengths)
+        unlike = data[np.repeat(starts[ask], lengths) + step] != data[np.repeat(other[ask], lengths) + step]
+        differs[ask[np.add.reduceat(unlike, begin) > 0]] = True
+    alone = np.flatnonzero(differs)
+    which[alone] = len(once) + np.arange(len(alone))
+    return np.concatenate([once, alone]), which
 
 
 def row_starts(rows: np.ndarray, n_rows: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.textbytes import chunks, flat, mix, row_starts, spans, unspaced_bytes, word_hashes
+from gridledger.llm.textbytes import chunks, first_of_equals, flat, mix, row_starts, spans, unspaced_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG_WORD = 512
@@ -165,7 +165,7 @@ def count_texts(automaton: Automaton, batches: Iterator[pa.RecordBatch]) -> Iter
             data, bounds = flat(part.column("text"))
             starts, ends, rows = spans(data, bounds, member)
             first = row_starts(rows, part.num_rows)
-            _, once, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            once, which = first_of_equals(data, starts, ends)
             total = np.concatenate([[0], np.cumsum(count_words(automaton, data, starts[once], ends[once])[which])])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(first), pa.int64()),
@@ -177,7 +177,8 @@ def token_counts(docs: DataFrame, columns: list[str], vocabulary: list[bytes] |
 
     A word is a run of bytes without ASCII white space; it is read with one space before it, as the vocabulary's word
     starts have it, and cut greedily into the longest tokens. Null and empty texts have no words and no tokens. Words
-    that a slice of texts repeats are read once.
+    that a slice of texts repeats, byte for byte, are read once. Repeated rows get equal counts; very long texts are a
+    slice of their own. An empty table gives none. The named columns travel in ``doc``, so they may clash with no other.
     """
     automaton = build(vocabulary if vocabulary is not None else read_vocabulary())
     rows = docs.select(F.struct(*columns).alias("doc"), "text")

@@ -5,11 +5,12 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from helpers import alnum_words, collected, make_docs, prose
 
-from gridledger.llm import decontaminate, license_scan, token_counts, toxicity
+from gridledger.llm import decontaminate, license_scan, textbytes, token_counts, toxicity
 from gridledger.llm.queries import QUERIES
 
 BENCHMARK = "item_id long, text string"
@@ -162,6 +163,21 @@ def test_token_counts_equal_greedy_cutting(spark):
     assert collected(QUERIES["op6_token_counts"](spark, SF_DIR), "doc_id", "n_tokens") == sorted(expected, key=repr)
 
 
+def test_words_with_one_hash_are_counted_each(spark, monkeypatch):
+    vocabulary = [b"a", b"b", b"c", b" ", b"ab", b"abc"]
+    texts = ["ab abc c ab abc", "abc abc a", "b ab"]
+    docs = make_docs(spark, list(enumerate(texts)), parts=1)
+    want = [(i, sum(greedy(" " + w, vocabulary) for w in t.split())) for i, t in enumerate(texts)]
+    rows = token_counts.token_counts(docs, ["doc_id"], vocabulary)
+    assert sorted((r.doc.doc_id, r.n_tokens) for r in rows.collect()) == want
+    monkeypatch.setattr(textbytes, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    data, bounds = textbytes.flat(pa.array(texts))
+    starts, ends, _ = textbytes.spans(data, bounds, textbytes.unspaced_bytes())
+    once, which = textbytes.first_of_equals(data, starts, ends)
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert [words[once[i]] for i in which] == words
+
+
 def test_token_counts_of_awkward_rows(spark):
     vocabulary = [b" a", b"ab", b" abc", b"abcdx", b"bcdef", b"cd", b"aa", b"aaaa", b"aaaaaaab", "é".encode(), b"", b"xyz xyz"]
     texts = [None, "", "   ", "abcdef abcdx", "aaaaaaa aaaaaaab", "é éé x", "a" * 5000 + "b", "ab" * 700 + " cd", "xyz xyz",
