@@ -25,9 +25,9 @@ MARKS = "[#$%&*|]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 FLUSH_BYTES = 16 << 20
-#: Bytes of different texts with one prefix from which the prefix is lengthened by STEP; the share bounds the list of such
-#: prefixes, which travels to the tasks as 4 bytes each.
-CELL_BYTES, MOST_CELLS = 64 << 20, 1 << 20
+#: A prefix is lengthened by STEP when the different texts that begin with it hold more bytes than a partition should:
+#: its share of the input, within these bounds. The share bounds the list of such prefixes, which travels to the tasks.
+LEAST_CELL, CELL_BYTES, MOST_CELLS = 1 << 20, 64 << 20, 1 << 20
 FIRST_PREFIX, STEP = 32, 8
 
 
@@ -95,7 +95,8 @@ def crowded_prefixes(docs: DataFrame) -> tuple[list[tuple[int, frozenset[int]]],
     """
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    limit = max(CELL_BYTES, total // MOST_CELLS)
+    share = total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(LEAST_CELL, min(CELL_BYTES, share), total // MOST_CELLS)
     levels, length = [], FIRST_PREFIX
     while True:
         start = F.crc32(F.substring("text", 1, length))

@@ -229,6 +229,7 @@ def test_audit_equals_all_orders(spark):
 def test_crowded_prefixes_get_longer(spark, monkeypatch):
     rows = [(i, "the same beginning of every document, " * 8 + f"{i % 40}", "a") for i in range(120)]
     docs = make_docs(spark, rows)
+    monkeypatch.setattr(filter_audit, "LEAST_CELL", 1000)
     monkeypatch.setattr(filter_audit, "CELL_BYTES", 5000)
     levels, total = filter_audit.crowded_prefixes(docs)
     assert [n for n, _ in levels] == [32, 256] and total == sum(len(t) for _, t, _ in rows)
