@@ -10,6 +10,7 @@ A logistic curve over that statistic, fitted on the same labelled rows, gives th
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +26,12 @@ from gridledger.llm.textbytes import (
 )
 from gridledger.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 LABELLED = 40_000      # bound of the labelled sample; rows beyond it do not train
-MOST_TERMS = 200_000   # bound of the broadcast term table; evidence on a bounded sample ends far below it
+MOST_TERMS = 200_000   # bound of the broadcast term table; beyond it the least certain terms go, with a warning
 PRIOR = 4.0            # pseudo-documents of the Dirichlet prior
-LEAST_ODDS = 2.0       # a term counts from these log-odds on: weaker ones tell a topic or a language
-LEAST_BOUND = 0.5      # a term counts if its log-odds less DEVIATIONS of their spread are above this
+LEAST_BOUND = 0.5      # a term counts if its log-odds less DEVIATIONS of their spread are above this, however many prove it
 DEVIATIONS = 2.6       # about one chance finding in two hundred terms
 LEAST_DRIFT = 0.005    # what a token that doesn't tell costs at least
 STEEPEST = 7.0
@@ -115,7 +117,7 @@ def with_odds(terms: DataFrame, parents: DataFrame | None, share: float) -> Data
         .withColumn("spread", F.sqrt(F.lit(1.0) / (F.col("d_toxic") + F.lit(PRIOR) * F.col("prior"))
                                      + F.lit(1.0) / (F.col("d_clean") + F.lit(PRIOR) * (F.lit(1.0) - F.col("prior")))))
         .withColumn("clean", clean)
-        .withColumn("kept", ((F.col("odds") >= LEAST_ODDS) & (F.col("odds") - F.lit(DEVIATIONS) * F.col("spread") > LEAST_BOUND) & (F.col("d_toxic") >= 2))
+        .withColumn("kept", ((F.col("odds") - F.lit(DEVIATIONS) * F.col("spread") > LEAST_BOUND) & (F.col("d_toxic") >= 2))
                     | (F.col("stem_kept") & (F.col("d_toxic") + F.col("d_clean") >= 3)))
     )
 
@@ -167,11 +169,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chain, levels = None, []
     for level in range(len(STEMS) + 1):
         chain = with_odds(counts.filter(F.col("level") == level), chain, share)
-        levels.append(chain.filter("kept").select("level", "term", "odds", "clean", "d_toxic", "d_clean"))
+        levels.append(chain.filter("kept").select("level", "term", "odds", "clean", "spread"))
     kept = levels[0]
     for other in levels[1:]:
         kept = kept.unionByName(other)
-    rows = kept.orderBy(F.desc(F.col("d_toxic") + F.col("d_clean")), "level", "term").limit(MOST_TERMS).collect()
+    rows = kept.orderBy(F.desc(F.abs("odds") / F.col("spread")), "level", "term").limit(MOST_TERMS).collect()
+    if len(rows) == MOST_TERMS:
+        log.warning("more than %d terms tell; the least certain ones are left out", MOST_TERMS)
     tables = []
     for level in range(len(STEMS) + 1):
         mine = sorted((r.term % (1 << 64), r.odds) for r in rows if r.level == level)
@@ -332,7 +336,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: whether it was held out, score, prediction, and the number of significant passages."""
+    """Per document: whether it was held out, score, prediction, and the number of significant passages.
+
+    Null and empty texts score as texts without passages. Repeated rows score alike; of labels that tie on an id, any
+    toxic one counts. Very long texts are scored whole, as a slice of their own. An empty table gives none. Only the id
+    and the text are read.
+    """
     return scored(docs, fit(docs, labels), ["doc_id"]).select(
         F.col("doc.doc_id").alias("doc_id"), held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted",
         F.size("passages").alias("n_passages"))

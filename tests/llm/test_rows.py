@@ -1,6 +1,7 @@
 """Operators that judge each document alone: licenses, benchmark passages, toxicity, token counts."""
 
 import hashlib
+import random
 import textwrap
 import zlib
 
@@ -112,6 +113,20 @@ def test_toxicity_learns_stems_and_reports_passages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in range(160) if i % 4} | {901, 902, 903, 904}
 
 
+def test_toxicity_of_many_moderate_words(spark):
+    draw = random.Random(7)
+    rows, labels = [], []
+    for i in range(2000):
+        toxic = draw.random() < 0.25
+        words = draw.choices([f"word{k:03d}x" for k in range(400)], [4 if toxic and k < 40 else 1 for k in range(400)], k=150)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    found = toxicity.toxicity_digest(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = {r.doc_id: r.predicted for r in found.filter("held_out").collect()}
+    toxic, clean = ([held[i] for i, t in labels if t == y and i in held] for y in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = planted_toxicity(spark)
     for none in (labels.limit(0), labels.selectExpr("doc_id", "quality", "CAST(NULL AS INT) AS toxic")):
