@@ -27,6 +27,7 @@ from gridledger.plans.registry import query
 from gridledger.plans.series import zones
 from gridledger.session import new_work_path
 from gridledger.sources import dimensions as D
+from gridledger.sources import manifests as M
 from gridledger.sources import payloads as Y
 from gridledger.sources import register_xml as X
 from gridledger.sources import snapshots as N
@@ -180,6 +181,21 @@ def written_aggregate(r: Register) -> DataFrame:
     return B.agg_table(r.spark, folder, "capacity_by_plz_top5000")
 
 
+@query("s11_s13_published_set", """
+    SELECT plz, energietraeger, count(*) AS units, sum(bruttoleistung_kw) / 1000 AS bruttoleistung_mw
+    FROM units_all WHERE plz IS NOT NULL AND lat IS NOT NULL GROUP BY 1, 2
+    HAVING sum(bruttoleistung_kw) IS NOT NULL
+    ORDER BY bruttoleistung_mw DESC, plz, energietraeger LIMIT 5000""")
+def published_set(r: Register) -> DataFrame:
+    """All aggregates published as one version; the next version fails half-way, so readers keep the first one whole."""
+    root = new_work_path(r.spark, "published")
+    B.publish_aggregates(r.units, {"wind": r.wind}, root, AS_OF)
+    M.publish(r.spark, root, {
+        "capacity_by_plz_top5000": lambda: r.units.select("plz").filter("false"),
+        "kpi_overview": lambda: r.units.select(F.raise_error(F.lit("unexpected end")).alias("units"))})
+    return B.published_agg(r.spark, root, "capacity_by_plz_top5000").select("plz", "energietraeger", "units", "bruttoleistung_mw")
+
+
 @query("s29_load_summary", """
     SELECT 'solar' AS table_name, count(*) AS rows FROM solar UNION ALL SELECT 'wind', count(*) FROM wind
     UNION ALL SELECT 'kwk', count(*) FROM kwk""")

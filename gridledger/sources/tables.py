@@ -14,6 +14,8 @@ from gridledger.catalog import ENTITIES
 from gridledger.operators import cube as C
 from gridledger.operators.sets import load_summary
 from gridledger.operators.units import wind_specs
+from gridledger.session import new_work_path
+from gridledger.sources import manifests as M
 from gridledger.sources.footers import footer_summary, read_footers
 
 log = logging.getLogger(__name__)
@@ -125,6 +127,22 @@ def write_aggregates(units: DataFrame, tables: dict[str, DataFrame], folder: str
         return dict(zip(plans, pool.map(write, plans, plans.values()), strict=True))
 
 
+def publish_aggregates(units: DataFrame, tables: dict[str, DataFrame], root: str, as_of: dt.date, keep: int = 14) -> dict[str, str]:
+    """Write all aggregates as one published version, from one read of the units; see ``manifests.publish``.
+
+    Readers of ``published_agg`` see all of a version or all of the one before. The turbine table may be absent.
+    """
+    spark = units.sparkSession
+    base = new_work_path(spark, "unit-cube")
+    C.unit_cube(units).write.parquet(base)
+    plans = aggregate_plans(spark.read.parquet(base), tables, as_of)
+    return M.publish(spark, root, plans, [name for name in plans if name != "wind_hub_height"], keep)
+
+
+def published_agg(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return M.published(spark, root, name)
+
+
 def agg_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

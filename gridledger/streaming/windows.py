@@ -99,7 +99,12 @@ def latest_stream(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, watermark: str = "2 hours") -> DataFrame:
-    """Drop rows seen before: polls fetch hours again. State is kept for the watermark only."""
+    """Drop rows seen before: polls fetch hours again. State is kept for the watermark only.
+
+    A table keeps the row with the least time per key, of equal times the one with the least values, whatever their order.
+    """
     if not df.isStreaming:
-        return df.dropDuplicates(keys)
+        rest = [c for c in df.columns if c not in (*keys, ts)]
+        first = df.groupBy(*keys).agg(F.min(F.struct(*[c for c in (ts, *rest) if c not in keys])).alias("_row"))
+        return first.select(*keys, "_row.*").select(*df.columns)
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)

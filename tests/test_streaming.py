@@ -188,3 +188,11 @@ def test_snapshots_are_ingested_once(spark, folder):
     assert look() == 2 and look() == 2
     df.limit(1).withColumn("snapshot", F.lit("2024-01-08")).write.mode("append").partitionBy("snapshot").parquet(f"{folder}/in")
     assert look() == 3
+
+
+def test_table_dedup_keeps_the_first_by_time_then_value(spark):
+    rows_ = [("a", 2, 1), ("a", 1, 9), ("a", 1, 5), ("b", 3, None), (None, 1, 1), (None, 1, 1)]
+    for order in (rows_, rows_[::-1]):
+        df = spark.createDataFrame(order, "k string, ts int, v int").repartition(3)
+        got = W.dedup_stream(df, ["k"], "ts").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([("a", 1, 5), ("b", 3, None), (None, 1, 1)], key=repr)
