@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 FLUSH_BYTES = 16 << 20
 #: A prefix is lengthened by STEP when the different texts that begin with it hold more bytes than a partition should:
-#: its share of the input, within these bounds. The share bounds the list of such prefixes, which travels to the tasks.
+#: its share of the input, within these bounds. MOST_CELLS bounds the list of such prefixes, which is broadcast, 8 bytes each.
 LEAST_CELL, CELL_BYTES, MOST_CELLS = 1 << 20, 64 << 20, 1 << 20
 FIRST_PREFIX, STEP = 32, 8
 
@@ -107,7 +107,7 @@ def crowded_prefixes(docs: DataFrame) -> tuple[list[tuple[int, frozenset[int]]],
             return levels, total
         levels.append((length, found))
         texts = texts.filter(F.octet_length("text") > length).withColumn("start", start).join(
-            texts.sparkSession.createDataFrame([(s,) for s in found], "start long"), "start", "left_semi").select("text")
+            F.broadcast(texts.sparkSession.createDataFrame([(s,) for s in found], "start long")), "start", "left_semi").select("text")
         length *= STEP
 
 
