@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,10 +171,10 @@ def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     x = F.col("x")
     rows = df.select(F.col(value).cast("double").alias("x")).filter(x.isNotNull())
     marks = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-    n, bracket = rows.agg(F.count("*"), F.percentile_approx(x, marks, F.lit(accuracy))).first()
+    n, bracket, *ends = rows.agg(F.count("*"), F.percentile_approx(x, marks, F.lit(accuracy)), F.min(x), F.max(x)).first()
     if not n:
         return spark.range(1).select(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("value"))
-    low, high = bracket
+    low, high = ends if n < 2 * accuracy else bracket  # a small column's bracket may be narrower than two ranks
     ensure_checkpoint_dir(spark)
     side = F.when(x < low, -1).when(x > high, 1).otherwise(0)
     folded = rows.groupBy(side.alias("side"), F.when(side == 0, x).alias("x")).agg(F.count("*").alias("c")).checkpoint()
@@ -204,6 +205,91 @@ def _value_at(band: DataFrame, low: float, high: float, rank: int, bins: int = 1
     return low
 
 
+def group_quantiles(df: DataFrame, key: str, value: str, marks: Mapping[str, float], broadcast_groups: int = 10_000,
+                    final_rows: int = 100_000, bins: int = 1024) -> DataFrame:
+    """Exact interpolated quantiles of a continuous column per group, without a task holding a group.
+
+    ``marks`` names the quantiles: {"p25": 0.25, "median": 0.5}. Null and NaN values are left out; groups without
+    others are absent; a null key is a group. The input is read twice. The first read gives counts and, from a mergeable
+    sketch, a bracket around each wanted rank of each group. The second joins brackets to rows, folds what lies below a
+    bracket into one count per task and counts each value inside. This band is checkpointed and narrowed for all groups
+    at once, ``bins`` bins at a time, until no group has more than ``final_rows`` values at a rank; a window finds the
+    values. Brackets are broadcast for groups that hold at least one in ``broadcast_groups`` rows, of which there can be
+    no more than that; the rows of smaller groups are joined by key. A bracket that misses its rank raises.
+    """
+    spark, accuracy = df.sparkSession, 10_000
+    margin, x, c = 2 / accuracy, F.col("x"), F.col("c")
+    rows = df.select(F.struct(key).alias("g"), F.col(value).cast("double").alias("x")).filter(
+        x.isNotNull() & ~F.isnan(x))
+    edges = [edge for q in marks.values() for edge in (max(0.0, q - margin), min(1.0, q + margin))]
+    ensure_checkpoint_dir(spark)
+    groups = rows.groupBy("g").agg(
+        F.count("*").alias("n"),
+        F.percentile_approx(x, F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("edges"),
+        F.array(*[F.min(x), F.max(x)] * len(marks)).alias("ends"))
+    # a rank between two values needs a bracket of more than two, which shares of a small group need not reach
+    groups = groups.select("g", "n", F.when(F.col("n") < 2 * accuracy, F.col("ends")).otherwise(F.col("edges")).alias(
+        "edges")).checkpoint()
+
+    def target(at: int, mark: str, q: float, side: str) -> Column:
+        wanted = (F.col("n") - 1) * F.lit(q)
+        return F.struct(F.lit(mark).alias("mark"), F.lit(side).alias("side"),
+                        (F.floor(wanted) if side == "low" else F.ceil(wanted)).cast("long").alias("rank"),
+                        F.col("edges")[2 * at].alias("low"), F.col("edges")[2 * at + 1].alias("high"))
+
+    targets = groups.select("g", "n", F.explode(F.array(*[
+        target(at, mark, q, side) for at, (mark, q) in enumerate(marks.items()) for side in ("low", "high")])).alias("t"))
+    brackets = groups.select("g", "n", F.array(*[
+        F.struct(F.lit(mark).alias("mark"), F.col("edges")[2 * at].alias("low"), F.col("edges")[2 * at + 1].alias("high"))
+        for at, mark in enumerate(marks)]).alias("b"))
+    found, total = groups.agg(F.count("*"), F.sum("n")).first()
+    if found <= broadcast_groups:
+        met = rows.join(F.broadcast(brackets), "g")
+    else:
+        large = F.col("n") * broadcast_groups >= F.lit(total)
+        met = rows.join(F.broadcast(brackets.filter(large)), "g", "left")
+        met = met.filter("b is not null").unionByName(
+            met.filter("b is null").select("g", "x").join(brackets.filter(~large), "g"))
+    inside = F.explode(F.filter("b", lambda b: x <= b["high"])).alias("b")
+    met = met.select("g", "x", inside).select(
+        "g", F.col("b.mark").alias("mark"), F.when(x >= F.col("b.low"), x).alias("x"))
+    counted = met.groupBy("g", "mark", "x").agg(F.count("*").alias("c")).checkpoint()
+    below = counted.filter(x.isNull()).select("g", "mark", F.col("c").alias("below"))
+    band = counted.filter(x.isNotNull())
+
+    todo = targets.select("g", "n", "t.*").join(below, ["g", "mark"], "left").withColumn(
+        "rank", F.col("rank") - F.coalesce("below", F.lit(0))).drop("below")
+    while True:
+        within = band.join(todo, ["g", "mark"]).filter(x.between(F.col("low"), F.col("high")))
+        sizes = within.groupBy("g", "mark", "side").agg(F.count("*").alias("values"))
+        if not (sizes.agg(F.max("values")).first()[0] or 0) > final_rows:
+            break
+        low, high = F.greatest("low", F.lit(-sys.float_info.max)), F.least("high", F.lit(sys.float_info.max))
+        width = high / bins - low / bins
+        place = F.when(width > 0, F.least(F.floor(x / width - low / width), F.lit(bins - 1))).otherwise(F.lit(0))
+        cells = within.groupBy("g", "n", "mark", "side", "rank", place.alias("bin")).agg(
+            F.sum("c").alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
+        before = F.sum("c").over(Window.partitionBy("g", "mark", "side").orderBy("bin")) - c  # at most ``bins`` rows
+        todo = cells.withColumn("before", before).filter(
+            (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + c)).select(
+            "g", "mark", "n", "side", (F.col("rank") - F.col("before")).alias("rank"), "low", "high").checkpoint()
+    up_to = F.sum("c").over(Window.partitionBy("g", "mark", "side").orderBy("x"))
+    hits = within.withColumn("up_to", up_to).filter(
+        (F.col("rank") >= F.col("up_to") - c) & (F.col("rank") < F.col("up_to")))
+    pairs = hits.groupBy("g").agg(*[
+        F.max(F.when((F.col("mark") == mark) & (F.col("side") == side), x)).alias(f"{mark} {side}")
+        for mark in marks for side in ("low", "high")])
+
+    def between(mark: str, q: float) -> Column:
+        low, high = F.col(f"{mark} low"), F.col(f"{mark} high")
+        wanted = (F.col("n") - 1) * F.lit(q)
+        missed = F.raise_error(F.lit(f"the bracket of {mark} misses its rank")).cast("double")
+        return F.when(low.isNull() | high.isNull(), missed).otherwise(low + (high - low) * (wanted - F.floor(wanted)))
+
+    named = groups.join(pairs, "g", "left")
+    return named.select(F.col(f"g.{key}").alias(key), "n", *[between(mark, q).alias(mark) for mark, q in marks.items()])
+
+
 def histogram(df: DataFrame, col: str, width: float, top: float, *categories: Column) -> DataFrame:
     """Counts per fixed-width bin up to ``top`` and one bin; what is larger is in the last bin, which is open."""
     low = F.least(F.floor(F.col(col) / width) * width, F.lit(top + width)).cast("double")

@@ -278,6 +278,18 @@ def shipping_delay(r: Register) -> DataFrame:
     return A.day_quantiles(days, "l_returnflag", "days")
 
 
+@query("a24_price_quartiles", """
+    SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25,
+           round(quantile_cont(l_extendedprice, 0.5), 6) AS median,
+           round(quantile_cont(l_extendedprice, 0.75), 6) AS p75
+    FROM lineitem GROUP BY 1""")
+def price_quartiles(r: Register) -> DataFrame:
+    """Three large groups with continuous values."""
+    marks = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    exact = A.group_quantiles(r.source("lineitem"), "l_returnflag", "l_extendedprice", marks)
+    return exact.select("l_returnflag", "n", *[F.round(mark, 6).alias(mark) for mark in marks])
+
+
 @query("a25_median", "SELECT count(*) AS n, round(median(l_extendedprice), 6) AS value FROM lineitem")
 def median_price(r: Register) -> DataFrame:
     exact = A.exact_quantile(r.source("lineitem"), "l_extendedprice", 0.5)

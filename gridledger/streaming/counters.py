@@ -1,15 +1,22 @@
 """Rates of counters that only grow, except when they restart from zero.
 
 Samples are first folded per series and short cell, then per window, so a window combines a bounded
-number of cells. Tables fold a cell with a sorted window that spills, whatever it holds. Streams can't
-sort, so a cell that is still open keeps its samples as state until the watermark closes it: choose
-cells short enough for the busiest series. Everything stays in built-in expressions.
+number of cells. Tables fold a cell with a sorted window that spills, whatever it holds. Streams keep the
+samples of an open cell as a list in keyed state: a batch appends its own samples and writes nothing else
+again, and a timer sorts and folds the cell once, when the watermark closes it. A worker holds one closing
+cell at a time, so choose cells short enough for the busiest series.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType, TimestampType
 
 
 def growth(value: Column, previous: Column) -> Column:
@@ -43,19 +50,67 @@ def _cells_of_table(samples: DataFrame, cell: str, ts: str, series: str, tiebrea
         ).alias("c"))
 
 
+def fold_samples(samples: pd.DataFrame) -> dict:
+    """First, last and last but one sample of a cell and the growth in between, by time (t), tie rule (k) and value (v)."""
+    samples = samples.sort_values(["t", "k", "v"], kind="stable")
+    t, v = samples["t"].to_numpy(), samples["v"].to_numpy(dtype=float)
+    before, now = v[:-1], v[1:]
+    steps = np.where(now >= before, now - before, np.where(np.isnan(before), np.nan, now))
+    ends = {"first_t": t[0], "first_v": v[0], "last_t": t[-1], "last_v": v[-1],
+            "prev_t": t[-2] if len(t) > 1 else None, "prev_v": v[-2] if len(t) > 1 else None,
+            "inner": float(np.nansum(steps)), "n": len(t)}
+    return {name: None if x is None or x != x else x for name, x in ends.items()}
+
+
+class OpenCells(StatefulProcessor):
+    """Keeps the samples of each (series, end of cell) until event time passes the end, then emits one row for the cell."""
+
+    def __init__(self, tiebreak_type: str, columns: list[str]):
+        self.tiebreak_type, self.columns = tiebreak_type, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState(
+            "samples", f"t array<bigint>, k array<{self.tiebreak_type}>, v array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """A batch adds one entry with its own samples; entries already stored are neither read nor written."""
+        parts = list(rows)
+        self.samples.appendValue(tuple(
+            [None if x != x else x for part in parts for x in part[name].tolist()] for name in ("t", "k", "v")))
+        self.handle.registerTimer(key[1] // 1000 - 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        parts = [pd.DataFrame({"t": t, "k": k, "v": v}) for t, k, v in self.samples.get()]
+        self.samples.clear()
+        if parts:
+            at = pd.Timestamp(key[1] - 1, unit="us", tz="UTC")
+            row = {self.columns[0]: key[0], "at": at, **fold_samples(pd.concat(parts))}
+            yield pd.DataFrame([row], columns=self.columns).astype(
+                {"first_t": "Int64", "last_t": "Int64", "prev_t": "Int64", "n": "int32",
+                 "first_v": "float64", "last_v": "float64", "prev_v": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
 def _cells_of_stream(samples: DataFrame, cell: str, ts: str, series: str, tiebreak: str, value: str) -> DataFrame:
-    sample = F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("k"), F.col(value).alias("v"))
-    cells = samples.groupBy(F.window(ts, cell).alias("cell"), series).agg(
-        F.sort_array(F.collect_list(sample)).alias("s"))
-    return cells.select(
-        series, F.window_time("cell").alias("at"),
-        F.struct(
-            F.col("s")[0]["t"].alias("first_t"), F.col("s")[0]["v"].alias("first_v"),
-            F.element_at("s", -1)["t"].alias("last_t"), F.element_at("s", -1)["v"].alias("last_v"),
-            F.try_element_at("s", F.lit(-2))["t"].alias("prev_t"),
-            F.try_element_at("s", F.lit(-2))["v"].alias("prev_v"),
-            _pairwise_growth(F.col("s"), "v", "v").alias("inner"), F.size("s").alias("n"),
-        ).alias("c"))
+    """The same row per series and cell, once the watermark has passed the end of the cell."""
+    fields = samples.schema
+    window = F.window(ts, cell)
+    timed = samples.withColumn("cell", window).select(
+        series, F.unix_micros("cell.end").alias("until"), F.window_time("cell").alias("at"),
+        F.unix_micros(F.col(ts)).alias("t"), F.col(tiebreak).alias("k"), F.col(value).cast("double").alias("v"))
+    out = StructType().add(series, fields[series].dataType).add("at", TimestampType())
+    for name in ("first_t", "first_v", "last_t", "last_v", "prev_t", "prev_v", "inner"):
+        out = out.add(name, LongType() if name.endswith("_t") else DoubleType())
+    out = out.add("n", IntegerType())
+    cells = timed.groupBy(series, "until").transformWithStateInPandas(
+        OpenCells(fields[tiebreak].dataType.simpleString(), out.names), out, "append", "eventTime",
+        eventTimeColumnName="at")
+    return cells.select(series, "at", F.struct(*[
+        F.timestamp_micros(name).alias(name) if name.endswith("_t") else F.col(name) for name in out.names[2:]]).alias("c"))
 
 
 def counter_rate(samples: DataFrame, width: str, cell: str, tiebreak: str, ts: str = "ts",

@@ -48,12 +48,42 @@ def test_exact_quantile_narrows_to_the_exact_value(spark, q):
     assert got.n == 45_000 and got.value == pytest.approx(interpolated(values, q), abs=1e-9)
 
 
+def test_exact_quantile_between_two_values_of_a_small_column(spark):
+    values = [float(i) for i in range(1203)]
+    got = A.exact_quantile(spark.createDataFrame([(v,) for v in values], "v double"), "v", 0.25).first()
+    assert got.value == interpolated(values, 0.25)
+
+
 def test_exact_quantile_of_nothing_and_of_one(spark):
     none = A.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5).first()
     assert (none.n, none.value) == (0, None)
     assert A.exact_quantile(spark.createDataFrame([(3.0,)], "v double"), "v", 0.5).first().value == 3.0
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_groups": 2, "final_rows": 50, "bins": 8}])
+def test_group_quantiles_of_hot_and_small_groups(spark, limits):
+    random.seed(6)
+    groups = {"hot": [random.gauss(0, 1e6) for _ in range(12_000)], "same": [7.5] * 9_000, "one": [3.0],
+              "two": [-1.0, 4.0], None: [random.random() for _ in range(5_000)],
+              "ends": [-math.inf] * 300 + [1.0 + i / 1024 for i in range(900)] + [math.inf] * 3}
+    data = [(k, v) for k, values in groups.items() for v in values] + [("hot", None), ("hot", math.nan), ("none", None)]
+    random.shuffle(data)
+    marks = {"low": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75}
+    df = spark.createDataFrame(data, "k string, v double").repartition(4)
+    got = {r.k: r for r in A.group_quantiles(df, "k", "v", marks, **limits).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert got[k].n == len(values)
+        for mark, q in marks.items():
+            if k != "ends" or mark != "low":
+                assert got[k][mark] == pytest.approx(interpolated(values, q), abs=1e-9), (k, mark)
+
+
+def test_group_quantiles_of_no_rows(spark):
+    none = A.group_quantiles(spark.createDataFrame([("a", None)], "k string, v double"), "k", "v", {"median": 0.5})
+    assert none.columns == ["k", "n", "median"] and none.count() == 0
+
+
 def test_k20_mode_ties_are_alphabetical(spark):
     data = [("u1", "Phone"), ("u1", "Desktop"), ("u2", "Tablet"), ("u2", "Tablet"), ("u2", "Bot"),
             ("u3", None), ("u3", "Phone"), ("u3", None)]

@@ -196,3 +196,69 @@ def test_table_dedup_keeps_the_first_by_time_then_value(spark):
         df = spark.createDataFrame(order, "k string, ts int, v int").repartition(3)
         got = W.dedup_stream(df, ["k"], "ts").collect()
         assert sorted(map(tuple, got), key=repr) == sorted([("a", 1, 5), ("b", 3, None), (None, 1, 1)], key=repr)
+
+
+def counter_feed(spark, batches, per_batch):
+    """One series, two cells of an hour; samples out of order over many files, and one that comes days late."""
+    rng = random.Random(7)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    samples = [("s", start + dt.timedelta(milliseconds=rng.randrange(7_200_000)), i, float(i * 13 % 997))
+               for i in range(batches * per_batch)]
+    closing = [("s", start + dt.timedelta(days=1), -1, 5.0), ("s", start + dt.timedelta(days=2), -2, 5.0),
+               ("s", start + dt.timedelta(minutes=1), -3, 9.0), ("s", start + dt.timedelta(days=3), -4, 5.0)]
+    parts = [samples[i * per_batch:(i + 1) * per_batch] for i in range(batches)] + [[row] for row in closing]
+    schema = "series string, ts timestamp, k bigint, value double"
+    return [spark.createDataFrame(part, schema) for part in parts], spark.createDataFrame(samples, schema)
+
+
+def test_cells_collect_out_of_order_samples_and_leave_out_late_ones(spark, folder):
+    parts, samples = counter_feed(spark, 6, 200)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = stream_parquet(spark, f"{folder}/in", samples.schema, files_per_batch=1)
+    got = to_table(C.counter_rate(stream, "2 hours", "1 hour", "k", watermark="3 hours"), f"{folder}/out")
+    first = got.filter("window_start < '2024-01-01 02:00:00'")
+    assert rows(first) == rows(C.counter_rate(samples, "2 hours", "1 hour", "k")) and first.count() == 1
+
+
+def test_a_batch_writes_only_its_own_samples():
+    import pandas as pd
+
+    class State(list):
+        def appendValue(self, value):
+            self.append(value)
+
+        def get(self):
+            return iter(list(self))
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = State(), set()
+
+        def getListState(self, name, schema):
+            return self.state
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    cells, handle = C.OpenCells("bigint", ["series", "at", "first_t", "first_v", "last_t", "last_v", "prev_t", "prev_v",
+                                           "inner", "n"]), Handle()
+    cells.init(handle)
+    for batch in range(50):
+        part = pd.DataFrame({"t": range(batch, 20_000, 50), "k": 0, "v": 1.0})
+        assert list(cells.handleInputRows(("s", 3_600_000_000), iter([part]), None)) == []
+    assert [len(t) for t, _, _ in handle.state] == [400] * 50 and handle.timers == {3_599_999}
+    (cell,) = cells.handleExpiredTimer(("s", 3_600_000_000), None, None)
+    assert (cell.n[0], cell.first_t[0], cell.last_t[0], cell.inner[0]) == (20_000, 0, 19_999, 0.0) and not handle.state
+
+
+@pytest.mark.parametrize("values, inner", [([1.0, 4.0, 2.0], 5.0), ([None, 4.0, 5.0], 1.0), ([3.0, None, 5.0], 0.0)])
+def test_folding_a_cell_is_what_the_sorted_window_gives(spark, values, inner):
+    import pandas as pd
+
+    folded = C.fold_samples(pd.DataFrame({"t": [0, 1, 2], "k": [0, 0, 0], "v": values}))
+    table = spark.createDataFrame([("s", dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=t), 0, v)
+                                   for t, v in enumerate(values)], "series string, ts timestamp, k bigint, value double")
+    twin = C._cells_of_table(table, "1 hour", "ts", "series", "k", "value").first().c
+    assert folded["inner"] == inner == twin.inner
+    assert [folded[c] for c in ("first_v", "last_v", "prev_v", "n")] == [twin.first_v, twin.last_v, twin.prev_v, twin.n]
