@@ -22,6 +22,7 @@ KEYS = ["bundesland_code", "energietraeger", "size_class", "month", "plz", "loca
 STATE = ["bundesland_code", "energietraeger", "size_class"]
 MONTH = ["energietraeger", "month"]
 PLACE = ["energietraeger", "plz", "located"]
+GRAINS = (STATE, MONTH, PLACE)
 
 
 def grain(keys: list[str]) -> Column:
@@ -30,17 +31,21 @@ def grain(keys: list[str]) -> Column:
     return F.col("grain") == left_out
 
 
-def unit_cube(units: DataFrame) -> DataFrame:
-    """Partial sums of every grain leave a task at once; ``grain`` tells them apart."""
+def cube_rows(units: DataFrame, *more: str) -> DataFrame:
+    """The units with the keys of all grains, the measures, and further columns."""
     state = F.when(in_known_state(), F.col("bundesland_code"))
-    keyed = units.select(
+    return units.select(
         state.alias("bundesland_code"), "energietraeger", "plz",
         F.trunc("inbetriebnahme_datum", "MM").alias("month"),
         size_class6(F.col("bruttoleistung_kw")).alias("size_class"),
-        F.col("lat").isNotNull().alias("located"), "bruttoleistung_kw", "lat", "lon",
+        F.col("lat").isNotNull().alias("located"), "bruttoleistung_kw", "lat", "lon", *more,
     )
-    sets = [[F.col(k) for k in keys] for keys in (STATE, MONTH, PLACE)]
-    return keyed.groupingSets(sets, *[F.col(k) for k in KEYS]).agg(
+
+
+def unit_cube(units: DataFrame) -> DataFrame:
+    """Partial sums of every grain leave a task at once; ``grain`` tells them apart."""
+    sets = [[F.col(k) for k in keys] for keys in GRAINS]
+    return cube_rows(units).groupingSets(sets, *[F.col(k) for k in KEYS]).agg(
         F.grouping_id().cast("int").alias("grain"),
         F.count("*").alias("n"), F.sum("bruttoleistung_kw").alias("kw"),
         F.sum("lat").alias("lat_sum"), F.sum("lon").alias("lon_sum"), F.count("lon").alias("lon_n"),

@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from gridledger.catalog import ENTITIES, Entity
 from gridledger.functions.convert import to_iso_date, to_number
+from gridledger.operators import changes
+from gridledger.operators import cube as C
 from gridledger.operators.sets import append, land_sources, union_sources
 from gridledger.plans.districts import labour_payloads
 from gridledger.plans.register import AS_OF, Register
 from gridledger.plans.registry import query
+from gridledger.plans.shaping import sql_class6
 from gridledger.plans.series import zones
 from gridledger.session import new_work_path
 from gridledger.sources import dimensions as D
@@ -196,6 +199,39 @@ def published_set(r: Register) -> DataFrame:
     return B.published_agg(r.spark, root, "capacity_by_plz_top5000").select("plz", "energietraeger", "units", "bruttoleistung_mw")
 
 
+@query("s07_s11_patched_cube", f"""
+    WITH shaped AS (
+        SELECT CASE WHEN bundesland_name IS NOT NULL THEN bundesland_code END AS bundesland_code, energietraeger, plz,
+               cast(date_trunc('month', inbetriebnahme_datum) AS date) AS month,
+               {sql_class6('bruttoleistung_kw')} AS size_class, lat IS NOT NULL AS located, bruttoleistung_kw, lat, lon
+        FROM units_all),
+    cells AS (
+        SELECT 'state' AS grain, bundesland_code, energietraeger, size_class, NULL AS month, NULL AS plz, NULL AS located,
+               count(*) AS n, sum(bruttoleistung_kw) AS kw, sum(lat) AS lat_sum, count(lon) AS lon_n
+        FROM shaped GROUP BY 2, 3, 4
+        UNION ALL
+        SELECT 'month', NULL, energietraeger, NULL, month, NULL, NULL, count(*), sum(bruttoleistung_kw), sum(lat), count(lon)
+        FROM shaped GROUP BY 3, 5
+        UNION ALL
+        SELECT 'place', NULL, energietraeger, NULL, NULL, plz, located, count(*), sum(bruttoleistung_kw), sum(lat), count(lon)
+        FROM shaped GROUP BY 3, 6, 7)
+    SELECT grain, bundesland_code, energietraeger, size_class, strftime(month, '%Y-%m-%d') AS month, plz, located, n,
+           kw, lat_sum, lon_n FROM cells""")
+def patched_cube(r: Register) -> DataFrame:
+    """The cube of a first delivery, then patched to the second: a tenth of the units came, altered or went."""
+    root = new_work_path(r.spark, "increments")
+    late, altered = F.col("plz").endswith("7"), F.col("plz").endswith("3")
+    first = r.units.filter(~F.coalesce(late, F.lit(False))).withColumn(
+        "bruttoleistung_kw", F.when(altered, F.col("bruttoleistung_kw") + 1.5).otherwise(F.col("bruttoleistung_kw")))
+    gone = r.units.filter(F.col("plz").endswith("5")).withColumns({
+        "mastr_nr": F.concat(F.lit("gone "), "mastr_nr"), "plz": F.lit("00000"), "lon": F.col("lon") + 0.1})
+    changes.advance(first.unionByName(gone), root)
+    cube = changes.advance(r.units, root)
+    names = F.when(C.grain(C.STATE), "state").when(C.grain(C.MONTH), "month").otherwise("place")
+    return cube.select(names.alias("grain"), "bundesland_code", "energietraeger", "size_class",
+                       F.date_format("month", "yyyy-MM-dd").alias("month"), "plz", "located", "n", "kw", "lat_sum", "lon_n")
+
+
 @query("s29_load_summary", """
     SELECT 'solar' AS table_name, count(*) AS rows FROM solar UNION ALL SELECT 'wind', count(*) FROM wind
     UNION ALL SELECT 'kwk', count(*) FROM kwk""")
