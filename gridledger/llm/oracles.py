@@ -208,3 +208,54 @@ SELECT part, filter_order, step,
   CAST(sum(CASE WHEN mask & f <> 0 THEN n * (120 // m) ELSE 0 END) AS BIGINT) AS shapley
 FROM cells, steps GROUP BY 1, 2, 3
 """
+
+SHARDS = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)),
+    lambda c, turn: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+bytes AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+                                list_transform(range(0, n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM bytes, crc_table),
+scores AS (
+  SELECT doc_id, s, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || s), 1, 13) AS BIGINT) AS score
+  FROM (SELECT DISTINCT doc_id FROM documents), range(0, 17) shards(s)),
+placed AS (
+  SELECT doc_id, arg_max(s, score) FILTER (WHERE s < 16) AS shard, arg_max(s, score) AS grown_shard FROM scores GROUP BY doc_id),
+dealt AS (
+  SELECT z.*, p.shard, p.grown_shard,
+    CAST('0x' || substr(md5(coalesce(CAST(z.doc_id AS VARCHAR), '') || '|' || size || '|' || text_crc32), 1, 13) AS BIGINT) % 4096 AS part
+  FROM sized z JOIN placed p ON p.doc_id IS NOT DISTINCT FROM z.doc_id)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot,
+  CAST(grown_shard AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
+EARLIER_STRINGS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS string
+  FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS i FROM texts WHERE n >= 50)),
+firsts AS (SELECT string, min(doc_id) AS least FROM strings GROUP BY string HAVING count(*) > 1),
+starts AS (
+  SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 50, -1) AS fresh
+  FROM strings JOIN firsts USING (string) WHERE doc_id > least),
+runs AS (
+  SELECT r, min(i) AS lo, max(i) + 50 AS hi
+  FROM (SELECT r, i, sum(fresh::INTEGER) OVER (PARTITION BY r ORDER BY i) AS run FROM starts) GROUP BY r, run),
+cuts AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM runs),
+kept AS (
+  SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head
+  FROM cuts JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""

@@ -86,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
+    "op4_shards": oracles.SHARDS,
+    "op5_earlier_strings": oracles.EARLIER_STRINGS,
     "op7_near_vectors": oracles.NEAR_VECTORS,
     "op8_repeated_windows": oracles.REPEATED_WINDOWS,
     "op9_near_copies": oracles.NEAR_COPIES,

@@ -54,7 +54,7 @@ def numbered(groups: DataFrame, values: list[str]) -> DataFrame:
     bounded by shards times ``SLOT_GROUPS``. Inside a group the running sum sees distinct rows, so a key that a third
     of all rows carry is one row there; it turns into its copies afterwards, in runs that are dealt out evenly.
     """
-    groups = groups.withColumn("part", F.pmod(F.xxhash64(*values), F.lit(SLOT_GROUPS)).cast("int"))
+    groups = groups.withColumn("part", (hash52(*(F.col(v) for v in values)) % SLOT_GROUPS).cast("int"))
     totals = groups.groupBy("shard", "part").agg(F.sum("copies").alias("filled"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", "part", F.coalesce(F.sum("filled").over(earlier), F.lit(0)).alias("offset"))
