@@ -34,6 +34,11 @@ def row_keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
 
 
+def settled(keyed: DataFrame) -> DataFrame:
+    """The rows of each partition in an order that a repeated task finds again, whichever way its shuffle blocks arrive."""
+    return keyed.sortWithinPartitions("k1", "k2")
+
+
 def bucket_count(docs: DataFrame, bytes_per_item: float) -> int:
     """Buckets for texts of this size."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

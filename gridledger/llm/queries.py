@@ -33,7 +33,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_earlier_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_earlier_digest(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_earlier_digest(table(spark, sf_dir, "documents"), from_files=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"))
+    return window_dedup.remove_repeats_digest(table(spark, sf_dir, "documents"), from_files=True)
 
 
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

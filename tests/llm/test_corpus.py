@@ -6,11 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 from helpers import SPACED, alnum_words, collected, groups, make_docs, prose, shingle_counts, weighted_jaccard
 
 from gridledger.llm import components, dart_minhash, packed, suffix_dedup, vector_dedup, window_dedup
+from gridledger.llm.packed import ANSWER, from_gaps
 from gridledger.llm.queries import QUERIES
 
 SHORT = "repeated in the corpus but shorter than a window"
@@ -316,3 +318,23 @@ def test_words_that_polynomials_confuse(spark):
 
 def test_words_are_lower_cased_in_shingles_only():
     assert alnum_words("A-b É") == ["a", "b", "É"]
+
+
+def test_windows_of_one_hash_are_told_apart_by_the_second():
+    def flush(number, hashes, tails):
+        keys, counts = np.array([[number, 0]], np.int64), np.array([len(hashes)])
+        return list(window_dedup.flush_windows(
+            number, np.array(hashes, np.uint64), np.array(tails, np.uint16), keys, counts, 1))
+
+    batches = flush(1, [5, 5, 6, 5], [1, 2, 3, 3]) + flush(2, [5, 6, 5], [2, 4, 4])
+    answers = window_dedup.repeated_in_bucket(pa.Table.from_batches(batches)).to_pylist()
+    told = {r["flush"]: from_gaps(r["a"]).tolist() for r in answers if r["kind"] == ANSWER}
+    assert told == {1: [1], 2: [0]}
+
+
+def test_order_of_rows_in_a_shuffled_input_does_not_number_the_windows(spark):
+    docs = make_docs(spark, corpus()).repartition(3, "doc_id")
+    plan = window_dedup.remove_repeats_digest(docs)._jdf.queryExecution().toString()
+    assert "Sort [k1" in plan
+    assert collected(window_dedup.remove_repeats_digest(docs), *WINDOW_COLUMNS) == cut_windows(corpus())
+    assert collected(window_dedup.remove_repeats_digest(docs, from_files=True), *WINDOW_COLUMNS) == cut_windows(corpus())
