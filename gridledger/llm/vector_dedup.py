@@ -1,9 +1,10 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, rerank with the original vectors.
 
 Rotations are learned on a bounded sample so that signs of the rotated vectors lose little. The bits of
-several rotations are cut into substrings, one table each; vectors that agree in a substring meet. Hamming distance over
-the whole code tells which vectors have a near one at all; these alone bring their components to the tables, where
-cosines in double precision decide, block against block.
+several rotations are cut into substrings, one table each; vectors that agree in a substring meet. Entries hold a few
+hundred vectors, as comparing 16 bytes of code is cheap and a table more is not. The Hamming distance of these bytes tells
+which vectors of an entry have a near one there; these alone bring their components to that entry, where cosines in double
+precision decide, block against block. Members of entries are shuffled packed, 28 bytes each.
 """
 
 from __future__ import annotations
@@ -18,17 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
+from gridledger.llm.textbytes import mix
 from gridledger.session import ensure_checkpoint_dir
 
 COSINE = 0.9
 SAMPLE = 8192          # vectors that the rotations are fitted on
 ROUNDS = 30
 RECALL = 0.985         # of pairs exactly at the threshold; closer pairs are found more surely
-OCCUPANCY = 16         # vectors per table entry that the substring length aims at
+OCCUPANCY = 512        # vectors per table entry that the substring length aims at
 LEAST_BITS, MOST_BITS = 8, 24
+CODE_BITS = 128        # of the code that travel with a member
 DEVIATIONS = 4.0       # by which a pair's Hamming distance may exceed the mean at the threshold
-BLOCK = 2048
-BUCKETS = 1024
+BLOCK = 4096           # vectors of an entry that a task compares with as many others
+MOST_SPLIT = 100_000   # entries that are split; blocks grow where more would have to be
+COUNTED = 16           # one in so many vectors is counted to size the blocks
+SLICE = 4096
+BUCKETS = 1024         # at least; a bucket aims at these many members, and bytes of components
+BUCKET_MEMBERS, BUCKET_BYTES = 250_000, 16 << 20
 
 
 def substring_bits(vectors: int) -> int:
@@ -76,7 +83,7 @@ def threshold_pairs(sample: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def index_plan(sample: np.ndarray, width: int) -> tuple[list[np.ndarray], int, int]:
-    """Projections, number of tables, and the Hamming distance that a pair at the threshold stays below.
+    """Projections, number of tables, and the Hamming distance of short codes that a pair at the threshold stays below.
 
     Tables are added until both kinds of pairs at the threshold meet with probability ``RECALL``. The learned ones may
     separate a pair in one table like in another, so those added project on random rotations of the whole space.
@@ -99,11 +106,11 @@ def index_plan(sample: np.ndarray, width: int) -> tuple[list[np.ndarray], int, i
             turns.append(turn)
             differ = [np.concatenate([bits, encode(x, [turn]) != encode(y, [turn])], 1) for bits, (x, y) in zip(differ, pairs)]
         tables += 1
-    total = sum(turn.shape[1] for turn in turns)
+    total = min(CODE_BITS, sum(turn.shape[1] for turn in turns))
     share = math.acos(COSINE) / math.pi
     most = total * share + DEVIATIONS * math.sqrt(total * share * (1 - share))
     for bits in differ:
-        away = bits.sum(1)
+        away = bits[:, :CODE_BITS].sum(1)
         most = max(most, away.mean() + DEVIATIONS * away.std(), away.max())
     return turns, tables, int(most) + 1
 
@@ -145,64 +152,137 @@ def usable_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(rows))
 
 
-def table_rows(turns: list, width: int, tables: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def member_type(width: int, tables: int) -> np.dtype:
+    """A member of a table entry: table number and substring in one, the vector's class, and its short code."""
+    entry = "<u4" if tables << width <= 1 << 32 else "<u8"
+    return np.dtype([("entry", entry), ("v", "<i8"), ("code", "<u8", (CODE_BITS // 64,))])
+
+
+def short_codes(bits: np.ndarray) -> np.ndarray:
+    """The first ``CODE_BITS`` bits of each code as 64-bit words; bits that a shorter code lacks are 0."""
+    out = np.zeros((len(bits), CODE_BITS), np.uint8)
+    out[:, :bits.shape[1]] = bits[:, :CODE_BITS]
+    return np.packbits(out, axis=1, bitorder="little").view("<u8")
+
+
+def entries_of(turns: list, width: int, tables: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table entries of every vector."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
+        for at in range(0, batch.num_rows, SLICE):
+            keys = table_keys(encode(unit_rows(batch.column("embedding").slice(at, SLICE))[0], turns), width, tables)
+            yield pa.RecordBatch.from_arrays([pa.array((keys + (np.arange(tables) << width)).ravel())], ["entry"])
+
+
+def split_entries(classes: DataFrame, turns: list, width: int, tables: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that hold more than ``block`` vectors, in order, and the number of blocks each is cut into.
+
+    Counts one in ``COUNTED`` vectors. This sizes blocks and nothing else: every pair of an entry meets, however it is
+    cut. At most about ``MOST_SPLIT`` entries are so large, as ``block`` grows with the number of members.
+    """
+    counted = classes.filter(F.pmod(F.xxhash64("v"), F.lit(COUNTED)) == 0).select("v", "embedding").mapInArrow(
+        lambda batches: entries_of(turns, width, tables, batches), "entry long")
+    large = counted.groupBy("entry").agg((F.count("*") * COUNTED).alias("n")).filter(F.col("n") > block).orderBy("entry").collect()
+    return np.array([r.entry for r in large], np.int64), np.array([-(-r.n // block) for r in large], np.int64)
+
+
+def packed_members(turns: list, width: int, tables: int, split: tuple[np.ndarray, np.ndarray], buckets: int,
+                   batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of table entries by bucket. Those of a split entry go to every pair of blocks that theirs is in."""
+    kind, (large, cuts_of) = member_type(width, tables), split
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
             bits = encode(unit_rows(part.column("embedding"))[0], turns)
-            keys = table_keys(bits, width, tables)
-            code = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
-            each = pa.array(np.repeat(np.arange(part.num_rows), tables))
+            rows = np.empty((part.num_rows, tables), kind)
+            rows["entry"] = table_keys(bits, width, tables) + (np.arange(tables) << width)
+            rows["v"] = part.column("v").to_numpy()[:, None]
+            rows["code"] = short_codes(bits)[:, None, :]
+            rows = rows.ravel()
+            cuts = np.ones(len(rows), np.int64)
+            if len(large):
+                spot = np.minimum(np.searchsorted(large, rows["entry"]), len(large) - 1)
+                cuts = np.where(large[spot] == rows["entry"], cuts_of[spot], 1)
+            block = (rows["v"].view(np.uint64) % cuts.astype(np.uint64)).astype(np.int64)
+            each = np.repeat(np.arange(len(rows)), cuts)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            low, high = np.minimum(block[each], other), np.maximum(block[each], other)
+            bucket = tile_buckets(rows["entry"][each], low, high, buckets)
+            order = np.lexsort((block[each], high, low, bucket))
+            columns = [x[order] for x in (bucket, low, high, block[each])]
+            new = np.ones(len(order), bool)
+            new[1:] = False
+            for column in columns:
+                new[1:] |= column[1:] != column[:-1]
+            first = np.flatnonzero(new)
+            raw, size = rows[each[order]].tobytes(), kind.itemsize
+            ends = np.append(first[1:], len(order))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys.ravel()),
-                 part.column("v").take(each), code.take(each)], ["nth", "key", "v", "code"])
+                [pa.array(c[first].astype(np.int32)) for c in columns]
+                + [pa.array([raw[lo * size:hi * size] for lo, hi in zip(first.tolist(), ends.tolist())], pa.binary())],
+                ["bucket", "low", "high", "block", "members"])
 
 
-def tiles_of(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of table entries with at least two, dealt as pairs of blocks; ``block`` tells the two sides apart."""
-    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = members.join(groups, ["nth", "key"]).withColumn("cuts", cuts).withColumn("block", F.pmod(F.hash("v"), "cuts"))
-    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    return tiles.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn(
-        "bucket", F.pmod(F.xxhash64("nth", "key", "low", "high"), F.lit(BUCKETS)).cast("int")).drop("other", "cuts", "n")
+def tile_buckets(entry: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a pair of blocks of an entry."""
+    mixed = mix(mix(mix(entry.astype(np.uint64)) + low.astype(np.uint64)) + high.astype(np.uint64))
+    return (mixed % np.uint64(buckets)).astype(np.int64)
 
 
-def each_tile(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-    """Table number, rows of either side, and whether both sides are the same, of every tile with a pair."""
-    columns = [table.column(c).to_numpy() for c in ("nth", "key", "low", "high")]
-    block = table.column("block").to_numpy()
-    order = np.lexsort((block, *columns[::-1]))
+def each_tile(entry: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray,
+              ) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Entry, rows of either side, and whether both sides are the same, of every tile with a pair."""
+    columns = (entry, low, high)
+    order = np.lexsort((block, high, low, entry))
     new = np.ones(len(order), bool)
     new[1:] = False
     for c in columns:
         new[1:] |= c[order][1:] != c[order][:-1]
     first = np.flatnonzero(new)
-    nth, _, low, high = (c[order[first]] for c in columns)
-    for lo, n, t, a, b in zip(first.tolist(), np.diff(first, append=len(order)).tolist(), nth.tolist(), low.tolist(), high.tolist()):
+    of, a_side, b_side = (c[order[first]] for c in columns)
+    for lo, n, e, a, b in zip(first.tolist(), np.diff(first, append=len(order)).tolist(), of.tolist(), a_side.tolist(), b_side.tolist()):
         rows = order[lo:lo + n]
         if a == b:
             if n > 1:
-                yield t, rows, rows, True
+                yield e, rows, rows, True
         else:
             side = block[rows] == a
             if side.any() and not side.all():
-                yield t, rows[side], rows[~side], False
+                yield e, rows[side], rows[~side], False
+
 
+def near_members(most: int, width: int, tables: int, table: pa.Table) -> pa.Table:
+    """The members of a bucket's tiles that have another within ``most`` bits there, whom no table before has shown.
 
-def near_codes(most: int, table: pa.Table) -> pa.Table:
-    """The vectors of a bucket that have another within ``most`` bits in a shared table entry."""
-    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    near = np.zeros(len(code), bool)
-    for _, left, right, same in each_tile(table):
-        for at in range(0, len(left), 64):
-            rows = left[at:at + 64]
-            away = np.bitwise_count(code[rows][:, None, :] ^ code[right][None, :, :]).sum(2, dtype=np.int64)
+    Only the tables whose substrings lie in the short code are looked at for that, so a pair may be shown again.
+    """
+    kind = member_type(width, tables)
+    packed = table.column("members").to_pylist()
+    count = np.array([len(x) // kind.itemsize for x in packed], np.int64)
+    rows = np.frombuffer(b"".join(packed), kind)
+    low, high, block = (np.repeat(table.column(c).to_numpy(), count) for c in ("low", "high", "block"))
+    code = np.ascontiguousarray(rows["code"])
+    known = min(tables, CODE_BITS // width)
+    bits = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
+    keys = table_keys(bits[:, :width * known], width, known)
+    near = np.zeros(len(rows), bool)
+    for entry, left, right, same in each_tile(rows["entry"].astype(np.int64), low, high, block):
+        nth = min(entry >> width, known)
+        step = max(1, (1 << 20) // len(right))
+        for at in range(0, len(left), step):
+            one, others = left[at:at + step], right[at:] if same else right
+            away = np.bitwise_count(code[one, 0][:, None] ^ code[others, 0][None, :])
+            for word in range(1, code.shape[1]):
+                away += np.bitwise_count(code[one, word][:, None] ^ code[others, word][None, :])
+            i, j = np.nonzero(away <= most)
             if same:
-                away[np.arange(len(rows)), at + np.arange(len(rows))] = 1 << 30
-            hit = away <= most
-            near[rows] |= hit.any(1)
-            near[right] |= hit.any(0)
-    return pa.table([pa.array(np.unique(table.column("v").to_numpy()[near]))], ["v"])
+                i, j = i[j > i], j[j > i]
+            i, j = one[i], others[j]
+            for t in range(nth):
+                fresh = keys[i, t] != keys[j, t]
+                i, j = i[fresh], j[fresh]
+            near[i] = near[j] = True
+    return pa.table([pa.array(rows["entry"][near].astype(np.int64)), pa.array(low[near]), pa.array(high[near]),
+                     pa.array(block[near]), pa.array(rows["v"][near])], ["entry", "low", "high", "block", "v"])
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,7 +309,8 @@ def link_tiles(turns: list, width: int, tables: int, table: pa.Table) -> pa.Tabl
     keys = table_keys(encode(units, turns), width, tables)
     v, copies = table.column("v").to_numpy(), table.column("copies").to_numpy()
     out = []
-    for nth, left, right, same in each_tile(table):
+    for entry, left, right, same in each_tile(*(table.column(c).to_numpy() for c in ("entry", "low", "high", "block"))):
+        nth = entry >> width
         found = []
         for at in range(0, len(left), 512):
             close = units[left[at:at + 512]] @ units[right].T >= COSINE
@@ -264,7 +345,8 @@ def vector_links(vectors: DataFrame) -> DataFrame:
     indexed. Repeated ids with equal vectors count as rows of their own. Other columns of the table are not read.
 
     A table entry with more than ``BLOCK`` vectors is split into pairs of blocks, so none is capped. Pairs are never
-    written: a task returns counts and one linked vector per vector.
+    written: a task returns counts and one linked vector per vector. A vector shuffles 28 bytes for each table, and its
+    components once for each entry where it first meets a near one.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("v"), F.size("embedding").alias("wide"))
@@ -297,18 +379,22 @@ def links_of_length(rows: DataFrame, wide: int) -> DataFrame:
     units = np.array([r.embedding for r in sample], float).reshape(-1, wide)
     units /= np.abs(units).max(1, initial=1e-300)[:, None]
     units /= np.maximum(np.sqrt((units * units).sum(1)), 1e-300)[:, None]
-    turns, tables, most = index_plan(units, width) if len(units) else ([], table_count(width), 0)
+    if not len(units):
+        return classes.select("v", F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("component_id"),
+                              F.lit(True).alias("usable"))
+    turns, tables, most = index_plan(units, width)
 
+    split = split_entries(classes, turns, width, tables, max(BLOCK, vectors_in * tables // MOST_SPLIT))
+    buckets = max(BUCKETS, vectors_in * tables // BUCKET_MEMBERS)
     members = classes.select("v", "embedding").mapInArrow(
-        lambda batches: table_rows(turns, width, tables, batches), "nth int, key long, v long, code binary")
-    groups = members.groupBy("nth", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    near = tiles_of(members, groups).groupBy("bucket").applyInArrow(
-        lambda table: near_codes(most, table), "v long").distinct().checkpoint()
-    close = classes.join(near, "v").select("v", "embedding", "copies").checkpoint()
-    again = close.select("v", "embedding").mapInArrow(
-        lambda batches: table_rows(turns, width, tables, batches), "nth int, key long, v long, code binary").drop("code")
-    groups = again.groupBy("nth", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shown = tiles_of(again, groups).join(close, "v").groupBy("bucket").applyInArrow(
+        lambda batches: packed_members(turns, width, tables, split, buckets, batches),
+        "bucket int, low int, high int, block int, members binary")
+    near = members.groupBy("bucket").applyInArrow(
+        lambda table: near_members(most, width, tables, table), "entry long, low int, high int, block int, v long").checkpoint()
+    parts = max(BUCKETS, near.count() * wide * 8 // BUCKET_BYTES)
+    close = near.join(classes.select("v", "embedding", "copies"), "v").withColumn(
+        "bucket", F.pmod(F.xxhash64("entry", "low", "high"), F.lit(parts)).cast("int"))
+    shown = close.groupBy("bucket").applyInArrow(
         lambda table: link_tiles(turns, width, tables, table), "v long, root long, n long")
     shown = shown.groupBy("v", "root").agg(F.sum("n").alias("n")).checkpoint()
     counted = shown.groupBy("v").agg(F.sum("n").alias("n"))

@@ -243,6 +243,7 @@ def clustered(n, spread, seed):
 @pytest.mark.parametrize("block", [vector_dedup.BLOCK, 3])
 def test_vector_links(spark, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "COUNTED", 1)
     rows = [(i, v.tolist()) for i, v in enumerate(clustered(300, 0.06, 1))]
     rows += [(1000 + i, rows[5][1]) for i in range(20)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] + [1.0] * 15),
@@ -292,6 +293,30 @@ def test_vector_recall_with_a_common_mean(spark, monkeypatch, mean_cosine, bits)
     assert sum(got.values()) >= 0.97 * expected.sum() >= 1500
 
 
+def test_members_of_every_table_width_shuffle_less_than_two_kilobytes():
+    """By the formulas that size the tables; the components of near vectors come on top."""
+    for vectors in (1e4, 1e6, 1e8):
+        width = vector_dedup.substring_bits(int(vectors))
+        tables = vector_dedup.table_count(width)
+        assert vector_dedup.member_type(width, tables).itemsize * tables < 2000
+        assert vectors / 2 ** width < 3 * vector_dedup.OCCUPANCY
+
+
+def test_short_codes_and_tiles():
+    draw = np.random.default_rng(9)
+    for total in (60, 128, 300):
+        bits = draw.integers(0, 2, (50, total)).astype(np.uint8)
+        codes = vector_dedup.short_codes(bits)
+        away = np.bitwise_count(codes[:, None, :] ^ codes[None, :, :]).sum(2)
+        assert (away == (bits[:, None, :128] != bits[None, :, :128]).sum(2)).all()
+    entry, block = draw.integers(0, 4, 200), draw.integers(0, 3, 200)
+    each, other = np.repeat(np.arange(200), 3), np.tile(np.arange(3), 200)
+    low, high = np.minimum(block[each], other), np.maximum(block[each], other)
+    met = [tuple(sorted((each[i], each[j]))) for _, left, right, same in vector_dedup.each_tile(
+        entry[each], low, high, block[each]) for x, i in enumerate(left) for j in (right[x + 1:] if same else right)]
+    assert sorted(met) == [(a, b) for a in range(200) for b in range(a + 1, 200) if entry[a] == entry[b]]
+
+
 def test_vectors_of_the_table(spark):
     found = QUERIES["op7_near_vectors"](spark, SF_DIR).collect()
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()
