@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridledger.llm.components import components
@@ -32,7 +32,9 @@ BANDS, BAND_ROWS = 25, 5     # a pair at the threshold shares a band with probab
 LOOSE = 0.65                 # estimate from which a pair is checked exactly; four deviations below the threshold
 SKETCH_ROWS = 256            # short texts need as many darts as long ones, so slices are held to this
 BLOCK_MEMBERS = 512
-BUCKETS = 1024
+DEALS = 2                    # times that a larger band group is dealt into blocks before the rest of it is looked at
+BUCKETS = 1024               # at least; a bucket holds about BUCKET_ROWS members
+BUCKET_ROWS = 250_000
 THROWN = math.ceil(DARTS * math.log(DARTS) + 2 * DARTS)
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 UNIT, RANK, DART, SECOND = (np.uint64(x) for x in (
@@ -202,29 +204,64 @@ def pairs_in_bucket(table: pa.Table) -> pa.Table:
         ["a", "b", "band", "tile", "block", "few"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """``a, b``: pairs of texts worth an exact check, from ``v, few, bands``, one row per distinct text.
-
-    Texts that agree in a band form a group. Groups with the same members are looked at once. Larger groups than
-    ``BLOCK_MEMBERS`` are cut into blocks, and every pair of blocks is a tile of its own, so no task holds more than
-    two blocks of a group, and no pair of members goes unseen. Rows without ``b`` are members ``a`` of tiles (``band``,
-    ``tile``, ``block``, ``few``) whose pairs are more than those named.
-    """
+def band_members(classes: DataFrame) -> DataFrame:
+    """``band, v, n``: texts that agree in a band, and how many do; groups with the same members are named once."""
     bands = classes.select("v", "bands").mapInArrow(unpack_bands, "band long, v long")
     groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"),
                                        F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
     groups = groups.filter("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
+    return bands.join(groups, "band")
+
+
+def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of texts worth an exact check, from ``band, v, n`` and the sketches, one row per distinct text.
+
+    A group of up to ``BLOCK_MEMBERS`` is a tile. Larger ones are dealt into blocks ``DEALS`` times, each time by another
+    hash, and every block is a tile (numbered below 0), so work grows with the members; what blocks leave apart meets in
+    ``cross_tiles``. Rows without ``b`` are members ``a`` of tiles (``band``, ``tile``, ``block``, ``few``) whose pairs
+    are more than those named.
+    """
     cuts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    members = bands.join(groups, "band").withColumn("cuts", cuts).withColumn("block", F.pmod(F.hash("v"), "cuts"))
-    tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-        "band", "v", "block",
-        (F.least("block", "other").cast("long") * F.col("cuts") + F.greatest("block", "other")).alias("tile"))
+    dealt = members.withColumn("cuts", cuts).withColumn(
+        "deal", F.explode(F.when(F.col("cuts") > 1, F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))))
+    tile = F.when(F.col("cuts") > 1, -1 - F.col("deal") * F.col("cuts") - F.pmod(F.hash("v", "deal"), "cuts")).otherwise(0)
+    tiles = dealt.select("band", "v", F.lit(0).alias("block"), tile.cast("long").alias("tile"))
+    buckets = max(BUCKETS, classes.count() * BANDS // BUCKET_ROWS)
     sketched = tiles.join(classes.select("v", "few"), "v").withColumn(
-        "bucket", F.pmod(F.xxhash64("band", "tile"), F.lit(BUCKETS)).cast("int"))
+        "bucket", F.pmod(F.xxhash64("band", "tile"), F.lit(buckets)).cast("int"))
     return sketched.groupBy("bucket").applyInArrow(
         pairs_in_bucket, "a long, b long, band long, tile long, block int, few binary")
 
 
+def cross_tiles(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """``v, component, band, tile, block, few``: tiles that hold every pair of a large group's members not linked yet.
+
+    Components (``groups``) of more than ``BLOCK_MEMBERS`` members of a band group get blocks of their own, the rest
+    share blocks. Every pair of blocks is a tile but those of one component. So a group of near copies that is linked
+    already costs nothing, and each of its members meets a text outside once.
+    """
+    held = members.filter(F.col("n") > BLOCK_MEMBERS).select("band", "v").join(groups, "v", "left")
+    held = held.withColumn("component", F.coalesce("component", "v"))
+    cuts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    sizes = held.groupBy("band", "component").agg(F.count("*").alias("n")).withColumn(
+        "own", F.when(F.col("n") > BLOCK_MEMBERS, cuts))
+    bands = sizes.groupBy("band").agg(
+        F.count("*").alias("parts"), F.coalesce(F.sum("own"), F.lit(0)).cast("int").alias("wide"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.lit(0)) / BLOCK_MEMBERS).cast("int").alias("shared"))
+    bands = bands.filter("parts > 1").drop("parts")
+    before = Window.partitionBy("band").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    wide = sizes.filter("own IS NOT NULL").select(
+        "band", "component", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("past"))
+    placed = held.join(bands, "band").join(wide, ["band", "component"], "left").withColumn("from", F.col("shared") + F.col("past"))
+    placed = placed.withColumn("block", F.when(F.col("own").isNull(), F.pmod(F.hash("v"), "shared")).otherwise(
+        F.col("from") + F.pmod(F.hash("v"), "own")))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shared") + F.col("wide") - 1)))
+    dealt = dealt.filter("own IS NULL OR other < `from` OR other >= `from` + own")
+    tile = (F.least("block", "other").cast("long") * (F.col("shared") + F.col("wide")) + F.greatest("block", "other"))
+    return dealt.withColumn("tile", tile).join(classes.select("v", "few"), "v").select(
+        "v", "component", "band", "tile", "block", "few")
+
+
 def shingle_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's hashed shingles with their counts, once per slice for texts of equal words."""
     for batch in batches:
@@ -297,13 +334,16 @@ def check_tile(table: pa.Table) -> pa.Table:
 def similar_groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``v, component`` of the texts that chains of pairs with weighted Jaccard similarity ``SIMILARITY`` connect.
 
-    Only texts on a candidate pair send their shingles to the check. Four bytes stand for a shingle there. First the
-    trees' edges are checked; a tile whose members these leave in several components then checks all pairs between
-    them, with each member's shingles sent once.
+    Only texts on a candidate pair or in a large band group send their shingles to the check. Four bytes stand for a
+    shingle there. First the trees' edges are checked; a tile whose members these leave in several components then checks
+    all pairs between them, with each member's shingles sent once. Tiles of large groups are made after the first check,
+    so members that it has linked do not meet again.
     """
-    shown = candidates(classes).checkpoint()
+    in_bands = band_members(classes).checkpoint()
+    shown = candidates(in_bands, classes).checkpoint()
     pairs = shown.filter("b IS NOT NULL").select("a", "b").distinct().checkpoint()
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b"))
+    ends = ends.union(in_bands.filter(F.col("n") > BLOCK_MEMBERS).select("v")).distinct()
     texts = docs.select("text").mapInArrow(shingle_texts, "v long, shingles binary")
     texts = texts.join(ends, "v", "left_semi").dropDuplicates(["v"]).checkpoint()
     linked = (
@@ -312,8 +352,9 @@ def similar_groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .mapInArrow(check_pairs, "a long, b long")
     )
     groups = components(linked).withColumnRenamed("id", "v").checkpoint()
-    members = shown.filter("b IS NULL").select(F.col("a").alias("v"), "band", "tile", "block", "few")
+    members = shown.filter("b IS NULL AND tile >= 0").select(F.col("a").alias("v"), "band", "tile", "block", "few")
     members = members.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    members = members.unionByName(cross_tiles(in_bands, groups, classes))
     apart = members.groupBy("band", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     members = members.join(apart.filter("lo <> hi").select("band", "tile"), ["band", "tile"])
     members = members.select("v", "component", "band", "tile", "block", "few").groupBy("band", "tile").applyInArrow(

@@ -187,6 +187,44 @@ def test_near_copies_linked_by_a_base_only(spark, monkeypatch):
     assert collected(dart_minhash.near_copies_digest(make_docs(spark, rows)), "doc_id", "class_id") == expected
 
 
+def test_every_pair_that_is_not_linked_meets_in_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "BLOCK_MEMBERS", 10)
+    part = {v: 0 if v < 60 else 1 if v < 85 else v for v in range(110)}
+    bands = {1: range(110), 2: range(60), 3: range(55, 90), 4: range(100, 110)}
+    members = spark.createDataFrame([(b, v, len(vs)) for b, vs in bands.items() for v in vs], "band long, v long, n long")
+    groups = spark.createDataFrame([(v, c) for v, c in part.items() if c != v], "v long, component long")
+    classes = spark.createDataFrame([(v, bytes(2)) for v in part], "v long, few binary")
+    tiles = {}
+    for r in dart_minhash.cross_tiles(members, groups, classes).collect():
+        assert r.component == part[r.v]
+        tiles.setdefault((r.band, r.tile), []).append((r.v, r.block))
+    met = {1: set(), 3: set()}
+    for (band, _), texts in tiles.items():
+        blocks = {b for _, b in texts}
+        met[band] |= {(x, y) for x, a in texts for y, b in texts if x < y and (a != b or len(blocks) == 1)}
+    for band, pairs in met.items():
+        apart = {(x, y) for x in bands[band] for y in bands[band] if x < y and part[x] != part[y]}
+        assert apart <= pairs
+
+
+def test_linked_members_of_a_large_group_do_not_meet_again(spark, monkeypatch):
+    base = prose(80, 400, 5000)
+    for n in (600, 1200):
+        monkeypatch.setattr(dart_minhash, "BLOCK_MEMBERS", 40)
+        docs = make_docs(spark, [(i, f"{base} own{i}") for i in range(n)])
+        rows = docs.select("doc_id", "text").mapInArrow(
+            dart_minhash.sketch_texts, "doc_id long, v long, few binary, bands binary").select("v", "few", "bands").checkpoint()
+        members = dart_minhash.band_members(rows).checkpoint()
+        assert members.agg({"n": "max"}).first()[0] > n / 2
+        shown = dart_minhash.candidates(members, rows)
+        assert shown.filter("b IS NOT NULL").count() < 2 * members.count()
+        linked = components.components(shown.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "v")
+        assert linked.select("component").distinct().count() == 1
+        assert dart_minhash.cross_tiles(members, linked, rows).count() == 0
+        if n == 600:
+            assert {c for _, c in collected(dart_minhash.near_copies_digest(docs), "doc_id", "class_id")} == {0}
+
+
 def test_near_copies_keep_one_of_repeated_rows(spark):
     text = prose(60, 50)
     rows = [(1, text), (1, text), (2, text), (None, "x y z"), (None, "x y z"), (None, None), (None, None), (3, None), (3, prose(61, 50))]
