@@ -32,7 +32,6 @@ BANDS, BAND_ROWS = 25, 5     # a pair at the threshold shares a band with probab
 LOOSE = 0.65                 # estimate from which a pair is checked exactly; four deviations below the threshold
 SKETCH_ROWS = 256            # short texts need as many darts as long ones, so slices are held to this
 BLOCK_MEMBERS = 512
-DEALS = 2                    # times that a larger band group is dealt into blocks before the rest of it is looked at
 BUCKETS = 1024               # at least; a bucket holds about BUCKET_ROWS members
 BUCKET_ROWS = 250_000
 THROWN = math.ceil(DARTS * math.log(DARTS) + 2 * DARTS)
@@ -216,16 +215,14 @@ def band_members(classes: DataFrame) -> DataFrame:
 def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: pairs of texts worth an exact check, from ``band, v, n`` and the sketches, one row per distinct text.
 
-    A group of up to ``BLOCK_MEMBERS`` is a tile. Larger ones are dealt into blocks ``DEALS`` times, each time by another
-    hash, and every block is a tile (numbered below 0), so work grows with the members; what blocks leave apart meets in
-    ``cross_tiles``. Rows without ``b`` are members ``a`` of tiles (``band``, ``tile``, ``block``, ``few``) whose pairs
+    A group of up to ``BLOCK_MEMBERS`` is a tile. Larger ones are dealt into blocks, by another hash in every band, and a
+    block is a tile (numbered below 0), so work grows with the members. Near copies share many bands, so the blocks of one
+    connect those of another; what blocks leave apart meets in ``cross_tiles``. Rows without ``b`` are members ``a`` of tiles (``band``, ``tile``, ``block``, ``few``) whose pairs
     are more than those named.
     """
     cuts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    dealt = members.withColumn("cuts", cuts).withColumn(
-        "deal", F.explode(F.when(F.col("cuts") > 1, F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))))
-    tile = F.when(F.col("cuts") > 1, -1 - F.col("deal") * F.col("cuts") - F.pmod(F.hash("v", "deal"), "cuts")).otherwise(0)
-    tiles = dealt.select("band", "v", F.lit(0).alias("block"), tile.cast("long").alias("tile"))
+    tile = F.when(cuts > 1, -1 - F.pmod(F.hash("v", "band"), cuts)).otherwise(0)
+    tiles = members.select("band", "v", F.lit(0).alias("block"), tile.cast("long").alias("tile"))
     buckets = max(BUCKETS, classes.count() * BANDS // BUCKET_ROWS)
     sketched = tiles.join(classes.select("v", "few"), "v").withColumn(
         "bucket", F.pmod(F.xxhash64("band", "tile"), F.lit(buckets)).cast("int"))
