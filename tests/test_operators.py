@@ -345,6 +345,29 @@ def test_similar_titles_equal_all_pairs(spark, monkeypatch, least):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("rare, run_words", [(2, 6), (2, 2), (12, 3)])
+def test_titles_meet_on_runs_of_frequent_words(spark, monkeypatch, rare, run_words):
+    monkeypatch.setattr(title_join, "RARE_TITLES", rare)
+    monkeypatch.setattr(title_join, "RUN_WORDS", run_words)
+    monkeypatch.setattr(title_join, "BLOCK_TITLES", 5)
+    monkeypatch.setattr(title_join, "FREQUENT_SHARE", 0.1)
+    left, right = random_titles(3, 120), random_titles(4, 150)
+    found = title_join.similar_titles(spark.createDataFrame(left, "a int, title string"), spark.createDataFrame(right, "b int, title string"),
+                                      "a", "b", "title", 0.65)
+    sets = lambda rows_: [(i, set(t.rstrip("!").split())) for i, t in rows_]
+    want = sorted((i, k) for i, x in sets(left) for k, y in sets(right) if x and y and 2 * len(x & y) / (len(x) + len(y)) >= 0.65 - 1e-9)
+    assert sorted((r.a, r.b) for r in found.collect()) == want and want
+
+
+def test_titles_of_frequent_words_do_not_all_meet(spark):
+    """Every word is in about a twentieth of the titles: by one word of three each, 450 others would meet a title."""
+    draw = random.Random(5)
+    titles = spark.createDataFrame([(i, " ".join(f"{place}{draw.randrange(20)}" for place in "pqrstuvw")) for i in range(3000)], "a int, title string")
+    sides = titles, titles.withColumnRenamed("a", "b"), "a", "b", "title", 0.65
+    assert title_join.meeting_titles(*sides).count() < 30 * 3000
+    assert title_join.similar_titles(*sides).filter("a = b").count() == 3000
+
+
 def test_candidates_prefer_the_author_then_shared_words(spark):
     refs = C.parse_citations(spark.createDataFrame([(1, "Muster, A. (2001). Alpha beta gamma delta. J."), (2, "no title")], "id int, citation string"))
     works = [(f"w{i}", "crossref", "B. Other", "alpha beta gamma delta", 2001, f"10.1/{i}") for i in range(7)]
