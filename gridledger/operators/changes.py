@@ -1,9 +1,9 @@
 """Cube cells patched by what changed between two snapshots, instead of folding the whole register again.
 
-Two snapshots are compared as bags of rows by a 128-bit hash of each row, so only hashes are shuffled. Rows that one
-snapshot holds more often than the other are fetched and folded with that difference as their sign and weight; adding
-the result to the cube before gives the cube after. Sums are decimals, so that what is added and later taken away
-leaves nothing behind, and every sum has a count of its known values, so that one without any is NULL again.
+Two snapshots are compared as bags of rows, with a 128-bit hash of each row, in one shuffle. Rows that one snapshot
+holds more often than the other are folded with that difference as their sign and weight; adding the result to the cube
+before gives the cube after. Sums are decimals, so that what is added and later taken away leaves nothing behind, and
+every sum has a count of its known values, so that one without any is NULL again.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.operators.cube import GRAINS, KEYS, cube_rows
-from gridledger.session import ensure_checkpoint_dir, new_work_path
 from gridledger.sources import manifests as M
 
 MEASURES = {"kw": "bruttoleistung_kw", "lat_sum": "lat", "lon_sum": "lon"}
@@ -20,21 +19,32 @@ SUM = "decimal(38,12)"
 
 
 def with_print(rows: DataFrame) -> DataFrame:
-    """The rows with a hash of all their columns. Key order and absent values are part of it, column order is not."""
-    return rows.withColumn("print", F.unhex(F.md5(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}))))
+    """The rows with a hash of all their columns: 128 bits, as two hashes from other starts. Absent values are part of
+    it, and which they are; column order is not."""
+    names = sorted(rows.columns)
+    absent = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in names])
+    halves = [F.xxhash64(F.lit(start), absent, *names).alias(start) for start in ("a", "b")]
+    return rows.withColumn("print", F.struct(*halves))
 
 
 def change_set(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``print, times``: how many more rows of each hash the new snapshot has; negative where it has fewer.
+    """The rows of which the new snapshot has more or fewer, one for each hash, with ``times``: how many more it has;
+    negative where it has fewer.
 
-    An altered row is one row fewer and another one more. Rows equal in both are not in the result.
+    An altered row is one row fewer and another one more. Rows equal in both are not in the result. Whole rows are
+    shuffled, once: less than hashes first, and then both snapshots again to fetch the rows of some of them.
     """
-    signed = old.select("print", F.lit(-1).alias("sign")).unionByName(new.select("print", F.lit(1).alias("sign")))
-    return signed.groupBy("print").agg(F.sum("sign").alias("times")).filter("times <> 0")
+    signed = old.withColumn("_sign", F.lit(-1)).unionByName(new.withColumn("_sign", F.lit(1)))
+    return signed.groupBy(*old.columns).agg(F.sum("_sign").alias("times")).filter("times <> 0")
 
 
 def changed_rows(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per changed hash, with ``times``: from the new snapshot what came, from the old one what went."""
+    """One row per changed hash, with ``times``: from the new snapshot what came, from the old one what went.
+
+    ``changes`` has the rows if it was made from whole snapshots, see ``change_set``; for one of hashes alone they are fetched.
+    """
+    if set(old.columns) <= set(changes.columns):
+        return changes.select(*old.columns, "times")
     came = new.join(changes.filter("times > 0"), "print")
     went = old.join(changes.filter("times < 0"), "print")
     return came.unionByName(went).dropDuplicates(["print"])
@@ -42,14 +52,17 @@ def changed_rows(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFram
 
 def signed_cube(rows: DataFrame, times: Column | None = None) -> DataFrame:
     """Counts and sums per cell, each row taken as often as ``times`` says (once if it says nothing)."""
-    times = F.lit(1) if times is None else times
-    weight = times.cast("decimal(10,0)")
-    sums = [F.coalesce(F.sum(F.col(c).cast("decimal(26,12)") * weight), F.lit(0)).cast(SUM).alias(out)
-            for out, c in MEASURES.items()]
-    known = [F.sum(F.when(F.col(c).isNotNull(), times).otherwise(0)).cast("long").alias(f"{out}_known")
-             for out, c in MEASURES.items()]
-    return rows.groupingSets([[F.col(k) for k in keys] for keys in GRAINS], *[F.col(k) for k in KEYS]).agg(
-        F.grouping_id().cast("int").alias("grain"), F.sum(times).cast("long").alias("n"), *sums, *known)
+    weight = F.lit(1) if times is None else times
+    exact = {out: F.col(c).cast("decimal(26,12)") for out, c in MEASURES.items()}
+    if times is not None:
+        exact = {out: value * times.cast("decimal(10,0)") for out, value in exact.items()}
+    # each row is weighed before it is taken to all grains
+    weighed = rows.select(*KEYS, weight.alias("_times"), *[value.alias(f"_{out}") for out, value in exact.items()],
+                          *[F.when(F.col(c).isNotNull(), weight).otherwise(0).alias(f"_{out}_known") for out, c in MEASURES.items()])
+    sums = [F.coalesce(F.sum(f"_{out}"), F.lit(0)).cast(SUM).alias(out) for out in MEASURES]
+    known = [F.sum(f"_{out}_known").cast("long").alias(f"{out}_known") for out in MEASURES]
+    return weighed.groupingSets([[F.col(k) for k in keys] for keys in GRAINS], *[F.col(k) for k in KEYS]).agg(
+        F.grouping_id().cast("int").alias("grain"), F.sum("_times").cast("long").alias("n"), *sums, *known)
 
 
 def patched(cube: DataFrame, delta: DataFrame) -> DataFrame:
@@ -67,23 +80,20 @@ def as_unit_cube(cube: DataFrame) -> DataFrame:
 def advance(units: DataFrame, root: str, keep: int = 2) -> DataFrame:
     """Takes in the next snapshot of the unit view and returns its cube; see ``cube.unit_cube``.
 
-    Kept below ``root`` and published together are the snapshot's rows, reduced to what the cube needs, and the cube. The
-    first snapshot is folded as a whole; later ones only where they differ from the one before. A run that dies
-    publishes nothing, so the next one starts from the same state.
+    Kept below ``root`` and published together are the snapshot's rows, reduced to what the cube needs and written once,
+    and the cube. The first snapshot is folded as a whole; later ones only where they differ from the one before. A run
+    that dies publishes nothing, so the next one starts from the same state.
     """
     spark = units.sparkSession
-    ensure_checkpoint_dir(spark)
-    landed = new_work_path(spark, "snapshot")
-    with_print(cube_rows(units, "mastr_nr")).write.parquet(landed)
-    rows = spark.read.parquet(landed)
+    landed = M.land(with_print(cube_rows(units, "mastr_nr")), root, "rows")
+    rows = spark.read.parquet(f"{root}/{landed}").drop("mastr_nr")
     if M.read(spark, root) is None:
         cube = signed_cube(rows)
     else:
-        before = M.published(spark, root, "rows")
-        changes = change_set(before, rows).checkpoint()
+        before = M.published(spark, root, "rows").drop("mastr_nr")
         cube = patched(M.published(spark, root, "cube"),
-                       signed_cube(changed_rows(before, rows, changes), F.col("times")))
-    done = M.publish(spark, root, {"rows": lambda: rows, "cube": lambda: cube}, keep=keep)
+                       signed_cube(changed_rows(before, rows, change_set(before, rows)), F.col("times")))
+    done = M.publish(spark, root, {"cube": lambda: cube}, keep=keep, landed={"rows": landed})
     if set(done.values()) != {"written"}:
         raise RuntimeError(f"the snapshot is not taken in: {done}")
     return as_unit_cube(M.published(spark, root, "cube"))

@@ -94,15 +94,28 @@ def expire(spark: SparkSession, root: str, keep: int) -> list[str]:
     return gone
 
 
+def next_folder(spark: SparkSession, root: str) -> tuple[int, str]:
+    """Number of the next version, and a fresh folder for its data, as a path below the root."""
+    number = (numbers(spark, root) or [0])[-1] + 1
+    return number, f"{DATA}/{number:012d}-{uuid.uuid4().hex[:8]}"
+
+
+def land(df: DataFrame, root: str, name: str) -> str:
+    """Writes an output of the next version, which ``publish`` is to name, and returns its path below the root."""
+    path = f"{next_folder(df.sparkSession, root)[1]}/{name}.parquet"
+    df.write.parquet(f"{root}/{path}")
+    return path
+
+
 def publish(spark: SparkSession, root: str, plans: Mapping[str, Callable[[], DataFrame | None]],
-            required: Sequence[str] | None = None, keep: int = 14) -> dict[str, str]:
+            required: Sequence[str] | None = None, keep: int = 14, landed: Mapping[str, str] | None = None) -> dict[str, str]:
     """Writes all outputs as the next version and makes them current together; one status per output.
 
     Outputs are written side by side. If a required one (all by default) fails or has nothing, no manifest is written, so
     readers go on with the version before, whole. An output that is not required and fails is absent from the new set.
+    Outputs that are there already, see ``land``, become current with the others.
     """
-    number = (numbers(spark, root) or [0])[-1] + 1
-    folder = f"{DATA}/{number:012d}-{uuid.uuid4().hex[:8]}"
+    number, folder = next_folder(spark, root)
 
     def write(name: str) -> str:
         try:
@@ -121,7 +134,8 @@ def publish(spark: SparkSession, root: str, plans: Mapping[str, Callable[[], Dat
     if missing:
         log.error("version %d is not published, it lacks %s", number, ", ".join(missing))
         return {name: "withheld" if status == "written" else status for name, status in done.items()}
-    commit(spark, root, number, {name: f"{folder}/{name}.parquet" for name, status in done.items() if status == "written"})
+    written = {name: f"{folder}/{name}.parquet" for name, status in done.items() if status == "written"}
+    commit(spark, root, number, {**(landed or {}), **written})
     expire(spark, root, keep)
     return done
 

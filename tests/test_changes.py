@@ -63,3 +63,23 @@ def test_a_snapshot_that_fails_leaves_the_state(spark, folder, snapshots):
         N.advance(broken, folder)
     assert M.numbers(spark, folder) == [1]
     assert rows(N.as_unit_cube(M.published(spark, folder, "cube"))) == first
+
+
+def test_rows_are_written_and_compared_once(spark, folder, snapshots, monkeypatch):
+    """A snapshot's rows are one copy, published where they landed, and no second shuffle fetches what differs."""
+    published = {}
+    monkeypatch.setattr(M, "publish", lambda spark, root, plans, publish=M.publish, **more: (
+        published.update({name: plan() for name, plan in plans.items()}), publish(spark, root, plans, **more))[1])
+    N.advance(snapshots[0], folder)
+    N.advance(snapshots[1], folder)
+    assert set(published) == {"cube"} and set(M.read(spark, folder)[1]) == {"rows", "cube"}
+    assert M.published(spark, folder, "rows").count() == snapshots[1].count()
+    assert " Join " not in published["cube"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_absent_values_are_told_apart_by_the_hash(spark):
+    rows_ = spark.createDataFrame([("a", None, 1.0), (None, "a", 1.0), ("a", "", 1.0), (None, None, None), ("a", None, None)],
+                                  "x string, y string, z double")
+    prints = [r.print for r in N.with_print(rows_).collect()]
+    assert len(set(prints)) == 5
+    assert sorted(prints) == sorted(r.print for r in N.with_print(rows_.select("z", "y", "x")).collect())
