@@ -90,7 +90,8 @@ def advance(units: DataFrame, root: str, keep: int = 2) -> DataFrame:
     if M.read(spark, root) is None:
         cube = signed_cube(rows)
     else:
-        before = M.published(spark, root, "rows").drop("mastr_nr")
+        kept = M.published(spark, root, "rows").drop("print")  # hashed anew, whatever hash it was kept with
+        before = with_print(kept).drop("mastr_nr")
         cube = patched(M.published(spark, root, "cube"),
                        signed_cube(changed_rows(before, rows, change_set(before, rows)), F.col("times")))
     done = M.publish(spark, root, {"cube": lambda: cube}, keep=keep, landed={"rows": landed})

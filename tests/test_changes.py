@@ -83,3 +83,10 @@ def test_absent_values_are_told_apart_by_the_hash(spark):
     prints = [r.print for r in N.with_print(rows_).collect()]
     assert len(set(prints)) == 5
     assert sorted(prints) == sorted(r.print for r in N.with_print(rows_.select("z", "y", "x")).collect())
+
+
+def test_a_state_kept_with_another_hash_goes_on(spark, folder, snapshots):
+    kept = cube_rows(snapshots[0], "mastr_nr")
+    M.publish(spark, folder, {"rows": lambda: kept.withColumn("print", F.unhex(F.md5("mastr_nr"))),
+                              "cube": lambda: N.signed_cube(kept)})
+    assert rows(N.advance(snapshots[1], folder)) == rows(unit_cube(snapshots[1]))
